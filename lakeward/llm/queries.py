@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeward.llm import decontaminate, mixing, sharding, topk
+from lakeward.llm import decontaminate, mixing, sharding, simhash, topk
 from lakeward.llm.oracles import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,10 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -34,7 +38,7 @@ def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontaminate, op3_mix_sources, op6_shard, op9_top_k)}
+    return {f.__name__: f for f in (op1_decontaminate, op3_mix_sources, op4_simhash, op6_shard, op9_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
