@@ -9,7 +9,7 @@ import numpy as np
 import xxhash
 
 # Odd, so both have an inverse modulo 2**64.
-_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -32,7 +32,7 @@ def windows(symbols: np.ndarray, width: int, which: int = 0) -> np.ndarray:
     n = len(symbols)
     if n < width:
         return np.empty(0, np.uint64)
-    up, down = powers(_BASES[which], n)
+    up, down = powers(BASES[which], n)
     total = np.empty(n + 1, np.uint64)
     total[0] = 0
     np.cumsum(symbols * up, out=total[1:])
@@ -58,18 +58,28 @@ def _sliding(x: np.ndarray, width: int, of: np.ufunc, fill: int) -> np.ndarray:
     return of(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def anchors(h: np.ndarray, width: int) -> np.ndarray:
-    """Positions holding the least of any ``width`` neighbouring fingerprints.
+_PLACE = np.uint64((1 << 24) - 1)
 
-    Two equal stretches of ``width`` fingerprints have their anchors at the same
-    places, so a stretch without a shared anchor is equal to no other.
+
+def anchors(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The place of the least of every ``width`` neighbouring fingerprints, and the
+    first and last window it belongs to.
+
+    Fingerprints are compared by their upper 40 bits and then by place, so what is
+    chosen depends on the window alone: equal windows choose the same place in them.
     """
-    if len(h) < width:
-        return np.empty(0, np.int64)
-    least = _sliding(h, width, np.minimum, np.iinfo(np.uint64).max)
-    edge = np.zeros(width - 1, h.dtype)
-    most = _sliding(np.concatenate([edge, least, edge]), width, np.maximum, 0)
-    return np.flatnonzero(most == h)
+    chunks = []
+    step = int(_PLACE) - width
+    for base in range(0, max(0, len(h) - width + 1), step):
+        part = h[base : base + step + width - 1]
+        least = _sliding((part & ~_PLACE) | np.arange(len(part), dtype=np.uint64), width, np.minimum, np.iinfo(np.uint64).max)
+        chosen = (least & _PLACE).astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], chosen[1:] != chosen[:-1]]))
+        last = np.concatenate([first[1:], [len(chosen)]]) - 1
+        chunks.append((chosen[first] + base, first + base, last + base))
+    if not chunks:
+        return (np.empty(0, np.int64),) * 3
+    return tuple(np.concatenate(c) for c in zip(*chunks, strict=True))
 
 
 def runs(covered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
