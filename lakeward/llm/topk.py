@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakeward.llm.shared import stored
+
 LEAF = 64
 SHARD_ROWS = 8_192
 BLOCK_ROWS = 2_048
@@ -143,13 +145,13 @@ def top_k(vectors: DataFrame, is_query: F.Column, k: int = 5, shard_rows: int =
     rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     asked = placed.where("is_query").select("vec_id", "v", F.pmod(F.shiftright("h", 20), F.lit(blocks)).cast("int").alias("block")).dropDuplicates(["vec_id", "v"])
     least = F.lit(float("-inf"))
-    first = _searched(rows.where("shard = 0"), asked.withColumns({"shard": F.lit(0), "floor": least}), k)
+    first = stored(_searched(rows.where("shard = 0"), asked.withColumns({"shard": F.lit(0), "floor": least}), k), "first-shard")
     if shards == 1:
         found = first
     else:
         kth = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
         known = asked.join(kth, asked.vec_id == kth.query_id, "left").select("vec_id", "v", "block", F.coalesce(F.col("kth").cast("double"), least).alias("floor"))
-        spread = known.withColumn("shard", F.explode(F.sequence(F.lit(1), F.lit(shards - 1))))
+        spread = stored(known, "queries").withColumn("shard", F.explode(F.sequence(F.lit(1), F.lit(shards - 1))))
         found = first.unionByName(_searched(rows.where("shard > 0"), spread, k))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
