@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakeward.llm.shared import stored
+
 WEIGHTS = (5, 2, 1)
 #: No source is taken more often than this, and so no document.
 MAX_PASSES = 3
@@ -74,7 +76,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_passes: int = M
     ``taken`` counts the words the mix takes of the document, repeats included.
     """
     names = [c for c in keep if c != "doc_id"]
-    sized = docs.select(F.col("doc_id").cast("long"), "source", *names, word_count(F.col("text")).alias("size"))
+    # Texts are read and counted once; all that follows goes over these short rows.
+    sized = stored(docs.select(F.col("doc_id").cast("long"), "source", *names, word_count(F.col("text")).alias("size")), "sizes")
     shuffled = sized.withColumn("_key", F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit("")))
     shuffled = shuffled.withColumn("_bucket", F.substring("_key", 1, BUCKET_DIGITS))
     targets = source_targets(sized, weights, max_passes)
@@ -112,11 +115,19 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_passes: int = M
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_passes: int = MAX_PASSES) -> DataFrame:
-    """``docs`` as mixed: a document is there as often as the mix takes it."""
-    order = docs.columns
-    # The plan carries a row's columns as one struct, so that no name clashes.
-    packed = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("_row"))
-    counted = mix(packed, weights, max_passes, keep=("doc_id", "_row"))
-    times = F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(0)
-    repeated = counted.withColumn("_n", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>"))))
-    return repeated.select(*(F.col(f"_row.`{c}`").alias(c) for c in order))
+    """``docs`` as mixed: a document is there as often as the mix takes it.
+
+    The mix is made of short rows and joined to the texts at the end. Rows that agree
+    in doc_id and text are numbered on both sides.
+    """
+    number = F.row_number().over(Window.partitionBy("_id", "_digest").orderBy("_id"))
+    named = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_digest"), F.struct(*docs.columns).alias("_row"))
+    rows = named.withColumn("_number", number)
+    counted = mix(docs.select("doc_id", "source", "text", F.xxhash64("text").alias("_digest")), weights, max_passes, keep=("doc_id", "_digest"))
+    again = counted.select(F.col("doc_id").alias("_id"), "_digest", "size", "taken").withColumn("_number", number)
+    times = again.where("taken > 0").select(
+        F.col("_id").alias("t_id"), F.col("_digest").alias("t_digest"), F.col("_number").alias("t_number"),
+        F.explode(F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int"))).alias("t_copy"),
+    )
+    same = F.col("_id").eqNullSafe(F.col("t_id")) & (F.col("_digest") == F.col("t_digest")) & (F.col("_number") == F.col("t_number"))
+    return rows.join(times, same).select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
