@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeward.llm import decontaminate, mixing, sharding, simhash, substrings, suffix_dedup, topk
+from lakeward.llm import decontaminate, langid, licenses, mixing, quality, sharding, simhash, substrings, suffix_dedup, topk
 from lakeward.llm.oracles import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,10 +33,18 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.deduplicated(table(spark, sf_dir, "documents")).drop("n_spans")
 
@@ -45,8 +53,16 @@ def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identified(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_suffix_dedup, op3_mix_sources, op4_simhash, op6_shard, op8_substring_dedup, op9_top_k)}
+    numbered = (
+        op1_decontaminate, op2_suffix_dedup, op3_mix_sources, op4_simhash, op5_license_scan, op6_shard, op7_quality,
+        op8_substring_dedup, op9_top_k, op10_language,
+    )
+    return {f.__name__: f for f in numbered}
 
 
 def oracle_sql() -> dict[str, str]:
