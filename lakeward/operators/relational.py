@@ -152,7 +152,8 @@ def joined_whole(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFr
 def history_merged(kept: DataFrame, backfill: DataFrame, key: str, counted: str) -> DataFrame:
     """``kept`` with rows of ``backfill`` for keys it lacks or whose count is missing."""
     fields = [c for c in kept.columns if c != key]
-    k = kept.select(key, F.struct(*fields).alias("k"))
-    b = backfill.select(key, F.struct(*fields).alias("b"))
-    row = F.when(F.col("k").isNull() | (F.col(f"k.{counted}").isNull() & F.col("b").isNotNull()), F.col("b")).otherwise(F.col("k"))
-    return k.join(b, key, "full").select(key, row.alias("r")).select(key, "r.*")
+    old = kept.select(key, F.struct(*fields).alias("_kept"))
+    new = backfill.select(key, F.struct(*fields).alias("_new"))
+    lacking = F.col("_kept").isNull() | (F.col(f"_kept.{counted}").isNull() & F.col("_new").isNotNull())
+    row = F.when(lacking, F.col("_new")).otherwise(F.col("_kept"))
+    return old.join(new, key, "full").select(key, row.alias("_row")).select(key, "_row.*")

@@ -95,7 +95,7 @@ def false_positive_rate(rows: DataFrame, groups: Sequence[str], value: str, posi
 
 def confusion(rows: DataFrame, truth: str, guess: str, classes: Sequence) -> DataFrame:
     """A row for each true class and a column for each guessed one, in a fixed order."""
-    return rows.groupBy(truth).pivot(guess, list(classes)).agg(F.count("*")).na.fill(0)
+    return rows.groupBy(truth).pivot(guess, list(classes)).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def recalls(rows: DataFrame, groups: Sequence[str], truth: str, guess: str) -> DataFrame:
