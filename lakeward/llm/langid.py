@@ -23,7 +23,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -215,13 +214,16 @@ def fitted(docs: DataFrame, order: int = ORDER, sample: int = SAMPLE) -> Models
     draw = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)).cast("double") / float(1 << 30)
     drawn = usable.where(draw < F.coalesce(*shares)).select("lang", calibrating.alias("calibrating"), "text")
 
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for lang, texts in frame.groupby("lang").text:
-                grams = counts_of(Counter(w for t in texts for w in words_of(t)), order)
-                yield pd.DataFrame({"lang": lang, "gram": list(grams), "n": list(grams.values())})
-
-    grams = drawn.where("not calibrating").select("lang", "text").mapInPandas(count, "lang string, gram string, n long")
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words: dict[str, Counter] = defaultdict(Counter)
+            for lang, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "text")), strict=True):
+                words[lang].update(words_of(text))
+            for lang, found in words.items():
+                grams = counts_of(found, order)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], ["lang", "gram", "n"])
+
+    grams = drawn.where("not calibrating").select("lang", "text").mapInArrow(count, "lang string, gram string, n long")
     counts: dict[str, dict[str, int]] = defaultdict(dict)
     for r in grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")).collect():
         counts[r["lang"]][r["gram"]] = r["n"]
@@ -230,14 +232,14 @@ def fitted(docs: DataFrame, order: int = ORDER, sample: int = SAMPLE) -> Models
     models = Models.fitted(dict(counts), order)
     held = docs.sparkSession.sparkContext.broadcast(models)
 
-    def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, int] = {}
         costs: list[np.ndarray] = []
-        for frame in frames:
-            h = held.value.entropies([words_of(t) for t in frame.text], cache, costs)
-            yield pd.DataFrame({"lang": frame.lang, "h": list(h)})
+        for batch in batches:
+            h = held.value.entropies([words_of(t) for t in batch.column("text").to_pylist()], cache, costs)
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(h.tolist(), pa.list_(pa.float64()))], ["lang", "h"])
 
-    rows = drawn.where("calibrating").select("lang", "text").mapInPandas(measure, "lang string, h array<double>").collect()
+    rows = drawn.where("calibrating").select("lang", "text").mapInArrow(measure, "lang string, h array<double>").collect()
     rows = [r for r in rows if r["lang"] in counts]
     place = {name: i for i, name in enumerate(models.languages)}
     grid = np.array([r["h"] for r in rows]).reshape(-1, len(place))

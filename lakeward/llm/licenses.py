@@ -2,7 +2,8 @@
 
 Each license below has hand-written name patterns and a keyword. A rule is one of them
 in one setting (a tag, a grant, a title, an address or the bare name), with the
-setting's priority. A text is searched for a rule only if it holds the rule's keyword.
+setting's priority. A text is searched for a rule only if it holds the rule's keyword,
+which for an address is its host.
 Detections are taken by falling priority, and one that lies inside a detection taken
 before is suppressed; so a versioned name beats the family's name in it.
 
@@ -147,7 +148,8 @@ def rules() -> list[Rule]:
                 out.append(Rule(label, keyword.encode(), priority + exact, confidence, re.compile(text.encode("latin-1"))))
         for address in addresses:
             text = edge[0] + _ADDRESS[2].format(name=address)
-            out.append(Rule(label, keyword.encode(), _ADDRESS[0] + exact, _ADDRESS[1], re.compile(text.encode("latin-1"))))
+            host = re.match("[a-z0-9]+", address)[0]
+            out.append(Rule(label, host.encode(), _ADDRESS[0] + exact, _ADDRESS[1], re.compile(text.encode("latin-1"))))
     return sorted(out, key=lambda r: -r.priority)
 
 

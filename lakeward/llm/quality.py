@@ -7,8 +7,8 @@ repetition) minimises the non-negative unbiased risk
     prior * E_pos[l(+f)] + max(0, E_unl[l(-f)] - prior * E_pos[l(-f)])
 
 with the sigmoid loss. The class prior is estimated first: a plain positive-against-
-unlabelled model ranks both sets, and the least ratio of unlabelled to positive mass
-above a threshold bounds the share of positives. Labels of both values in the training
+unlabelled model, fitted on one half, ranks the other, and the least ratio of
+unlabelled to positive mass above a threshold bounds the share of positives. Labels of both values in the training
 folds then scale the output to a probability.
 
 The fit uses a sample of at most about ``SAMPLE`` documents, drawn by a hash of
@@ -116,13 +116,28 @@ def _descent(gradient, size: int, steps: int = _STEPS, rate: float = 0.02) -> np
 
 
 def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """The least ratio of unlabelled to positive mass above a threshold that keeps a
-    tenth of the positives."""
-    cuts = np.quantile(positive, np.linspace(0, 0.9, 19))
+    """The least ratio of unlabelled to positive mass above a threshold that keeps half
+    of the positives."""
+    cuts = np.quantile(positive, np.linspace(0, 0.5, 11))
     ratios = [(unlabelled >= c).mean() / max((positive >= c).mean(), 1e-9) for c in cuts]
     return float(np.clip(min(ratios), 0.05, 0.98))
 
 
+def _ranked_prior(pos: np.ndarray, unl: np.ndarray) -> float:
+    """The prior by rankings that were fitted on the other half of both sets, since a
+    ranking sets the rows it was fitted on apart."""
+    if min(len(pos), len(unl)) < 20:
+        return 0.5
+    out: list[list[np.ndarray]] = [[], []]
+    for half in (0, 1):
+        p, u = pos[half::2], unl[half::2]
+        side = np.repeat([1.0, 0.0], [len(p), len(u)])
+        w = _logistic(np.vstack([p, u]), side, np.where(side > 0, 1 / len(p), 1 / len(u)), 1e-2)
+        for place, rest in enumerate((pos[1 - half :: 2], unl[1 - half :: 2])):
+            out[place].append(rest @ w[1:] + w[0])
+    return float(np.mean([estimated_prior(a, b) for a, b in zip(*out, strict=True)]))
+
+
 def non_negative(pos: np.ndarray, unl: np.ndarray, prior: float, decay: float = 1e-3) -> np.ndarray:
     """Weights (first the offset) of least non-negative unbiased risk."""
     p, u = (np.hstack([np.ones((len(x), 1)), x]) for x in (pos, unl))
@@ -155,10 +170,7 @@ def fit(x: np.ndarray, label: np.ndarray) -> Model | None:
     known = np.flatnonzero(label >= 0)
     if not len(unl):
         unl = z[known]
-    both, side = np.vstack([pos, unl]), np.repeat([1.0, 0.0], [len(pos), len(unl)])
-    ranked = _logistic(both, side, np.where(side > 0, 1 / len(pos), 1 / len(unl)))
-    out = [np.hstack([np.ones((len(s), 1)), s]) @ ranked for s in (pos, unl)]
-    model.prior = estimated_prior(*out)
+    model.prior = _ranked_prior(pos, unl)
     model.weights = non_negative(pos, unl, model.prior)
     zeros = int((label == 0).sum())
     if zeros:
