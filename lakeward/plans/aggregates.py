@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -10,7 +10,8 @@ from lakeward.functions import columns as C
 from lakeward.operators import relational as R
 from lakeward.registry import query, table
 
-DAY = F.date_format("ts", "yyyy-MM-dd")
+def by_day() -> Column:
+    return F.date_format("ts", "yyyy-MM-dd").alias("day")
 
 
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n, count(DISTINCT l_orderkey) AS orders, min(l_quantity) AS least, max(l_quantity) AS most FROM lineitem GROUP BY ALL")
@@ -126,7 +127,7 @@ w AS (SELECT *, coalesce(sum(hits) OVER (PARTITION BY event_type ORDER BY day DE
 SELECT event_type, day, hits FROM w WHERE before < 100 AND gaps = 0
 """)
 def w04_trailing_window(spark: SparkSession, sf: str) -> DataFrame:
-    day = table(spark, sf, "events").groupBy("event_type", DAY.alias("day")).agg(F.count_if(F.col("value") > 40).alias("hits"), F.count("*").alias("n"))
+    day = table(spark, sf, "events").groupBy("event_type", by_day()).agg(F.count_if(F.col("value") > 40).alias("hits"), F.count("*").alias("n"))
     day = day.withColumn("labelled", F.when(~F.col("day").endswith("-05"), F.col("n")))
     return R.trailing_window(day, ["event_type"], "day", "hits", "labelled", 100).select("event_type", "day", "hits")
 
@@ -134,7 +135,7 @@ def w04_trailing_window(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT day, n, n - lag(n) OVER (ORDER BY day) AS delta FROM (SELECT ts::DATE::VARCHAR AS day, count(*) AS n FROM events GROUP BY 1)")
 def w05_delta(spark: SparkSession, sf: str) -> DataFrame:
     """The change from the row before, over one row a day."""
-    days = table(spark, sf, "events").groupBy(DAY.alias("day")).agg(F.count("*").alias("n"))
+    days = table(spark, sf, "events").groupBy(by_day()).agg(F.count("*").alias("n"))
     return days.withColumn("delta", F.col("n") - F.lag("n").over(Window.orderBy("day")))
 
 

@@ -13,12 +13,11 @@ from lakeward.operators import texts as X
 from lakeward.operators import vectors as V
 from lakeward.registry import query, table
 
-BASE = F.day("ts") <= 10
 _EV = "e AS (SELECT event_type, user_id, event_id, value, day(ts) <= 10 AS base, (day(ts) - 1) // 3 AS period, ts FROM events)"
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").select("event_type", "user_id", "event_id", "value", "ts", BASE.alias("base"), F.floor((F.day("ts") - 1) / 3).alias("period"))
+    return table(spark, sf, "events").select("event_type", "user_id", "event_id", "value", "ts", (F.day("ts") <= 10).alias("base"), F.floor((F.day("ts") - 1) / 3).alias("period"))
 
 
 _KS = f"""

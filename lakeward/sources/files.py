@@ -12,7 +12,8 @@ from lakeward.operators import relational as R
 
 def binary_stream(spark: SparkSession, folder: str, pattern: str = r"([^/]+)/([^/]+)\.[^./]+$") -> DataFrame:
     """New files as rows: source and key from the path, SHA-256, time and bytes."""
-    files = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    columns = "path string, modificationTime timestamp, length long, content binary"
+    files = spark.readStream.format("binaryFile").schema(columns).option("recursiveFileLookup", "true").load(folder)
     return files.select(
         F.regexp_extract("path", pattern, 1).alias("source"), F.regexp_extract("path", pattern, 2).alias("key"),
         F.sha2("content", 256).alias("sha256"), F.col("modificationTime").alias("modified"), F.col("length").alias("bytes"), "content",
