@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -50,21 +51,32 @@ class Rule:
     large_key: int = 0
 
 
-def symbols(text: bytes | None, rule: Rule, hashes: rolling.WordHashes) -> tuple[list[bytes], np.ndarray]:
-    """The words (none for bytes) and one uint64 a symbol."""
+def symbols(text: bytes | None, rule: Rule) -> np.ndarray:
+    """One uint64 for each word or byte."""
     if rule.words:
-        words = text.split() if text else []
-        return words, hashes.of(words)
-    return [], np.frombuffer(text or b"", np.uint8).astype(np.uint64) + np.uint64(1)
+        return rolling.word_hashes(text or b"")
+    return np.frombuffer(text or b"", np.uint8).astype(np.uint64) + np.uint64(1)
 
 
-def cells(x: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Key and content fingerprint of each cell, and where its content starts and ends."""
-    n, width, block = len(x), rule.width, rule.block
+#: Symbols of short documents that are worked on together.
+TOGETHER = 200_000
+
+Cells = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def cells(xs: list[np.ndarray], rule: Rule) -> Cells:
+    """Of each cell the document (its place in ``xs``), key, content fingerprint, and
+    where the content starts and ends in it; by document."""
+    width, block = rule.width, rule.block
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in xs])]).astype(np.int64)
+    x, n = np.concatenate(xs), int(bounds[-1])
     if n < width:
-        return (np.empty(0, np.uint64),) * 2 + (np.empty(0, np.int64),) * 2
+        return (np.empty(0, np.int64), *(np.empty(0, np.uint64),) * 2, *(np.empty(0, np.int64),) * 2)
+    # Documents stand side by side; a window is valid if it ends in the one it starts in.
+    owner = np.repeat(np.arange(len(xs)), np.diff(bounds))
+    valid = owner[: n - width + 1] == owner[width - 1 :]
     h = rolling.windows(x, block)
-    a, first, last = rolling.anchors(h, width - block + 1)
+    a, first, last = rolling.anchors(h, width - block + 1, valid)
     least, most = a - last, a - first  # how far before the anchor its windows start
     half = (width - block + 1) // 2
     right = width - block - half + 1
@@ -84,8 +96,23 @@ def cells(x: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray
         key = rolling.mixed(h[at] + context * np.uint64(0x9E3779B97F4A7C15) + np.uint64(side))
         starts, ends = at - hi, at - lo + width
         content = rolling.mixed(digest(starts, ends, 1) + (ends - starts).astype(np.uint64))
-        out.append((key, content, starts, ends))
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+        out.append((owner[starts], key, content, starts, ends))
+    doc, key, content, starts, ends = (np.concatenate(c) for c in zip(*out, strict=True))
+    order = np.argsort(doc, kind="stable")
+    doc, starts, ends = doc[order], starts[order], ends[order]
+    return doc, key[order], content[order], starts - bounds[doc], ends - bounds[doc]
+
+
+def together(texts: list[bytes | None], rule: Rule) -> Iterator[tuple[int, list[np.ndarray], Cells]]:
+    """Runs of documents as their first place, their symbols and their cells."""
+    base, xs, size = 0, [], 0
+    for i, text in enumerate(texts):
+        x = symbols(text, rule)
+        xs.append(x)
+        size += len(x)
+        if size >= TOGETHER or i == len(texts) - 1:
+            yield base, xs, cells(xs, rule)
+            base, xs, size = i + 1, [], 0
 
 
 def _kinds(key: np.ndarray, content: np.ndarray) -> np.ndarray:
@@ -102,20 +129,17 @@ def _found(docs: DataFrame, rule: Rule) -> DataFrame:
     """row, doc_id, key, kind, n: the different cells of each document."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = rolling.WordHashes()
         for batch in batches:
-            out = []
-            ids, rows = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "row"))
-            known = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                key, content, _, _ = cells(symbols(text, rule, hashes)[1], rule)
-                if len(key):
-                    kind, first, count = np.unique(_kinds(key, content), return_index=True, return_counts=True)
-                    out.append((np.full(len(kind), i), key[first].view(np.int64), kind, count.astype(np.int32)))
-            if out:
-                at, key, kind, count = (np.concatenate(c) for c in zip(*out, strict=True))
-                doc = pa.array(np.where(known[at], ids[at], 0).astype(np.int64), mask=~known[at])
-                yield pa.RecordBatch.from_arrays([pa.array(rows[at]), doc, pa.array(key), pa.array(kind), pa.array(count)], ["row", "doc_id", "key", "kind", "n"])
+            rows = batch.column("row").to_numpy()
+            for base, _, (at, key, content, _, _) in together(batch.column("text").to_pylist(), rule):
+                kind = _kinds(key, content)
+                order = np.lexsort((kind, at))
+                at, kind, key = at[order], kind[order], key[order]
+                first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (kind[1:] != kind[:-1])])) if len(at) else order
+                count = np.diff(np.concatenate([first, [len(at)]])).astype(np.int32)
+                place = pa.array(base + at[first])
+                columns = [pa.array(rows[base + at[first]]), batch.column("doc_id").take(place), pa.array(key[first].view(np.int64)), pa.array(kind[first]), pa.array(count)]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "key", "kind", "n"])
 
     return _rows(docs).mapInArrow(scan, "row long, doc_id long, key long, kind long, n int")
 
@@ -154,34 +178,49 @@ def _unpacked(text: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(text)
 
 
-def _digest(text: bytes | None, words: list[bytes], covered: np.ndarray, rule: Rule, with_text: bool) -> tuple:
+def _digest(text: bytes | None, covered: np.ndarray, rule: Rule, with_text: bool) -> tuple:
     """n, removed, spans, sha and, if asked for, what is kept."""
     if rule.words:
-        kept = b" ".join(w for w, gone in zip(words, covered.tolist(), strict=True) if not gone) if covered.any() else b" ".join(words)
+        words = (text or b"").split()
+        kept = b" ".join(compress(words, (~covered).tolist()) if covered.any() else words)
     else:
         kept = np.frombuffer(text or b"", np.uint8)[~covered].tobytes()
     return len(covered), int(covered.sum()), len(rolling.runs(covered)[0]), hashlib.sha256(kept).hexdigest(), kept if with_text else None
 
 
+def _by_document(texts: list[bytes | None], rule: Rule) -> Iterator[tuple[np.ndarray, ...]]:
+    """Symbols, keys, contents, starts and ends of one document after the other."""
+    for _, xs, (doc, *columns) in together(texts, rule):
+        edges = np.searchsorted(doc, np.arange(len(xs) + 1))
+        for i, x in enumerate(xs):
+            yield (x, *(c[edges[i] : edges[i + 1]] for c in columns))
+
+
+def length(text: bytes | None, rule: Rule) -> int:
+    return len((text or b"").split() if rule.words else text or b"")
+
+
 def _second_look(docs: DataFrame, told: DataFrame, rule: Rule, with_text: bool) -> DataFrame:
     """Digests of documents that are settled (what 0), the texts of those that are not
     (1), of each opened cell its content (2) and of each crowded one its windows (3)."""
     arrow = to_arrow_schema(StructType.fromDDL(_PARTS))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = rolling.WordHashes()
         for batch in batches:
             out: list[dict] = []
             held = 0
-            for r in batch.to_pylist():
+            rows = batch.to_pylist()
+            told = [any(r[c] for c in ("settled", "opened", "crowded")) for r in rows]
+            found = _by_document([r["text"] for r, some in zip(rows, told, strict=True) if some], rule)
+            for r, some in zip(rows, told, strict=True):
                 settled, opened, crowded = (np.array(r[c] or (), np.int64) for c in ("settled", "opened", "crowded"))
-                words, x = symbols(r["text"], rule, hashes)
-                covered = np.zeros(len(x), bool)
-                if len(settled) + len(opened) + len(crowded):
-                    key, content, starts, ends = cells(x, rule)
+                if some:
+                    x, key, content, starts, ends = next(found)
                     kind = _kinds(key, content)
                     known = np.isin(kind, settled)
                     covered = rolling.painted(len(x), starts[known], ends[known])
+                else:
+                    covered = np.zeros(length(r["text"], rule), bool)
                 base = {"row": r["row"], "doc_id": r["doc_id"]}
                 if len(opened) + len(crowded):
                     runs = np.stack(rolling.runs(covered)).astype(np.int64)
@@ -195,7 +234,7 @@ def _second_look(docs: DataFrame, told: DataFrame, rule: Rule, with_text: bool)
                         places = np.unique(np.concatenate([np.arange(starts[i], ends[i] - rule.width + 1) for i in single]))
                         out += [base | {"what": 3, "start": s, "w1": a, "w2": b} for s, a, b in zip(places.tolist(), both[0][places].tolist(), both[1][places].tolist(), strict=True)]
                 else:
-                    n, removed, spans, sha, kept = _digest(r["text"], words, covered, rule, with_text)
+                    n, removed, spans, sha, kept = _digest(r["text"], covered, rule, with_text)
                     out.append(base | {"what": 0, "n": n, "removed": removed, "spans": spans, "sha": sha, "kept": kept})
                 if held > 16_000_000 or len(out) > 50_000:
                     yield pa.RecordBatch.from_pylist(out, schema=arrow)
@@ -231,16 +270,15 @@ def removal(docs: DataFrame, rule: Rule, repeated: Callable[[DataFrame], DataFra
     joined = waiting.join(found, F.col("row") == F.col("told_row"), "left").drop("told_row")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = rolling.WordHashes()
         for batch in batches:
             out = []
             for r in batch.to_pylist():
                 text = _unpacked(r["text"])
-                words, x = symbols(text, rule, hashes)
+                size = length(text, rule)
                 runs = np.frombuffer(r["covered"], np.int64).reshape(2, -1)
                 starts = np.array(r["starts"] or (), np.int64)
-                covered = rolling.painted(len(x), np.concatenate([runs[0], starts]), np.concatenate([runs[1], starts + rule.width]))
-                out.append((r["doc_id"], *_digest(text, words, covered, rule, with_text)))
+                covered = rolling.painted(size, np.concatenate([runs[0], starts]), np.concatenate([runs[1], starts + rule.width]))
+                out.append((r["doc_id"], *_digest(text, covered, rule, with_text)))
             kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [()] * 6, kinds, strict=True)], list(_DIGEST))
 

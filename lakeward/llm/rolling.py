@@ -6,7 +6,6 @@ Everything here works on one NumPy array at a time, inside a Spark task.
 from __future__ import annotations
 
 import numpy as np
-import xxhash
 
 # Odd, so both have an inverse modulo 2**64.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -61,9 +60,9 @@ def _sliding(x: np.ndarray, width: int, of: np.ufunc, fill: int) -> np.ndarray:
 _PLACE = np.uint64((1 << 24) - 1)
 
 
-def anchors(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors(h: np.ndarray, width: int, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The place of the least of every ``width`` neighbouring fingerprints, and the
-    first and last window it belongs to.
+    first and last window it belongs to, of the windows that are ``valid``.
 
     Fingerprints are compared by their upper 40 bits and then by place, so what is
     chosen depends on the window alone: equal windows choose the same place in them.
@@ -73,10 +72,13 @@ def anchors(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     for base in range(0, max(0, len(h) - width + 1), step):
         part = h[base : base + step + width - 1]
         least = _sliding((part & ~_PLACE) | np.arange(len(part), dtype=np.uint64), width, np.minimum, np.iinfo(np.uint64).max)
-        chosen = (least & _PLACE).astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], chosen[1:] != chosen[:-1]]))
+        at = np.flatnonzero(valid[base : base + len(least)])
+        if not len(at):
+            continue
+        chosen = (least[at] & _PLACE).astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], (chosen[1:] != chosen[:-1]) | (at[1:] != at[:-1] + 1)]))
         last = np.concatenate([first[1:], [len(chosen)]]) - 1
-        chunks.append((chosen[first] + base, first + base, last + base))
+        chunks.append((chosen[first] + base, at[first] + base, at[last] + base))
     if not chunks:
         return (np.empty(0, np.int64),) * 3
     return tuple(np.concatenate(c) for c in zip(*chunks, strict=True))
@@ -96,18 +98,16 @@ def painted(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.cumsum(depth[:-1]) > 0
 
 
-class WordHashes(dict):
-    """64-bit word hashes, kept for words seen before up to a bound."""
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
-    def __init__(self, seed: int = 0, bound: int = 500_000) -> None:
-        super().__init__()
-        self.seed, self.bound = seed, bound
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.bound:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word, self.seed)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def word_hashes(text: bytes) -> np.ndarray:
+    """A 64-bit fingerprint of each word of ``text.split()``, all words at once."""
+    octets = np.frombuffer(text, np.uint8)
+    starts, ends = runs(~_BLANK[octets])
+    up, down = powers(BASES[0], len(octets) + 1)
+    total = np.zeros(len(octets) + 1, np.uint64)
+    np.cumsum((octets + np.uint64(1)) * up[:-1], out=total[1:])
+    length = (ends - starts).astype(np.uint64)
+    return mixed((total[ends] - total[starts]) * down[starts] + length * np.uint64(BASES[1]))

@@ -224,17 +224,26 @@ def test_difference_cover_finds_repeats(text, depth, letters):
     assert suffixes.repeated(x, wanted, depth).tolist() == [seen[text[i : i + depth]] > 1 for i in wanted]
 
 
-@given(st.binary(min_size=0, max_size=300), st.integers(2, 20))
+@given(st.lists(st.binary(min_size=0, max_size=120), min_size=1, max_size=4), st.integers(2, 20))
 @settings(max_examples=80, deadline=None)
-def test_every_window_has_one_cell(text, width):
-    x = np.frombuffer(bytes(b % 3 for b in text), np.uint8).astype(np.uint64)
+def test_every_window_has_one_cell(texts, width):
+    xs = [np.frombuffer(bytes(b % 3 for b in t), np.uint8).astype(np.uint64) for t in texts]
     for block in {1, width // 2 or 1}:
-        key, content, starts, ends = repeats.cells(x, repeats.Rule(width, block, False, False))
-        windows = sorted(s for a, b in zip(starts, ends) for s in range(a, b - width + 1))
-        assert windows == list(range(max(0, len(x) - width + 1)))
-        # Equal windows are under equal keys.
+        doc, key, content, starts, ends = repeats.cells(xs, repeats.Rule(width, block, False, False))
+        windows = sorted((d, s) for d, a, b in zip(doc, starts, ends) for s in range(a, b - width + 1))
+        assert windows == [(d, s) for d, x in enumerate(xs) for s in range(max(0, len(x) - width + 1))]
+        # Equal windows are under equal keys, in whatever document.
         by_window = {}
-        for k, a, b in zip(key.tolist(), starts, ends):
+        for d, k, a, b in zip(doc, key.tolist(), starts, ends):
             for s in range(a, b - width + 1):
-                by_window.setdefault(x[s : s + width].tobytes(), set()).add(k)
+                by_window.setdefault(xs[d][s : s + width].tobytes(), set()).add(k)
         assert all(len(keys) == 1 for keys in by_window.values())
+
+
+@given(st.text(alphabet=" \t\n\x0babc\u00e9\u3000", max_size=60))
+def test_word_hashes_are_those_of_split(text):
+    data = text.encode()
+    words = data.split()
+    hashes = rolling.word_hashes(data).tolist()
+    assert len(hashes) == len(words)
+    assert len({*zip(words, hashes)}) == len(set(words)) == len(set(hashes))
