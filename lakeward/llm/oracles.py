@@ -23,6 +23,20 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN n USING (r) LEFT JOIN i USING (r)
 """
 
+OP2 = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(strlen(text), 0) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, s, md5(substr(h, 2 * s + 1, 800)) AS k FROM (SELECT r, h, unnest(range(n - 399)) AS s FROM d WHERE n >= 400)),
+k AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
+g AS (SELECT r, s, coalesce(s > lag(s) OVER (PARTITION BY r ORDER BY s) + 400, true) AS fresh FROM w SEMI JOIN k USING (k)),
+i AS (SELECT r, sum(fresh::INT) OVER (PARTITION BY r ORDER BY s ROWS UNBOUNDED PRECEDING) AS run, s FROM g),
+spans AS (SELECT r, min(s) AS lo, max(s) + 400 AS hi FROM i GROUP BY r, run),
+parts AS (SELECT r, hi AS lo, coalesce(lead(lo) OVER (PARTITION BY r ORDER BY lo), 1000000000000) AS hi FROM spans UNION ALL SELECT r, 0, min(lo) FROM spans GROUP BY r),
+kept AS (SELECT r, string_agg(substr(h, 2 * lo + 1, 2 * (least(hi, n) - lo)), '' ORDER BY lo) AS x FROM parts JOIN d USING (r) GROUP BY r),
+c AS (SELECT r, sum(hi - lo) AS removed, count(*) AS spans FROM spans GROUP BY r)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(x, h))) AS kept_sha256
+FROM d LEFT JOIN c USING (r) LEFT JOIN kept USING (r)
+"""
+
 OP3 = rf"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, {_BLANK})), 0)::BIGINT AS size, coalesce(md5(doc_id::VARCHAR), '') AS k FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
@@ -57,6 +71,16 @@ SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'bytes' AS law,
 FROM s LEFT JOIN crc USING (r)
 """
 
+OP8 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, {_BLANK}), []) AS w FROM documents),
+x AS (SELECT r, doc_id, s, md5(array_to_string(w[s : s + 49], ' ')) AS k FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 48)) AS s FROM d WHERE len(w) >= 50)),
+f AS (SELECT k, min(doc_id) AS first FROM x GROUP BY k),
+c AS (SELECT DISTINCT r, unnest(range(s, s + 50)) AS p FROM x JOIN f USING (k) WHERE first < doc_id OR (first IS NOT NULL AND doc_id IS NULL)),
+n AS (SELECT r, count(*) AS removed FROM c GROUP BY r),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY p) AS t FROM (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d) ANTI JOIN c USING (r, p) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(removed, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN n USING (r) LEFT JOIN kept USING (r)
+"""
+
 OP9 = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256.0::DOUBLE * x::DOUBLE)) AS v FROM embeddings
            WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -65,4 +89,6 @@ SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
 """
 
-ORACLES = {"op1_decontaminate": OP1, "op3_mix_sources": OP3, "op6_shard": OP6, "op9_top_k": OP9}
+ORACLES = {
+    "op1_decontaminate": OP1, "op2_suffix_dedup": OP2, "op3_mix_sources": OP3, "op6_shard": OP6, "op8_substring_dedup": OP8, "op9_top_k": OP9,
+}
