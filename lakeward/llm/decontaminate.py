@@ -132,10 +132,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, mode: str = "document", width:
     spark = docs.sparkSession
     index = _index(spark, benchmark, width, max_broadcast_words)
     if index is None:
-        if mode == "span":
-            raise ValueError("spans are cut only where the benchmark can be broadcast")
-        bad = _joined(docs, benchmark, width).where("contaminated").select("doc_id").distinct()
-        return docs.join(bad, "doc_id", "left_anti")
+        return _joined_clean(docs, benchmark, width, mode)
     held = spark.sparkContext.broadcast(index)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,38 +166,72 @@ def _without(text: bytes, words: list[bytes], hit: np.ndarray) -> bytes:
     return b"".join([*out, text[done:]])
 
 
-def _joined(docs: DataFrame, benchmark: DataFrame, width: int) -> DataFrame:
-    """The same report where the benchmark is too large to broadcast.
+def _joined_clean(docs: DataFrame, benchmark: DataFrame, width: int, mode: str) -> DataFrame:
+    """``clean`` where the benchmark is too large to broadcast: rows are joined by
+    doc_id and words, which repeated rows share, to the words that are hit."""
+    own = "_" * (1 + max(map(len, docs.columns)))  # no column has so long a name
+    words, _, hits = _hits(docs, benchmark, width)
+    n_hit = F.count("*").alias(f"{own}n")
+    bad = hits.select("row", "at").distinct().groupBy(F.col("row").alias(f"{own}row")).agg(F.sort_array(F.collect_list("at")).alias(f"{own}at"), n_hit)
+    joined = docs.withColumn(f"{own}w", words).withColumn(f"{own}key", F.xxhash64(F.col("doc_id").cast("long"), f"{own}w"))
+    joined = joined.join(bad, F.col(f"{own}key") == F.col(f"{own}row"), "left")
+    over = F.coalesce(20 * F.col(f"{own}n") >= F.size(f"{own}w"), F.lit(False))
+    if mode == "document":
+        return joined.where(~over).select(*docs.columns)
+
+    columns, place = docs.columns, f"{own}at"
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in rows_of(batches):
+            new = []
+            for text, at in zip(texts, batch.column(place).to_pylist(), strict=True):
+                split = plain_words(text)
+                hit = np.zeros(len(split), bool)
+                hit[at or []] = True
+                new.append(_without(text, split, hit) if at else text)
+            column = batch.schema.get_field_index("text")
+            yield batch.set_column(column, "text", pa.array(new, pa.binary()).cast(pa.string())).select(columns)
+
+    marked = joined.withColumn(f"{own}at", F.when(over, F.col(f"{own}at"))).select(*docs.columns, f"{own}at")
+    return marked.mapInArrow(cut, docs.schema)
+
+
+def _hits(docs: DataFrame, benchmark: DataFrame, width: int) -> tuple[F.Column, DataFrame, DataFrame]:
+    """A document's words as a column of ``text``; doc_id, row and words of the
+    documents; row, item and place (at) of every hit word.
 
     Word positions that hold an item's window are found by a join on the window's
     words; the join is split by Spark where one window is common.
     """
-    pattern = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-    folded = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    keyed = docs.select(F.col("doc_id").cast("long"), F.regexp_extract_all(folded, F.lit(pattern), F.lit(0)).alias("w"))
-    keyed = keyed.withColumn("row", F.xxhash64("doc_id", "w"))
-    items = _benchmark(benchmark).select("item", F.regexp_extract_all(F.translate(F.col("text").cast("string"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(pattern), F.lit(0)).alias("w")).where(F.size("w") > 0)
+    pattern = F.lit("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")
+    folded = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = F.regexp_extract_all(folded, pattern, F.lit(0))
+    keyed = docs.select(F.col("doc_id").cast("long"), words.alias("w")).withColumn("row", F.xxhash64("doc_id", "w"))
+    items = _benchmark(benchmark).select("item", words.alias("w")).where(F.size("w") > 0)
 
     def grams(df: DataFrame, size: F.Column, *keep: str) -> DataFrame:
         starts = F.sequence(F.lit(0), F.size("w") - size)
-        return df.where(F.size("w") >= size).select(*keep, size.alias("size"), F.posexplode(F.transform(starts, lambda i: F.array_join(F.slice("w", i + 1, size), " "))).alias("at", "gram"))
+        return df.where(F.size("w") >= size).select(*keep, size.alias("size"), F.posexplode(F.transform(starts, lambda i: F.array_join(F.slice("w", i + 1, size), " "))).alias("start", "gram"))
 
     wanted = grams(items, F.least(F.size("w"), F.lit(width)), "item").select("item", "size", "gram").distinct()
-    sizes = [r[0] for r in wanted.select("size").distinct().collect()]  # at most ``width`` rows
-    probes = None
-    for size in sizes:
-        part = grams(keyed, F.lit(size), "doc_id", "row")
-        probes = part if probes is None else probes.unionByName(part)
-    base = keyed.select("doc_id", "row", F.size("w").cast("long").alias("n_words"))
-    if probes is None:
-        found = base.select("row").limit(0).withColumns({"items": F.array().cast("array<string>"), "n_hit": F.lit(0).cast("long")})
+    found = None
+    for (size,) in wanted.select("size").distinct().collect():  # at most ``width`` rows
+        part = grams(keyed, F.lit(size), "row").join(wanted.where(F.col("size") == size).drop("size"), "gram")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        hits = keyed.select("row", F.lit("").alias("item"), F.lit(0).alias("at")).limit(0)
     else:
-        hits = probes.join(wanted, ["size", "gram"]).select("row", "item", "size", "at").distinct()
-        n_hit = hits.select("row", F.explode(F.sequence("at", F.col("at") + F.col("size") - 1)).alias("at")).distinct().groupBy("row").agg(F.count("*").alias("n_hit"))
-        found = hits.groupBy("row").agg(F.sort_array(F.collect_set("item")).alias("items")).join(n_hit, "row")
-    joined = base.join(found, "row", "left")
-    hit, items_col = F.coalesce("n_hit", F.lit(0)), F.coalesce("items", F.array().cast("array<string>"))
+        hits = found.select("row", "item", F.explode(F.sequence("start", F.col("start") + F.col("size") - 1)).alias("at"))
+    return words, keyed, hits
+
+
+def _joined(docs: DataFrame, benchmark: DataFrame, width: int) -> DataFrame:
+    """The same report where the benchmark is too large to broadcast."""
+    _, keyed, hits = _hits(docs, benchmark, width)
+    found = hits.groupBy("row").agg(F.sort_array(F.collect_set("item")).alias("items"), F.count_distinct("at").alias("n_hit"))
+    joined = keyed.select("doc_id", "row", F.size("w").cast("long").alias("n_words")).join(found, "row", "left")
+    hit, items = F.coalesce("n_hit", F.lit(0)), F.coalesce("items", F.array().cast("array<string>"))
     return joined.select(
-        "doc_id", "n_words", hit.cast("long").alias("n_hit"), F.size(items_col).cast("long").alias("n_items"),
-        F.sha2(F.array_join(items_col, ","), 256).alias("items_sha256"), ((hit > 0) & (20 * hit >= F.col("n_words"))).alias("contaminated"),
+        "doc_id", "n_words", hit.cast("long").alias("n_hit"), F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), ((hit > 0) & (20 * hit >= F.col("n_words"))).alias("contaminated"),
     )

@@ -62,11 +62,12 @@ def test_contamination_of_empty_tables(spark):
     assert not decontaminate.contamination(frame(spark, []), none).count()
 
 
-def test_cleaning_drops_documents_or_spans(spark):
+@pytest.mark.parametrize("bound", [10_000, 0])
+def test_cleaning_drops_documents_or_spans(spark, bound):
     items = spark.createDataFrame([(1, "Alpha beta, gamma")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "See: ALPHA  beta gamma! And more", "en", "s", 1), (2, "alpha gamma", "en", "s", 1)], DOCS)
-    assert [r.doc_id for r in decontaminate.clean(docs, items).collect()] == [2]
-    spans = {r.doc_id: r.text for r in decontaminate.clean(docs, items, mode="span").collect()}
+    assert [r.doc_id for r in decontaminate.clean(docs, items, max_broadcast_words=bound).collect()] == [2]
+    spans = {r.doc_id: r.text for r in decontaminate.clean(docs, items, mode="span", max_broadcast_words=bound).collect()}
     assert spans == {1: "See: ! And more", 2: "alpha gamma"}
 
 
