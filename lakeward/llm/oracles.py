@@ -25,7 +25,8 @@ FROM d LEFT JOIN n USING (r) LEFT JOIN i USING (r)
 
 OP2 = """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(strlen(text), 0) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
-w AS (SELECT r, s, md5(substr(h, 2 * s + 1, 800)) AS k FROM (SELECT r, h, unnest(range(n - 399)) AS s FROM d WHERE n >= 400)),
+p AS (SELECT r, c, substr(h, 2 * c + 1, 1798) AS h FROM (SELECT r, h, unnest(range(0, n - 399, 500)) AS c FROM d WHERE n >= 400)),
+w AS (SELECT r, c + i AS s, md5(substr(h, 2 * i + 1, 800)) AS k FROM (SELECT r, c, h, unnest(range(least(500, length(h) // 2 - 399))) AS i FROM p)),
 k AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
 g AS (SELECT r, s, coalesce(s > lag(s) OVER (PARTITION BY r ORDER BY s) + 400, true) AS fresh FROM w SEMI JOIN k USING (k)),
 i AS (SELECT r, sum(fresh::INT) OVER (PARTITION BY r ORDER BY s ROWS UNBOUNDED PRECEDING) AS run, s FROM g),
