@@ -13,7 +13,7 @@ from lakeward.sources import files
 from lakeward.streaming import events as E
 
 
-def _folder(spark: SparkSession) -> str:
+def folder(spark: SparkSession) -> str:
     """A fresh folder that driver and executors share."""
     root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lakeward-")
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
@@ -24,18 +24,18 @@ def _stream(spark: SparkSession, sf: str, delay: str = "60 days") -> DataFrame:
     return E.event_stream(spark, sf, schema, delay, pathGlobFilter="events.parquet")
 
 
-def _finished(stream: DataFrame, folder: str) -> DataFrame:
+def _finished(stream: DataFrame, path: str) -> DataFrame:
     """The stream's rows once all there is has been read."""
-    writer = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/log").trigger(availableNow=True)
-    run = writer.start(f"{folder}/out")
+    writer = stream.writeStream.format("parquet").option("checkpointLocation", f"{path}/log").trigger(availableNow=True)
+    run = writer.start(f"{path}/out")
     run.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")
 
 
 @query("SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS distinct_n FROM events GROUP BY 1")
 def t01_distinct_ingest(spark: SparkSession, sf: str) -> DataFrame:
     """A file stream with keys delivered once."""
-    out = _finished(E.distinct_events(_stream(spark, sf), "event_id"), _folder(spark))
+    out = _finished(E.distinct_events(_stream(spark, sf), "event_id"), folder(spark))
     return out.groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("distinct_n"))
 
 
@@ -45,19 +45,19 @@ SELECT strftime(start, '%Y-%m-%d') AS day, event_type, n, round(total, 4) AS tot
 """)
 def t02_closed_windows(spark: SparkSession, sf: str) -> DataFrame:
     """Daily windows that the watermark has closed."""
-    out = _finished(E.windowed(_stream(spark, sf, "2 days"), "1 day", "event_type"), _folder(spark))
+    out = _finished(E.windowed(_stream(spark, sf, "2 days"), "1 day", "event_type"), folder(spark))
     return out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query()
 def t02_batch_drift(spark: SparkSession, sf: str) -> DataFrame:
     """Each micro-batch against a static baseline."""
-    folder = _folder(spark)
+    path = folder(spark)
     baseline = table(spark, sf, "events").where(F.day("ts") <= 10)
-    writer = _stream(spark, sf).where(F.day("ts") > 10).writeStream.foreachBatch(E.drift_writer(baseline, "event_type", "value", f"{folder}/out"))
-    run = writer.option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start()
+    writer = _stream(spark, sf).where(F.day("ts") > 10).writeStream.foreachBatch(E.drift_writer(baseline, "event_type", "value", f"{path}/out"))
+    run = writer.option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.parquet(f"{folder}/out").select("event_type", "ks", "psi", "alert", "warning")
+    return spark.read.parquet(f"{path}/out").select("event_type", "ks", "psi", "alert", "warning")
 
 
 @query("""
@@ -74,7 +74,7 @@ def t04_sessions(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT 1 AS version, count(*) AS n FROM region UNION ALL SELECT 2, count(*) - 1 FROM region UNION ALL SELECT 3, count(*) FROM region")
 def s11_versions(spark: SparkSession, sf: str) -> DataFrame:
     """A table rewritten from itself, restored, and read by version."""
-    held = files.VersionedTable(spark, _folder(spark))
+    held = files.VersionedTable(spark, folder(spark))
     held.create(table(spark, sf, "region"))
     held.write(held.read().where("r_regionkey <> 0"))
     held.restore(1)
@@ -88,20 +88,20 @@ def s11_versions(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT c_custkey, c_name, '' AS note FROM customer WHERE c_custkey % 7 = 0")
 def s07_text_csv(spark: SparkSession, sf: str) -> DataFrame:
     """CSV written and read back as text, empty fields kept."""
-    folder = _folder(spark)
+    path = folder(spark)
     rows = table(spark, sf, "customer").where("c_custkey % 7 = 0").select(F.col("c_custkey").cast("string"), "c_name", F.lit("").alias("note"))
-    rows.write.option("header", True).option("emptyValue", '""').csv(folder)
-    return files.text_csv(spark, folder, rows.columns).withColumn("c_custkey", F.col("c_custkey").cast("long"))
+    rows.write.option("header", True).option("emptyValue", '""').csv(path)
+    return files.text_csv(spark, path, rows.columns).withColumn("c_custkey", F.col("c_custkey").cast("long"))
 
 
 @query("SELECT user_id AS id, max(event_type) AS state FROM events WHERE user_id <= 300 GROUP BY 1")
 def s08_last_delivery(spark: SparkSession, sf: str) -> DataFrame:
     """JSON lines delivered in several files, the last file of an id wins."""
-    folder = _folder(spark)
+    path = folder(spark)
     rows = table(spark, sf, "events").where("user_id <= 300").select(F.col("user_id").alias("id"), F.col("event_type").alias("state"))
     for state in [r[0] for r in rows.select("state").distinct().orderBy("state").collect()]:
-        rows.where(F.col("state") == state).distinct().coalesce(1).write.json(f"{folder}/{state}")
-    read = files.json_lines(spark, f"{folder}/*", "id long, state string", stream=False)
+        rows.where(F.col("state") == state).distinct().coalesce(1).write.json(f"{path}/{state}")
+    read = files.json_lines(spark, f"{path}/*", "id long, state string", stream=False)
     return files.last_per_key(read, "id").select("id", "state")
 
 

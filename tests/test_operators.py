@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakeward.functions import columns as C
-from lakeward.operators import cdm, cohort, monitoring, splitting, texts, vectors
+from lakeward.operators import cdm, cohort, evidence, monitoring, splitting, texts, vectors
 from lakeward.operators import gates as G
 from lakeward.operators import relational as R
 from lakeward.operators import statistics as S
@@ -333,3 +333,21 @@ def test_service_needs_approval_and_keeps_its_log(spark):
     assert service.audit.faults() == [] and [e["event"] for e in service.audit.entries].count("refused") == 2
     service.audit.entries[1]["reason"] = "changed"
     assert service.audit.faults() == ["1: edited"]
+
+
+# ---- evidence -------------------------------------------------------------------------
+
+
+def test_leaves_stale_files_and_manifests(spark):
+    assert evidence.numeric_leaves('{"a": {"b": [1, true, {"c": 2.5}]}, "d": "3", "e": null}') == [("a.b[0]", 1.0), ("a.b[2].c", 2.5)]
+    files = spark.createDataFrame([("a", b"x"), ("b", b"y")], "name string, content binary")
+    index = files.select("name", F.sha2("content", 256).alias("sha256"))
+    assert all(r["passed"] for r in evidence.manifest_gates(index, files).collect())
+    worse = index.unionByName(spark.createDataFrame([("../c", "0"), ("a", "0")], "name string, sha256 string"))
+    assert {r["name"]: r["violations"] for r in evidence.manifest_gates(worse, files).collect()} == {"plain_name": 1, "listed_once": 1, "as_hashed": 2}
+    assert sorted(tuple(r) for r in evidence.stale(files, worse).collect()) == [("../c", "missing"), ("a", "changed")]
+
+
+def test_identifiers_are_stable(spark):
+    rows = evidence.with_uid(spark.createDataFrame([("k",), ("k",), (None,)], "key string"), "key").collect()
+    assert rows[0]["uid"] == rows[1]["uid"] and rows[0]["uid"].startswith("2.25.") and rows[2]["uid"] is None
