@@ -111,12 +111,26 @@ def classification(rows: DataFrame, groups: Sequence[str], truth: str, guess: st
     return per_class.groupBy(*groups).agg(F.sum("support").alias("n"), F.count("*").alias("classes"), right.alias("accuracy"), F.avg("recall").alias("balanced_accuracy"))
 
 
-def triage_threshold(rows: DataFrame, score: str, positive: str, target: float) -> DataFrame:
-    """threshold: the k-th largest score of the positives, k = ceil(target * n)."""
-    hits = rows.where(positive).groupBy(score).agg(F.count("*").alias("n"))
-    n = hits.agg(F.sum("n").alias("total"))
-    seen = F.sum("n").over(Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0))
-    return hits.withColumn("seen", seen).join(n, F.lit(True)).where(F.col("seen") >= F.ceil(F.col("total") * target)).agg(F.max(score).alias("threshold"))
+def triage_threshold(rows: DataFrame, score: str, positive: str, target: float, buckets: int = 256) -> DataFrame:
+    """threshold: the k-th largest score of the positives, k = ceil(target * n).
+
+    Approximate quantiles cut the scores into ``buckets``; counts tell which of them
+    holds the k-th, and only that one is put in order.
+    """
+    hits = rows.where(positive).where(F.col(score).isNotNull()).select(F.col(score).alias("s"))
+    cuts = hits.agg(F.percentile_approx("s", [i / buckets for i in range(1, buckets)], 10 * buckets)).first()[0]
+    edges = sorted(set(cuts or []))
+    placed = hits.withColumn("b", F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col("s"))) if edges else F.lit(0))
+    counts = sorted(((r["b"], r["count"]) for r in placed.groupBy("b").count().collect()), reverse=True)  # at most ``buckets`` rows
+    k, above, chosen = math.ceil(target * sum(n for _, n in counts)), 0, -1
+    for bucket, n in counts:
+        if above + n >= k:
+            chosen = bucket
+            break
+        above += n
+    counted = placed.where(F.col("b") == chosen).groupBy("s").agg(F.count("*").alias("n"))
+    seen = F.sum("n").over(Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)) + above
+    return counted.withColumn("seen", seen).where(F.col("seen") >= k).agg(F.max("s").alias("threshold"))
 
 
 def expected_calibration_error(rows: DataFrame, groups: Sequence[str], confidence: str, correct: str, bins: int = 15) -> DataFrame:

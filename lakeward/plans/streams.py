@@ -60,6 +60,24 @@ def t02_batch_drift(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{path}/out").select("event_type", "ks", "psi", "alert", "warning")
 
 
+@query("""
+WITH r AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE user_id < 40),
+t AS (WITH RECURSIVE s AS (SELECT user_id, i, event_id, ts AS a, NULL::TIMESTAMP AS b, true AS passed FROM r WHERE i = 1
+  UNION ALL SELECT r.user_id, r.i, r.event_id, CASE WHEN s.b IS NOT NULL AND s.b > r.ts - INTERVAL 2 DAYS THEN s.a ELSE r.ts END,
+  CASE WHEN s.b IS NOT NULL AND s.b > r.ts - INTERVAL 2 DAYS THEN s.b ELSE s.a END, NOT (s.b IS NOT NULL AND s.b > r.ts - INTERVAL 2 DAYS) FROM s JOIN r ON r.user_id = s.user_id AND r.i = s.i + 1) SELECT * FROM s)
+SELECT user_id AS key, event_id, passed FROM t
+""")
+def t03_rate_limit(spark: SparkSession, sf: str) -> DataFrame:
+    """At most two requests of a client in two days, as keyed stream state."""
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return _finished(E.rate_limited(_stream(spark, sf).where("user_id < 40"), "user_id", 2, 2 * 86_400), folder(spark))
+    finally:
+        spark.conf.set(setting, before)
+
+
 @query("""
 WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 12 HOURS THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
