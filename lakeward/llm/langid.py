@@ -43,7 +43,11 @@ def fold(doc_id: Column) -> Column:
 
 
 def words_of(text: str | None) -> list[str]:
-    return _LETTERS.findall(text.lower()) if text else []
+    """Lower-cased runs of letters. A run without one, such as of fractions, is none."""
+    if not text:
+        return []
+    words = _LETTERS.findall(text.lower())
+    return words if text.isascii() else [w for w in words if w.isalpha() or any(map(str.isalpha, w))]
 
 
 _FACTOR, _SEED = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x632BE59BD9B4E019)

@@ -49,13 +49,17 @@ class Rule:
     earlier: bool
     words: bool
     large_key: int = 0
+    piece: int = 1_000_000
 
 
 def symbols(text: bytes | None, rule: Rule) -> np.ndarray:
-    """One uint64 for each word or byte."""
-    if rule.words:
-        return rolling.word_hashes(text or b"")
-    return np.frombuffer(text or b"", np.uint8).astype(np.uint64) + np.uint64(1)
+    """A word's fingerprint (uint64) or a byte (uint8) each."""
+    return rolling.word_hashes(text or b"") if rule.words else np.frombuffer(text or b"", np.uint8)
+
+
+def wide(x: np.ndarray) -> np.ndarray:
+    """Symbols as uint64, none of them zero for a byte."""
+    return x if x.dtype == np.uint64 else x.astype(np.uint64) + np.uint64(1)
 
 
 #: Symbols of short documents that are worked on together.
@@ -69,7 +73,7 @@ def cells(xs: list[np.ndarray], rule: Rule) -> Cells:
     where the content starts and ends in it; by document."""
     width, block = rule.width, rule.block
     bounds = np.concatenate([[0], np.cumsum([len(x) for x in xs])]).astype(np.int64)
-    x, n = np.concatenate(xs), int(bounds[-1])
+    x, n = wide(np.concatenate(xs)), int(bounds[-1])
     if n < width:
         return (np.empty(0, np.int64), *(np.empty(0, np.uint64),) * 2, *(np.empty(0, np.int64),) * 2)
     # Documents stand side by side; a window is valid if it ends in the one it starts in.
@@ -103,16 +107,34 @@ def cells(xs: list[np.ndarray], rule: Rule) -> Cells:
     return doc, key[order], content[order], starts - bounds[doc], ends - bounds[doc]
 
 
+def long_cells(x: np.ndarray, rule: Rule) -> Cells:
+    """``cells`` of one document, in pieces that share no window. A cell may be cut
+    where pieces meet, which leaves it to be looked into."""
+    out = []
+    for base in range(0, len(x) - rule.width + 1, rule.piece):
+        doc, key, content, starts, ends = cells([x[base : base + rule.piece + rule.width - 1]], rule)
+        out.append((doc, key, content, starts + base, ends + base))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
 def together(texts: list[bytes | None], rule: Rule) -> Iterator[tuple[int, list[np.ndarray], Cells]]:
     """Runs of documents as their first place, their symbols and their cells."""
     base, xs, size = 0, [], 0
     for i, text in enumerate(texts):
         x = symbols(text, rule)
+        if len(x) > rule.piece + rule.width:
+            if xs:
+                yield base, xs, cells(xs, rule)
+            yield i, [x], long_cells(x, rule)
+            base, xs, size = i + 1, [], 0
+            continue
         xs.append(x)
         size += len(x)
-        if size >= TOGETHER or i == len(texts) - 1:
+        if size >= TOGETHER:
             yield base, xs, cells(xs, rule)
             base, xs, size = i + 1, [], 0
+    if xs:
+        yield base, xs, cells(xs, rule)
 
 
 def _kinds(key: np.ndarray, content: np.ndarray) -> np.ndarray:
@@ -188,6 +210,23 @@ def _digest(text: bytes | None, covered: np.ndarray, rule: Rule, with_text: bool
     return len(covered), int(covered.sum()), len(rolling.runs(covered)[0]), hashlib.sha256(kept).hexdigest(), kept if with_text else None
 
 
+def _windows(x: np.ndarray, starts: np.ndarray, ends: np.ndarray, rule: Rule) -> tuple[np.ndarray, ...]:
+    """Places of the windows inside some contents, each once, and their fingerprints."""
+    spans = list(zip(starts.tolist(), ends.tolist(), strict=True))
+    places = [np.arange(a, b - rule.width + 1) for a, b in spans]
+    if len(x) <= rule.piece:  # one pass over all of it is cheaper than one for each content
+        rows = [(np.concatenate(places), 0, x)]
+    else:
+        rows = [(at, a, x[a:b]) for at, (a, b) in zip(places, spans, strict=True)]
+    out = []
+    for at, base, part in rows:
+        part = wide(part)
+        out.append((at, *(rolling.windows(part, rule.width, which).view(np.int64)[at - base] for which in (0, 1))))
+    at, first, second = (np.concatenate(c) for c in zip(*out, strict=True))
+    once = np.unique(at, return_index=True)[1]
+    return at[once], first[once], second[once]
+
+
 def _by_document(texts: list[bytes | None], rule: Rule) -> Iterator[tuple[np.ndarray, ...]]:
     """Symbols, keys, contents, starts and ends of one document after the other."""
     for _, xs, (doc, *columns) in together(texts, rule):
@@ -230,9 +269,8 @@ def _second_look(docs: DataFrame, told: DataFrame, rule: Rule, with_text: bool)
                     out += [base | {"what": 2, "key": int(key[i].view(np.int64)), "start": int(starts[i]), "content": r["text"][starts[i] : ends[i]]} for i in whole]
                     held += len(r["text"]) + int((ends[whole] - starts[whole]).sum())
                     if len(single):
-                        both = [rolling.windows(x, rule.width, which).view(np.int64) for which in (0, 1)]
-                        places = np.unique(np.concatenate([np.arange(starts[i], ends[i] - rule.width + 1) for i in single]))
-                        out += [base | {"what": 3, "start": s, "w1": a, "w2": b} for s, a, b in zip(places.tolist(), both[0][places].tolist(), both[1][places].tolist(), strict=True)]
+                        places, first, second = _windows(x, starts[single], ends[single], rule)
+                        out += [base | {"what": 3, "start": s, "w1": a, "w2": b} for s, a, b in zip(places.tolist(), first.tolist(), second.tolist(), strict=True)]
                 else:
                     n, removed, spans, sha, kept = _digest(r["text"], covered, rule, with_text)
                     out.append(base | {"what": 0, "n": n, "removed": removed, "spans": spans, "sha": sha, "kept": kept})

@@ -102,12 +102,25 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """A 64-bit fingerprint of each word of ``text.split()``, all words at once."""
+def word_hashes(text: bytes, step: int = 1 << 20) -> np.ndarray:
+    """A 64-bit fingerprint of each word of ``text.split()``, all words at once.
+
+    Long texts are worked on in pieces of about ``step`` bytes that end at a blank.
+    """
     octets = np.frombuffer(text, np.uint8)
-    starts, ends = runs(~_BLANK[octets])
-    up, down = powers(BASES[0], len(octets) + 1)
-    total = np.zeros(len(octets) + 1, np.uint64)
-    np.cumsum((octets + np.uint64(1)) * up[:-1], out=total[1:])
-    length = (ends - starts).astype(np.uint64)
-    return mixed((total[ends] - total[starts]) * down[starts] + length * np.uint64(BASES[1]))
+    out, at = [], 0
+    while at < len(octets) or not out:
+        to = min(at + step, len(octets))
+        while to < len(octets) and not _BLANK[octets[to]]:
+            to += 1
+        part = octets[at:to]
+        starts, ends = runs(~_BLANK[part])
+        up, down = powers(BASES[0], len(part) + 1)
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part + np.uint64(1)) * up[:-1], out=total[1:])
+        length = (ends - starts).astype(np.uint64)
+        out.append(mixed((total[ends] - total[starts]) * down[starts] + length * np.uint64(BASES[1])))
+        at = to
+        if at >= len(octets):
+            break
+    return np.concatenate(out)

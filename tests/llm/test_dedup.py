@@ -215,6 +215,16 @@ def test_suffixes_of_the_contract_width(spark):
     assert not suffix_dedup.deduplicated(frame(spark, [])).count()
 
 
+def test_long_documents_go_in_pieces(spark):
+    rows = corpus()[:-1] + [(501, prose(1, 60) * 3, "en", "s0", 0)]
+    rule = repeats.Rule(60, 16, earlier=False, words=False, piece=150)
+    got = repeats.removal(frame(spark, rows), rule, lambda parts: repeats.compared(parts, rule))
+    assert Counter((r.doc_id, r.n, r.removed, r.spans, r.sha) for r in got.collect()) == plain_suffixes(rows, 60)
+    rule = repeats.Rule(8, 3, earlier=True, words=True, piece=40)
+    got = repeats.removal(frame(spark, rows), rule, lambda parts: repeats.compared(parts, rule))
+    assert Counter((r.doc_id, r.n, r.removed, r.sha) for r in got.collect()) == plain_substrings(rows, 8)
+
+
 @given(st.binary(min_size=1, max_size=400), st.sampled_from([24, 25, 40, 61]), st.integers(1, 4))
 @settings(max_examples=80, deadline=None)
 def test_difference_cover_finds_repeats(text, depth, letters):
@@ -241,10 +251,24 @@ def test_every_window_has_one_cell(texts, width):
         assert all(len(keys) == 1 for keys in by_window.values())
 
 
+@given(st.binary(min_size=30, max_size=400), st.integers(1, 60))
+@settings(max_examples=60, deadline=None)
+def test_pieces_of_a_long_document_have_the_same_windows(text, piece):
+    x = np.frombuffer(bytes(b % 3 for b in text), np.uint8)
+    rule = repeats.Rule(20, 6, False, False, piece=piece)
+    keys = []
+    for cells in (repeats.cells([x], rule), repeats.long_cells(x, rule)):
+        _, key, _, starts, ends = cells
+        keys.append({s: k for k, a, b in zip(key.tolist(), starts, ends) for s in range(a, b - rule.width + 1)})
+        assert sum(int(b - a) - rule.width + 1 for a, b in zip(starts, ends)) == len(x) - rule.width + 1
+    assert keys[0] == keys[1]
+
+
 @given(st.text(alphabet=" \t\n\x0babc\u00e9\u3000", max_size=60))
 def test_word_hashes_are_those_of_split(text):
     data = text.encode()
     words = data.split()
     hashes = rolling.word_hashes(data).tolist()
     assert len(hashes) == len(words)
+    assert hashes == rolling.word_hashes(data, 7).tolist()
     assert len({*zip(words, hashes)}) == len(set(words)) == len(set(hashes))

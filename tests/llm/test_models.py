@@ -45,6 +45,7 @@ def test_languages_are_told_apart_on_held_out_rows(spark):
 
 
 def test_language_without_anything_to_learn(spark):
+    assert langid.words_of("½ ² 12 _ x½ É") == ["x½", "é"]
     docs = frame(spark, [(1, "some text", None, "s", 1)])
     assert [r.lang_pred for r in langid.identified(docs).collect()] == ["und"]
     assert not langid.identified(frame(spark, [])).count()
