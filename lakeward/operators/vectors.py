@@ -6,7 +6,10 @@ driver, whose size does not grow with the rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,16 +38,29 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def moments(df: DataFrame, vector: str) -> tuple[int, np.ndarray, np.ndarray]:
-    """Rows, mean and covariance (over n) of the vectors, from one aggregate of the
-    sums of products; the result is as wide as the vector, squared."""
-    n, width = df.agg(F.count("*"), F.max(F.size(vector))).first()
-    pairs = df.select(F.posexplode(vector).alias("i", "x"), F.col(vector).alias("v")).select("i", "x", F.posexplode("v").alias("j", "y")).where("i <= j")
-    mean, second = np.zeros(width or 0), np.zeros((width or 0, width or 0))
-    for r in df.select(F.posexplode(vector).alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m")).collect():
-        mean[r["i"]] = r["m"]
-    for r in pairs.groupBy("i", "j").agg(F.sum(F.col("x").cast("double") * F.col("y").cast("double")).alias("s")).collect():
-        second[r["i"], r["j"]] = second[r["j"], r["i"]] = r["s"]
-    return n, mean, second / max(1, n) - np.outer(mean, mean)
+    """Rows, mean and covariance (over n) of the vectors that are there.
+
+    Each task sums its rows' products with NumPy and gives one number for each pair of
+    coordinates; Spark adds those up, so what reaches the driver is as wide as the
+    vector, squared, however many rows there are.
+    """
+    width = df.agg(F.max(F.size(vector))).first()[0] or 0
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((width + 1, width + 1))
+        for batch in batches:
+            x = np.array([[1.0, *v] for v in batch.column(0).to_pylist()], np.float64).reshape(-1, width + 1)
+            total += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["at", "s"])
+
+    parts = df.where(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>").alias("v")).mapInArrow(summed, "at long, s double")
+    total = np.zeros((width + 1) ** 2)
+    for r in parts.groupBy("at").agg(F.sum("s").alias("s")).collect():
+        total[r["at"]] = r["s"]
+    total = total.reshape(width + 1, width + 1)
+    n = max(1.0, total[0, 0])
+    mean = total[0, 1:] / n
+    return int(total[0, 0]), mean, total[1:, 1:] / n - np.outer(mean, mean)
 
 
 def components(df: DataFrame, vector: str, k: int) -> tuple[np.ndarray, np.ndarray]:
