@@ -27,7 +27,7 @@ def s10_named_views(spark: SparkSession, sf: str) -> DataFrame:
 @query("""
 WITH u AS (SELECT l_partkey AS sku, count(*) AS n, sum(l_quantity) AS q FROM lineitem GROUP BY 1),
 j AS (SELECT u.*, p_retailprice AS price, p_partkey FROM u LEFT JOIN part ON p_partkey = sku)
-SELECT (SELECT count(*) FROM lineitem) AS usage_rows, sum(n)::BIGINT AS joined_rows, coalesce(sum(n) FILTER (price IS NULL), 0)::BIGINT AS unpriced, round(sum(q * price), 4) AS cost,
+SELECT (SELECT count(*) FROM lineitem) AS usage_rows, sum(n)::BIGINT AS joined_rows, coalesce(sum(n) FILTER (price IS NULL), 0)::BIGINT AS unpriced, sum(q::BIGINT * round(price * 100)::BIGINT)::BIGINT AS cost_cents,
   (SELECT count(*) FROM lineitem) = sum(n) AND count(*) FILTER (price IS NULL) = 0 AS passed FROM j
 """)
 def s12_priced_usage(spark: SparkSession, sf: str) -> DataFrame:
@@ -39,7 +39,7 @@ def s12_priced_usage(spark: SparkSession, sf: str) -> DataFrame:
     used = lines.groupBy(F.col("l_partkey").alias("sku")).agg(F.count("*").alias("n"), F.sum("l_quantity").alias("q"))
     priced = used.join(table(spark, sf, "part"), F.col("p_partkey") == F.col("sku"), "left")
     bare = F.col("p_retailprice").isNull()
-    sums = priced.agg(F.sum("n").alias("joined_rows"), F.coalesce(F.sum(F.when(bare, F.col("n"))), F.lit(0)).alias("unpriced"), F.round(F.sum(F.col("q") * F.col("p_retailprice")), 4).alias("cost"))
+    sums = priced.agg(F.sum("n").alias("joined_rows"), F.coalesce(F.sum(F.when(bare, F.col("n"))), F.lit(0)).alias("unpriced"), F.sum(F.col("q").cast("long") * F.round(F.col("p_retailprice") * 100).cast("long")).alias("cost_cents"))
     both = lines.agg(F.count("*").alias("usage_rows")).join(sums)  # one row each
     return both.withColumn("passed", (F.col("usage_rows") == F.col("joined_rows")) & (F.col("unpriced") == 0))
 
