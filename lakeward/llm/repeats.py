@@ -8,7 +8,8 @@ a cell; its key is the anchor with that context, so equal windows meet under one
 1. Cells are counted by key and by whole content. A content that occurs again settles
    all of its windows at once, however many copies there are.
 2. Where one key has different contents, a single copy of each is open, and only its
-   windows are looked at one by one.
+   windows are looked at one by one. Where only earlier copies count, every place that
+   no earlier copy has settled is open.
 3. Texts are joined once with what was found about their cells, and documents with
    open cells a second time with the windows that turned out repeated.
 
@@ -174,13 +175,16 @@ def _told(docs: DataFrame, rule: Rule) -> DataFrame:
     kinds = found.groupBy("key", "kind").agg(F.sum("n").alias("n"), F.count("*").alias("rows"), first)
     shared = kinds.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("kinds"), F.sum("n").alias("all")).where("all > 1")
     marked = stored(kinds.join(shared, F.col("key") == F.col("k")).drop("k"), "kinds")
-    again = marked.where("rows > 1" if rule.earlier else "n > 1").select(F.col("key").alias("k"), F.col("kind").alias("k2"), F.col("first.doc_id").alias("first_doc"))
+    again = marked.where("rows > 1" if rule.earlier else "n > 1").select(F.col("key").alias("k"), F.col("kind").alias("k2"), F.col("first.doc_id").alias("first_doc"), "kinds")
     copies = found.join(again, (F.col("key") == F.col("k")) & (F.col("kind") == F.col("k2")))
-    if rule.earlier:
-        copies = copies.where(_EARLIER)
-    settled = copies.select("row", "kind", F.lit("settled").alias("state"))
-    state = F.when(F.col("kinds") > rule.large_key, "crowded").otherwise("opened").alias("state")
-    both = settled.unionByName(marked.where("kinds > 1").select(F.col("first.row").alias("row"), "kind", state))
+    state = F.when(F.col("kinds") > rule.large_key, "crowded").otherwise("opened")
+    if rule.earlier:  # copies without an earlier one, of equal or no doc_id, are open in each row
+        settled = F.coalesce(F.expr(_EARLIER), F.lit(False))
+        copies = copies.where(settled | (F.col("kinds") > 1)).select("row", "kind", F.when(settled, "settled").otherwise(state).alias("state"))
+        single = marked.where("kinds > 1 and rows = 1")
+    else:
+        copies, single = copies.select("row", "kind", F.lit("settled").alias("state")), marked.where("kinds > 1")
+    both = copies.unionByName(single.select(F.col("first.row").alias("row"), "kind", state.alias("state")))
     lists = [F.collect_set(F.when(F.col("state") == s, F.col("kind"))).alias(s) for s in ("settled", "opened", "crowded")]
     told = stored(both.groupBy(F.col("row").alias("told_row")).agg(*lists), "told")
     discard(docs.sparkSession, found, marked)
@@ -265,7 +269,8 @@ def _second_look(docs: DataFrame, told: DataFrame, rule: Rule, with_text: bool)
                     runs = np.stack(rolling.runs(covered)).astype(np.int64)
                     out.append(base | {"what": 1, "text": _packed(r["text"]), "covered": runs.tobytes()})
                     unique, first = np.unique(kind, return_index=True)
-                    whole, single = first[np.isin(unique, opened)], first[np.isin(unique, crowded)]
+                    whole = first[np.isin(unique, opened)]
+                    single = np.flatnonzero(np.isin(kind, crowded)) if rule.earlier else first[np.isin(unique, crowded)]
                     out += [base | {"what": 2, "key": int(key[i].view(np.int64)), "start": int(starts[i]), "content": r["text"][starts[i] : ends[i]]} for i in whole]
                     held += len(r["text"]) + int((ends[whole] - starts[whole]).sum())
                     if len(single):

@@ -184,6 +184,24 @@ def test_substrings_of_brute_force(spark):
     assert not substrings.deduplicated(frame(spark, [])).count()
 
 
+def repeated_sections(n):
+    """An earlier passage of n words, in a section that a later document has twice, and
+    in one that rows of equal and of no doc_id share."""
+    passage = prose(900, n)
+    twice, equal, none = (f"{prose(s, 80)} {passage} {prose(s + 1, 80)}" for s in (910, 920, 930))
+    texts = [(3, f"{prose(901, 60)} {passage} {prose(902, 60)}"), (5, f"{twice} {prose(903, 70)} {twice}")]
+    texts += [(7, f"{prose(s, 40)} {equal}") for s in (904, 905)] + [(None, f"{prose(s, 40)} {none}") for s in (906, 907)]
+    return [(d, t, "en", "s", 1) for d, t in texts]
+
+
+@pytest.mark.parametrize("n", [50, 52, 55, 80])
+def test_every_place_of_an_earlier_passage_goes(spark, n):
+    rows = repeated_sections(n)
+    got = substrings.deduplicated(frame(spark, rows))
+    assert rows_of(got.drop("n_spans")) == plain_substrings(rows)
+    assert {r.n_removed for r in got.where("doc_id = 5").collect()} == {2 * n}
+
+
 def plain_suffixes(docs, width):
     seen = Counter()
     texts = [raw(t) for _, t, *_ in docs]
