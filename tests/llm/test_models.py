@@ -183,3 +183,54 @@ def test_containment_is_that_of_brute_force():
 def test_hundreds_of_rules_each_gated():
     assert len(licenses.RULES) > 200
     assert DOCS and all(r.keyword for r in licenses.RULES)
+
+
+def shortest(parsed):
+    """Every text, of the fewest repeats, that a parsed pattern matches, with one of each set of characters."""
+    out = [""]
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            more = [chr(arg)]
+        elif name == "IN":
+            more = [chr(next(v for o, v in arg if str(o) == "LITERAL"))] if any(str(o) == "LITERAL" for o, _ in arg) else ["1"]
+        elif name == "BRANCH":
+            more = [t for branch in arg[1] for t in shortest(branch)]
+        elif name == "SUBPATTERN":
+            more = shortest(arg[-1])
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            more = shortest(arg[2]) if arg[0] else [""]
+        else:
+            assert name in ("ASSERT", "ASSERT_NOT"), name
+            more = [""]
+        out = [a + b for a in out for b in more]
+    return out
+
+
+def test_each_match_of_a_rule_holds_its_keyword():
+    for r in licenses.RULES:
+        for text in shortest(re._parser.parse(r.pattern.pattern.decode("latin-1"))):
+            raw = text.encode("latin-1")
+            assert r.pattern.search(raw) and r.keyword in raw, (r.label, raw)
+            assert licenses.detections(raw), raw
+
+
+def test_licenses_without_a_neighbour_of_their_name():
+    names = lambda text: [r.label for _, _, r in licenses.detections(text.encode())]
+    assert names("released under the Expat License") == names("X11 license") == ["mit"]
+    assert names("SPDX-License-Identifier: MPL-1.1") == ["mpl-1.1"]
+    assert names("Internet Systems Consortium License") == ["isc"]
+    assert names("It may not be reproduced.") == ["no-redistribution"]
+
+
+def test_names_wrap_and_keep_their_places():
+    said = "the GNU Lesser General Public License"
+    for apart in ("\n", "  ", "\t", "\r\n", "\n * ", "\n\t# ", "\n// ", "\n//", " *\n * ", " * ", "\n;; ", "\ndnl ", "\n-- ", ' "\n  "', " */\n/* ", "\n *\n * "):
+        for wrapped in (said.replace("Public ", "Public" + apart), said.replace(" ", apart)):
+            before = f"/*{apart}See é, "
+            found = licenses.detections(f"{before}{wrapped}{apart}for more.".encode())
+            assert [(s, e, r.label) for s, e, r in found] == [(len(before.encode()), len((before + wrapped).encode()), "lgpl")], apart
+    plain = "see  the MIT License,\n provided \"as is\", without  any warranty; copyright (c) 2001 or http://www.gnu.org/licenses/gpl-3.0"
+    assert [plain[s:e] for s, e, _ in licenses.detections(plain.encode())] == ["the MIT License", 'provided "as is", without  any warranty', "copyright (c) 2001", "http://www.gnu.org/licenses/gpl-3.0"]
+    for long in (" ", "*", "\n", " *", '"', "-", "\n*"):
+        assert [r.label for _, _, r in licenses.detections((long * 300_000 + " MIT License").encode())] == ["mit"]
