@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -98,18 +100,36 @@ def chain_faults(log: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
     return log.withColumns({"gap": F.col("seq") != place, "broken": F.col("prev") != before, "edited": F.col("hash") != again})
 
 
-def chained(df: DataFrame, groups: Sequence[str], order: Sequence[str], body: Column, depth: int) -> DataFrame:
-    """A hash-chained log of at most ``depth`` entries a group, folded in order."""
-    ordered = F.sort_array(F.collect_list(F.struct(*order, body.alias("body"))))
-    start = F.array().cast("array<struct<seq: int, prev: string, body: string, hash: string>>")
+def chained(df: DataFrame, groups: Sequence[str], order: Sequence[str], body: Column, depth: int | None = None) -> DataFrame:
+    """A hash-chained log of each group's entries in order, or of the first ``depth``.
 
-    def add(log: Column, row: Column) -> Column:
-        seq, prev = F.size(log), F.coalesce(F.try_element_at(log, F.lit(-1))["hash"], F.lit(""))
-        entry = F.struct(seq.alias("seq"), prev.alias("prev"), row["body"].alias("body"), F.sha2(F.concat_ws("|", seq, prev, row["body"]), 256).alias("hash"))
-        return F.concat(log, F.array(entry))
-
-    logs = df.groupBy(*groups).agg(F.slice(ordered, 1, depth).alias("rows"))
-    return logs.select(*groups, F.explode(F.aggregate("rows", start, add)).alias("e")).select(*groups, "e.*")
+    Each entry needs the hash before it, so a group's entries pass one task in order,
+    which holds a batch of them and the last hash.
+    """
+    keys = [f"_g{i}" for i in range(len(groups))]
+    rows = df.select(*(F.col(g).alias(k) for g, k in zip(groups, keys, strict=True)), *(F.col(o).alias(f"_o{i}") for i, o in enumerate(order)), body.cast("string").alias("body"))
+    dealt = rows.repartition(*keys) if keys else rows.repartition(1)
+    dealt = dealt.sortWithinPartitions(*keys, *(f"_o{i}" for i in range(len(order))), "body").select(*keys, "body")
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, seq, last = None, 0, ""
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                held = repr([row[k] for k in keys])  # a group of NaN equals itself
+                if held != group:
+                    group, seq, last = held, 0, ""
+                parts = [str(seq), last, *([] if row["body"] is None else [row["body"]])]
+                digest = hashlib.sha256("|".join(parts).encode()).hexdigest()
+                out.append((seq, last, digest))
+                seq, last = seq + 1, digest
+            columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [()] * 3, (pa.int32(), pa.string(), pa.string()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), columns[0], columns[1], batch.column("body"), columns[2]], [*keys, "seq", "prev", "body", "hash"])
+
+    kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in dealt.select(*keys).schema) if keys else ""
+    log = dealt.mapInArrow(link, f"{kinds}seq int, prev string, body string, hash string")
+    log = log if depth is None else log.where(F.col("seq") < depth)
+    return log.select(*(F.col(k).alias(g) for g, k in zip(groups, keys, strict=True)), "seq", "prev", "body", "hash")
 
 
 def multiset_difference(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Operators on tiny frames: one breakage one gate, nulls, known values, brute force."""
 
+import hashlib
 import itertools
 import math
 from datetime import datetime
@@ -107,6 +108,27 @@ def test_chain_faults_tell_what_is_wrong(spark):
     assert faults(log.where("seq <> 2")) == {3: (True, True, False), 4: (True, False, False)}
 
 
+def test_chains_hold_whole_groups_over_batches(spark):
+    rows = [(u, i, None if i == 7 else f"body{i * i % 11}") for u, n in (("hot", 300), (None, 3), ("v", 90)) for i in range(n)]
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, 32)
+    try:
+        events = spark.createDataFrame(rows[::-1], "u string, i int, b string")
+        got = R.chained(events, ["u"], ["i"], F.col("b")).collect()
+        assert R.chain_faults(R.chained(events, ["u"], ["i"], F.col("b")), ["u"]).where("gap or broken or edited").count() == 0
+        assert R.chained(events, [], ["u", "i"], F.col("b")).agg(F.max("seq")).first()[0] == len(rows) - 1
+        assert R.chained(events, ["u"], ["i"], F.col("b"), 5).count() == 13
+    finally:
+        spark.conf.set(setting, before)
+    wanted, last = set(), {}
+    for u, i, b in rows:
+        prev = last.get(u, "")
+        last[u] = hashlib.sha256("|".join([str(i), prev, *([b] if b is not None else [])]).encode()).hexdigest()
+        wanted.add((u, i, prev, b, last[u]))
+    assert {tuple(r) for r in got} == wanted and len(got) == len(rows)
+
+
 def test_multisets_and_history(spark):
     a, b = (spark.createDataFrame([(x,) for x in rows], "x int") for rows in ([1, 1, 2], [1, 2, 3]))
     assert sorted((r["side"], r["x"]) for r in R.multiset_difference(a, b).collect()) == [("left", 1), ("right", 3)]
