@@ -6,7 +6,8 @@ cutting between keys. A key with more than ``LARGE_KEY`` contents is not sorted
 task: its windows are compared over all tasks, by 128-bit fingerprints.
 
 Before that, contents that occur again as a whole are settled by counting, and keys
-with one content are left out; both are exact and leave the suffixes of open cells.
+with one content are left out, which leaves the suffixes of open cells. Contents are
+equal there by a 64-bit fingerprint under a 64-bit key, and no bytes are compared.
 
 Nulls and ties: a null text is empty; rows that repeat a document are copies of each
 other and lose every byte that a string of the given length covers. A shorter document
