@@ -230,7 +230,11 @@ def judged(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold:
 
 
 def accepted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents the classifier does not reject, whole rows."""
+    """The documents the classifier does not reject, whole rows; all of them where the
+    labels have nothing to fit it on."""
+    model = fitted(docs, labels, sample)
+    if model is None:
+        return docs
     own = "_" * (1 + max(map(len, docs.columns)))  # no column has so long a name
     names = (f"{own}score", f"{own}predicted")
-    return scored(docs, fitted(docs, labels, sample), threshold, names).where(F.col(names[1]) == 1).drop(*names)
+    return scored(docs, model, threshold, names).where(F.col(names[1]) == 1).drop(*names)

@@ -236,17 +236,20 @@ def _named(marked: DataFrame, radius: int) -> DataFrame:
 def deduplicated(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
     """The document with the smallest doc_id of each near group, whole rows.
 
-    Of rows that repeat a doc_id the one with the least text stays. A group in which
-    no document has a doc_id keeps one of its rows.
+    Of a group's rows that repeat this doc_id the one with the least text hash stays;
+    rows of one doc_id in several groups are judged apart. A group in which no document
+    has a doc_id keeps one of its rows.
     """
-    marked = stored(fingerprints(docs, shingle), "fingerprints")
+    digest = F.xxhash64("text")
+    marked = stored(fingerprints(docs.select("doc_id", "text", digest.alias("_digest")), shingle, ("_digest",)), "fingerprints")
     named = _named(marked, radius)
-    ids = marked.join(named, "fp").where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(ids, docs["doc_id"].cast("long") == ids["_kept"], "left_semi")
+    own = marked.join(named, "fp").where("doc_id = component_id")
+    ids = own.groupBy("root").agg(F.min("doc_id").alias("_kept"), F.min("_digest").alias("_least"))
+    kept = docs.join(ids, (docs["doc_id"].cast("long") == ids["_kept"]) & (F.xxhash64(docs["text"]) == ids["_least"]), "left_semi")
     nameless = docs.where("doc_id is null").select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
     groups = named.where("component_id is null").select("fp", "root")
     lone = fingerprints(nameless, shingle, ("_row",)).join(groups, "fp").groupBy("root").agg(F.min_by("_row", "fp").alias("_row"))
-    first = Window.partitionBy("doc_id").orderBy("text")
+    first = Window.partitionBy("doc_id", digest).orderBy("text")
     at = "_place" + "_" * sum(c.startswith("_place") for c in docs.columns)
     single = kept.withColumn(at, F.row_number().over(first)).where(F.col(at) == 1).drop(at)
     return single.unionByName(lone.select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns)))

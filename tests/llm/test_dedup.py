@@ -153,6 +153,14 @@ def test_one_document_of_each_group_stays(spark):
     assert not simhash.near_duplicates(frame(spark, [])).count()
 
 
+def test_groups_of_a_repeated_id_are_judged_apart(spark):
+    a, b, c = prose(6, 200), prose(7, 200), prose(8, 200)
+    rows = [(2, a, "en", "s", 1), (2, b, "en", "s", 1), (2, b, "en", "s", 1), (5, a, "en", "s", 1), (6, b, "en", "s", 1), (1, c, "en", "s", 1), (3, c, "en", "s", 1), (3, prose(9, 200), "en", "s", 1)]
+    for given in (rows, [(d, {a: b, b: a}.get(t, t), *rest) for d, t, *rest in rows]):
+        kept = simhash.deduplicated(frame(spark, given)).collect()
+        assert Counter((r.doc_id, r.text) for r in kept) == Counter([(2, a), (2, b), (1, c), (3, prose(9, 200))])
+
+
 # ---- repeats --------------------------------------------------------------------------
 
 

@@ -133,6 +133,13 @@ def test_risk_never_counts_below_zero():
     assert (margin[:210] > 0).mean() > 0.8 and (margin[210:] < 0).mean() > 0.8
 
 
+def test_labels_without_a_positive_reject_nothing(spark):
+    docs, labels, _ = rated(120)
+    for rows in ([], [(i, 0, t) for i, _, t in labels]):
+        kept = quality.accepted(frame(spark, docs), spark.createDataFrame(rows, LABELS))
+        assert Counter(r.doc_id for r in kept.collect()) == Counter(d for d, *_ in docs)
+
+
 # ---- licenses -------------------------------------------------------------------------
 
 
