@@ -206,9 +206,12 @@ def cohort_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     return {"person": person, "condition_occurrence": condition, "procedure_occurrence": lines.select(F.col("o_custkey").alias("person_id"), code.alias("procedure_concept_id"))}
 
 
-@query(_COHORT + """SELECT step, label, persons, CASE WHEN persons BETWEEN 1 AND 10 OR before - persons BETWEEN 1 AND 10 THEN '<11' ELSE persons::VARCHAR END AS shown FROM (SELECT *, (WITH RECURSIVE r AS (
+_STEPS = """, shown AS (SELECT step, label, persons, CASE WHEN persons BETWEEN 1 AND 10 OR before - persons BETWEEN 1 AND 10 THEN '<11' ELSE persons::VARCHAR END AS shown FROM (SELECT *, (WITH RECURSIVE r AS (
 SELECT 0 AS step, persons AS last, persons FROM steps WHERE step = 0 UNION ALL SELECT s.step, CASE WHEN s.persons BETWEEN 1 AND 10 OR r.last - s.persons BETWEEN 1 AND 10 THEN r.last ELSE s.persons END, s.persons FROM r JOIN steps s ON s.step = r.step + 1)
-SELECT max(last) FROM r WHERE r.step = o.step - 1) AS before FROM steps o)""")
+SELECT max(last) FROM r WHERE r.step = o.step - 1) AS before FROM steps o))"""
+
+
+@query(_COHORT + _STEPS + "SELECT * FROM shown")
 def c02_attrition(spark: SparkSession, sf: str) -> DataFrame:
     """Attrition of a cohort definition with small steps hidden."""
     return cohort.suppressed_steps(cohort.attrition(cohort_tables(spark, sf), cohort.defined(DEFINITION)))
@@ -233,7 +236,11 @@ def c10_approval(spark: SparkSession, sf: str) -> DataFrame:
     return cohort.approval(rows)
 
 
-@query()
+@query(_COHORT + _STEPS + """, b AS (SELECT gender, (floor(age / 10) * 10)::INT AS age_band, count(*) AS persons FROM s3 GROUP BY ALL),
+t AS (SELECT count(*) FILTER (persons BETWEEN 1 AND 10) > 0 AS low, count(*) AS k, coalesce(sum(persons), 0) AS persons FROM b),
+f AS (SELECT low OR shown.shown = '<11' AS hide, shown.shown = '<11' OR low AND (t.k = 1 OR t.persons < t.k + 10) AS total FROM shown, t WHERE step = 3)
+SELECT step AS release, '[]' AS cell, CASE WHEN step = 3 AND total THEN '<11' ELSE shown END AS shown FROM shown, f
+UNION ALL SELECT 4, '[' || gender || ', ' || age_band || ']', CASE WHEN hide OR total THEN '<11' ELSE persons::VARCHAR END FROM b, f""")
 def c12_service(spark: SparkSession, sf: str) -> DataFrame:
     """A definition approved, run and released through the guard."""
     service = cohort.Service(spark, cohort_tables(spark, sf))
