@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lakeward.functions import columns as C
 from lakeward.operators import relational as R
 from lakeward.operators import statistics as S
+from lakeward.operators.ranks import quantile
 
 LEAST = 100
 
@@ -83,8 +84,9 @@ def mix_alert(mix: DataFrame, n: str, alert_p: float = 0.01, alert_tvd: float =
 def confidence_shift(rows: DataFrame, groups: Sequence[str], value: str, baseline: str, shift: float = 0.05, alert_p: float = 0.01) -> DataFrame:
     """groups, ks, median_change, alert."""
     ks = S.ecdf_distance(rows, groups, value, baseline)
-    median = lambda which: F.percentile(F.when(which, F.col(value)), F.lit(0.5))
-    change = rows.groupBy(*groups).agg((median(~F.col(baseline)) - median(F.col(baseline))).alias("median_change"))
+    medians = quantile(rows, [*groups, baseline], value, 0.5, "median")
+    median = lambda which: F.max(F.when(which, F.col("median")))
+    change = medians.groupBy(*groups).agg((median(~F.col(baseline)) - median(F.col(baseline))).alias("median_change"))
     p = S.ks_p_value(F.col("ks"), F.col("n_base"), F.col("n_now"))
     return ks.join(change, list(groups)).withColumn("alert", (F.col("n_now") >= LEAST) & (p < alert_p) & (F.abs("median_change") >= shift))
 

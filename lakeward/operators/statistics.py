@@ -1,7 +1,7 @@
 """Two-sample tests, ranks, calibration and confusion, as grouped plans.
 
-Values are counted first and windows run over the distinct values of a group, so no
-sort is over all rows in one partition. An empty group gives null, never an error.
+Values are counted first and totals run over the ranges of ``ranks``, so no group is
+one task, whatever its size. An empty group gives null, never an error.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeward.functions import columns as C
+from lakeward.operators.ranks import quantile, quantiles, running
 
 EPS = 1e-6
 
@@ -23,10 +24,8 @@ def ecdf_distance(rows: DataFrame, groups: Sequence[str], value: str, baseline:
     ``baseline`` is the boolean column that tells the two samples apart.
     """
     counted = rows.groupBy(*groups, value).agg(F.count_if(F.col(baseline)).alias("b"), F.count_if(~F.col(baseline)).alias("c"))
-    upto = Window.partitionBy(*groups).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy(*groups)
-    gap = F.abs(C.ratio(F.sum("b").over(upto), F.sum("b").over(every)) - C.ratio(F.sum("c").over(upto), F.sum("c").over(every)))
-    return counted.withColumn("gap", gap).groupBy(*groups).agg(F.sum("b").alias("n_base"), F.sum("c").alias("n_now"), F.max("gap").alias("ks"))
+    upto = lambda c: C.ratio(F.col(f"{c}_before") + F.col(c), F.col(f"{c}_all"))
+    return running(counted, groups, value, ["b", "c"]).withColumn("gap", F.abs(upto("b") - upto("c"))).groupBy(*groups).agg(F.sum("b").alias("n_base"), F.sum("c").alias("n_now"), F.max("gap").alias("ks"))
 
 
 def ks_p_value(distance: Column, n: Column, m: Column, terms: int = 100) -> Column:
@@ -49,12 +48,11 @@ def population_stability(rows: DataFrame, groups: Sequence[str], value: str, bas
     Bins are closed on the left. Equal edges leave bins without a value; both shares
     are then EPS, which adds nothing.
     """
-    cuts = F.array(*(F.lit(i / bins) for i in range(1, bins)))
-    edges = rows.groupBy(*groups).agg(F.percentile(F.when(F.col(baseline), F.col(value)), cuts).alias("edges"))
+    edges = quantiles(rows.where(baseline), groups, value, [i / bins for i in range(1, bins)], "edges")
     keys = [F.col(g).alias(f"_{g}") for g in groups]
     named = edges.select(*keys, "edges")
     same = [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in groups] or [F.lit(True)]
-    placed = rows.join(named, same).withColumn("bin", F.size(F.filter("edges", lambda e: e <= F.col(value))))
+    placed = rows.join(named, same, "left").withColumn("bin", F.size(F.filter("edges", lambda e: e <= F.col(value))))
     counted = placed.groupBy(*groups, "bin").agg(F.count_if(F.col(baseline)).alias("b"), F.count_if(~F.col(baseline)).alias("c"))
     every = Window.partitionBy(*groups)
     # Bins without a row in either sample have equal shares and no term.
@@ -75,21 +73,19 @@ def drift(rows: DataFrame, groups: Sequence[str], value: str, baseline: str, lea
 def mid_ranks(rows: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
     """One row for each distinct value: how many rows it has and their average rank."""
     counted = rows.groupBy(*groups, value).agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(*groups).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return counted.withColumn("rank", before + (F.col("n") + 1) / 2)
+    return running(counted, groups, value, ["n"]).withColumn("rank", F.col("n_before") + (F.col("n") + 1) / 2).drop("n_before", "n_all")
 
 
 def auroc(rows: DataFrame, groups: Sequence[str], value: str, positive: str) -> DataFrame:
     """groups, n_pos, n_neg, auroc with average ranks for ties; null without both."""
     counted = rows.groupBy(*groups, value).agg(F.count_if(F.col(positive)).alias("p"), F.count_if(~F.col(positive)).alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.partitionBy(*groups).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    wins = F.sum(F.col("p") * (F.col("below") + F.col("q") / 2))
-    return counted.withColumn("below", below).groupBy(*groups).agg(F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"), wins.alias("wins")).withColumn("auroc", C.ratio(F.col("wins"), F.col("n_pos") * F.col("n_neg"))).drop("wins")
+    wins = F.sum(F.col("p") * (F.col("q_before") + F.col("q") / 2))
+    return running(counted, groups, value, ["q"]).groupBy(*groups).agg(F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"), wins.alias("wins")).withColumn("auroc", C.ratio(F.col("wins"), F.col("n_pos") * F.col("n_neg"))).drop("wins")
 
 
 def false_positive_rate(rows: DataFrame, groups: Sequence[str], value: str, positive: str, tpr: float = 0.95) -> DataFrame:
     """groups, fpr: the share of positives at or below the ``tpr`` quantile of the rest."""
-    cut = rows.groupBy(*groups).agg(F.percentile(F.when(~F.col(positive), F.col(value)), F.lit(tpr)).alias("cut"))
+    cut = quantile(rows.where(~F.col(positive)), groups, value, tpr, "cut")
     return rows.where(positive).join(cut, list(groups)).groupBy(*groups).agg(F.avg((F.col(value) <= F.col("cut")).cast("int")).alias("fpr"))
 
 
@@ -111,26 +107,11 @@ def classification(rows: DataFrame, groups: Sequence[str], truth: str, guess: st
     return per_class.groupBy(*groups).agg(F.sum("support").alias("n"), F.count("*").alias("classes"), right.alias("accuracy"), F.avg("recall").alias("balanced_accuracy"))
 
 
-def triage_threshold(rows: DataFrame, score: str, positive: str, target: float, buckets: int = 256) -> DataFrame:
-    """threshold: the k-th largest score of the positives, k = ceil(target * n).
-
-    Approximate quantiles cut the scores into ``buckets``; counts tell which of them
-    holds the k-th, and only that one is put in order.
-    """
-    hits = rows.where(positive).where(F.col(score).isNotNull()).select(F.col(score).alias("s"))
-    cuts = hits.agg(F.percentile_approx("s", [i / buckets for i in range(1, buckets)], 10 * buckets)).first()[0]
-    edges = sorted(set(cuts or []))
-    placed = hits.withColumn("b", F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col("s"))) if edges else F.lit(0))
-    counts = sorted(((r["b"], r["count"]) for r in placed.groupBy("b").count().collect()), reverse=True)  # at most ``buckets`` rows
-    k, above, chosen = math.ceil(target * sum(n for _, n in counts)), 0, -1
-    for bucket, n in counts:
-        if above + n >= k:
-            chosen = bucket
-            break
-        above += n
-    counted = placed.where(F.col("b") == chosen).groupBy("s").agg(F.count("*").alias("n"))
-    seen = F.sum("n").over(Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)) + above
-    return counted.withColumn("seen", seen).where(F.col("seen") >= k).agg(F.max("s").alias("threshold"))
+def triage_threshold(rows: DataFrame, score: str, positive: str, target: float) -> DataFrame:
+    """threshold: the k-th largest score of the positives, k = ceil(target * n)."""
+    counted = rows.where(positive).where(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.count("*").alias("n"))
+    enough = F.col("n_all") - F.col("n_before") >= F.ceil(F.lit(target) * F.col("n_all"))
+    return running(counted, [], "s", ["n"]).where(enough).agg(F.max("s").alias("threshold"))
 
 
 def expected_calibration_error(rows: DataFrame, groups: Sequence[str], confidence: str, correct: str, bins: int = 15) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from lakeward.functions import columns as C
 from lakeward.operators import relational as R
+from lakeward.operators.ranks import quantile, quantiles
 from lakeward.registry import query, table
 
 def by_day() -> Column:
@@ -83,7 +84,7 @@ FROM events, (VALUES (0.1::DOUBLE), (0.5::DOUBLE), (0.9::DOUBLE)) AS t(q) GROUP
 """)
 def a13_quantiles(spark: SparkSession, sf: str) -> DataFrame:
     qs = [0.1, 0.5, 0.9]
-    grouped = table(spark, sf, "events").groupBy("event_type").agg(F.percentile("value", F.array(*map(F.lit, qs))).alias("v"))
+    grouped = quantiles(table(spark, sf, "events"), ["event_type"], "value", qs, "v")
     pairs = F.explode(F.arrays_zip(F.array(*map(F.lit, qs)).alias("q"), "v"))
     return grouped.select("event_type", pairs.alias("p")).select("event_type", F.col("p.q").alias("q"), F.round("p.v", 6).alias("v"))
 
@@ -339,7 +340,8 @@ def a21_turnaround(spark: SparkSession, sf: str) -> DataFrame:
     events = table(spark, sf, "events").select("event_type", "user_id", "event_id", "ts", seconds.alias("s"))
     gap = F.col("s") - F.lag("s").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     gaps = events.withColumn("gap", gap).where("gap is not null")
-    return gaps.groupBy("event_type").agg(F.round(F.percentile("gap", F.lit(0.5)), 3).alias("median_s"), F.max("gap").alias("longest_s"))
+    medians = quantile(gaps, ["event_type"], "gap", 0.5, "median_s").withColumn("median_s", F.round("median_s", 3))
+    return gaps.groupBy("event_type").agg(F.max("gap").alias("longest_s")).join(medians, "event_type").select("event_type", "median_s", "longest_s")
 
 
 @query("""

@@ -13,6 +13,7 @@ from lakeward.operators import gates as G
 from lakeward.operators import monitoring as M
 from lakeward.operators import relational as R
 from lakeward.operators import statistics as S
+from lakeward.operators.ranks import quantile
 from lakeward.plans.streams import folder
 from lakeward.registry import query, table
 
@@ -193,7 +194,7 @@ def d21_detection(spark: SparkSession, sf: str) -> DataFrame:
     """How often and how soon sequences are detected, with Wilson rates."""
     first = F.min(F.when(F.col("value") > 100, F.day("ts")))
     runs = table(spark, sf, "events").groupBy("user_id", (F.col("event_type") == "error").alias("changed")).agg(first.alias("first"))
-    out = runs.groupBy("changed").agg(F.count("*").alias("n"), F.count("first").alias("hits"), F.percentile("first", F.lit(0.5)).alias("median_day"))
+    out = runs.groupBy("changed").agg(F.count("*").alias("n"), F.count("first").alias("hits")).join(quantile(runs, ["changed"], "first", 0.5, "median_day"), "changed", "left")
     return out.withColumn("low", F.round(C.wilson(F.col("hits"), F.col("n"))[0], 6))
 
 

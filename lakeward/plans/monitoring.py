@@ -11,6 +11,7 @@ from lakeward.operators import splitting as P
 from lakeward.operators import statistics as S
 from lakeward.operators import texts as X
 from lakeward.operators import vectors as V
+from lakeward.operators.ranks import quantile, running
 from lakeward.registry import query, table
 
 _EV = "e AS (SELECT event_type, user_id, event_id, value, day(ts) <= 10 AS base, (day(ts) - 1) // 3 AS period, ts FROM events)"
@@ -89,7 +90,7 @@ WITH {_EV}, c AS (SELECT quantile_cont(value, 0.95) AS cut FROM e WHERE base) SE
 def d09_alert_rate(spark: SparkSession, sf: str) -> DataFrame:
     """The share of each group above the baseline's 95th percentile."""
     rows = events(spark, sf)
-    cut = rows.where("base").agg(F.percentile("value", F.lit(0.95)).alias("cut"))
+    cut = quantile(rows.where("base"), [], "value", 0.95, "cut")
     return rows.where("not base").join(cut, F.lit(True)).groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg((F.col("value") > F.col("cut")).cast("int")), 9).alias("alert_rate"))
 
 
@@ -372,8 +373,11 @@ SELECT event_type, coverage, count(*) AS kept, round(avg(ok::INT), 9) AS accurac
 """)
 def w12_risk_coverage(spark: SparkSession, sf: str) -> DataFrame:
     """Accuracy of the rows kept at each coverage, the most doubtful left out first."""
-    group = Window.partitionBy("event_type")
-    ranked = table(spark, sf, "events").select("event_type", (F.col("user_id") % 3 == 0).alias("ok"), F.row_number().over(group.orderBy(F.desc("value"), "event_id")).alias("p"), F.count("*").over(group).alias("n"))
+    rows = table(spark, sf, "events").select("event_type", "value", "event_id", (F.col("user_id") % 3 == 0).alias("ok"))
+    places = running(rows.groupBy("event_type", "value").agg(F.count("*").alias("c")), ["event_type"], "value", ["c"])
+    within = F.row_number().over(Window.partitionBy("event_type", "value").orderBy("event_id"))
+    after = F.col("c_all") - F.col("c_before") - F.col("c")
+    ranked = rows.withColumn("p", within).join(places, ["event_type", "value"]).select("event_type", "ok", (F.col("p") + after).alias("p"), F.col("c_all").alias("n"))
     grid = ranked.withColumn("coverage", F.explode(F.array(F.lit(0.5), F.lit(0.75), F.lit(1.0))))
     kept = grid.where(F.col("p") > F.col("n") - F.bround(F.col("coverage") * F.col("n")))
     return kept.groupBy("event_type", "coverage").agg(F.count("*").alias("kept"), F.round(F.avg(F.col("ok").cast("int")), 9).alias("accuracy"))
