@@ -1,22 +1,22 @@
 """Benchmark decontamination by word n-grams.
 
 Every 13-word window of the benchmark items (a shorter item is one window) becomes a
-fingerprint over ids of the benchmark's own words. The set is broadcast when its size
-is under ``max_broadcast_words``; each task then slides the same windows over whole
-documents and verifies a fingerprint hit word by word. Beyond that size the windows
-are joined instead: only windows made of item words, keyed by fingerprint, are
-shuffled, and equality of the words themselves is part of the join.
+fingerprint. The index holds them as a sorted array beside the items' words, and is
+broadcast when a bound of its bytes, taken before it is built, is under
+``max_index_bytes``; each task then slides the same windows over whole documents and
+verifies a fingerprint hit word by word. Beyond that size the windows are joined
+instead: all windows of the documents are shuffled by their words.
 
 Nulls and ties: a null text has no words; an item with a null text or without words
 has no window; items with equal windows all count; a null item_id counts as "". Rows
 are judged one by one, so repeated rows each give a row. Empty tables give no
-contaminated document. Other columns of either table are ignored.
+contaminated document. A very long text is worked on in pieces of ``PIECE`` words, as
+arrays. Other columns of either table are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,62 +25,95 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeward.llm import rolling
-from lakeward.llm.words import plain_words, rows_of
+from lakeward.llm.words import folded, rows_of
 
 WINDOW = 13
-#: Words of all benchmark texts up to which their windows are broadcast.
-MAX_BROADCAST_WORDS = 5_000_000
+#: Bytes of the index up to which it is broadcast, in the driver and in each worker.
+MAX_INDEX_BYTES = 100_000_000
+#: Words of a document that are looked up together.
+PIECE = 1_000_000
 
+_PATTERN = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 _REPORT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
+def _places(plain: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a folded text start and end."""
+    return rolling.runs(np.frombuffer(plain, np.uint8) != 0x20)
+
+
 class NgramIndex:
-    """Item windows by length and fingerprint."""
+    """Item windows by length and fingerprint, over the items' words side by side."""
 
     def __init__(self, items: list[tuple[str, bytes]], width: int) -> None:
-        self.ids: dict[bytes, int] = {}
-        found: dict[int, dict[int, list[tuple[tuple[bytes, ...], set[str]]]]] = defaultdict(dict)
+        self.items = sorted({item for item, _ in items})
+        place = {item: i for i, item in enumerate(self.items)}
+        texts, at = [], 0
+        words: list[np.ndarray] = []
+        rows: dict[int, list[np.ndarray]] = {}
         for item, text in items:
-            words = plain_words(text)
-            if not words:
-                continue
-            ids = np.array([self.ids.setdefault(w, len(self.ids) + 1) for w in words], np.uint64)
-            size = min(width, len(words))
-            for at, h in enumerate(rolling.windows(rolling.mixed(ids), size).tolist()):
-                gram = tuple(words[at : at + size])
-                slot = found[size].setdefault(h, [])
-                for known, owners in slot:
-                    if known == gram:
-                        owners.add(item)
-                        break
-                else:
-                    slot.append((gram, {item}))
-        self.found = dict(found)
-        self.sorted = {size: np.sort(np.fromiter(hs, np.uint64, len(hs))) for size, hs in self.found.items()}
-
-    def scan(self, words: list[bytes]) -> tuple[np.ndarray, set[str]]:
-        """Which words an occurring window covers, and the items it belongs to."""
-        hit = np.zeros(len(words), bool)
-        items: set[str] = set()
-        get = self.ids.get
-        ids = np.fromiter((get(w, 0) for w in words), np.uint64, len(words))
-        symbols = rolling.mixed(ids)
-        for size, hs in self.sorted.items():
-            if len(words) < size:
-                continue
-            unknown = np.concatenate([[0], np.cumsum(ids == 0)])
-            possible = np.flatnonzero(unknown[size:] == unknown[:-size])
-            if not len(possible):
+            plain = b" ".join(folded(text).split())
+            if not plain:
                 continue
-            h = rolling.windows(symbols, size)[possible]
-            at = np.minimum(np.searchsorted(hs, h), len(hs) - 1)
-            for start, value in zip(possible[hs[at] == h].tolist(), h[hs[at] == h].tolist(), strict=True):
-                gram = tuple(words[start : start + size])
-                for known, owners in self.found[size][value]:
-                    if known == gram:
-                        hit[start : start + size] = True
-                        items |= owners
-        return hit, items
+            starts, ends = _places(plain)
+            size = min(width, len(starts))
+            symbols = rolling.word_hashes(plain)
+            words.append(symbols)
+            n = len(starts) - size + 1
+            columns = (rolling.windows(symbols, size), at + starts[:n], at + ends[size - 1 :], np.full(n, place[item]))
+            rows.setdefault(size, []).append(np.stack([c.astype(np.uint64) for c in columns]))
+            texts.append(plain)
+            at += len(plain) + 1
+        self.text = b" ".join(texts)
+        self.words = np.unique(np.concatenate(words)) if words else np.empty(0, np.uint64)
+        self.grams = {size: self._grams(np.concatenate(parts, axis=1)) for size, parts in rows.items()}
+
+    def _grams(self, rows: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of each different window its fingerprint, start and end in ``text``; and where
+        its items start in the last array. Equal fingerprints of other words stay apart."""
+        order = np.lexsort((rows[3], rows[0]))
+        prints, starts, ends, owners = (c[order] for c in rows)
+        fresh = np.concatenate([[True], prints[1:] != prints[:-1]])
+        for i in np.flatnonzero(~fresh).tolist():
+            fresh[i] = self.text[int(starts[i]) : int(ends[i])] != self.text[int(starts[i - 1]) : int(ends[i - 1])]
+        at = np.flatnonzero(fresh)
+        return prints[at], starts[at].astype(np.int64), ends[at].astype(np.int32 if len(self.text) < 1 << 31 else np.int64), np.append(at, len(prints)).astype(np.int32), owners.astype(np.int32)
+
+    def nbytes(self) -> int:
+        return len(self.text) + self.words.nbytes + sum(a.nbytes for g in self.grams.values() for a in g) + sum(60 + len(i) for i in self.items)
+
+    def scan(self, plain: bytes) -> tuple[np.ndarray, set[str]]:
+        """Which words of a folded text an occurring window covers, and its items."""
+        symbols = rolling.word_hashes(plain)
+        hit = np.zeros(len(symbols), bool)
+        owners: set[int] = set()
+        places: tuple[np.ndarray, np.ndarray] | None = None
+        for base in range(0, len(symbols) if len(self.words) else 0, PIECE):
+            for size, (prints, starts, ends, first, items) in self.grams.items():
+                part = symbols[base : base + PIECE + size - 1]
+                if len(part) < size:
+                    continue
+                unknown = np.concatenate([[0], np.cumsum(~_among(self.words, part)[0])])
+                possible = np.flatnonzero(unknown[size:] == unknown[:-size])
+                if not len(possible):
+                    continue
+                there, at = _among(prints, rolling.windows(part, size)[possible])
+                for start, gram in zip((base + possible[there]).tolist(), at[there].tolist(), strict=True):
+                    places = places or _places(plain)
+                    words = b" ".join(plain[places[0][start] : places[1][start + size - 1]].split())
+                    value = prints[gram]
+                    while gram < len(prints) and prints[gram] == value:
+                        if self.text[starts[gram] : ends[gram]] == words:
+                            hit[start : start + size] = True
+                            owners.update(items[first[gram] : first[gram + 1]].tolist())
+                        gram += 1
+        return hit, {self.items[i] for i in owners}
+
+
+def _among(held: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``wanted`` are in the sorted ``held``, and their first places there."""
+    at = np.searchsorted(held, wanted)
+    return held[np.minimum(at, len(held) - 1)] == wanted, at
 
 
 def _report(n_words: int, n_hit: int, items: set[str]) -> tuple:
@@ -92,20 +125,20 @@ def _benchmark(benchmark: DataFrame) -> DataFrame:
     return benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("binary").alias("text")).where("text is not null")
 
 
-def _index(spark: SparkSession, benchmark: DataFrame, width: int, max_words: int) -> NgramIndex | None:
-    """The index, or None where the benchmark is larger than may be broadcast."""
+def _index(spark: SparkSession, benchmark: DataFrame, width: int, max_bytes: int) -> NgramIndex | None:
+    """The index, or None where it may be larger than is broadcast."""
     items = _benchmark(benchmark)
-    # A word has a byte and a separator at least, so bytes / 2 bounds the words.
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    if size > 2 * max_words:
-        return None
-    return NgramIndex([(r.item, bytes(r.text)) for r in items.collect()], width)
+    # Each word is one window at most: a fingerprint, a start and an end, a place in and
+    # an entry of the items, and an entry of the words.
+    words = F.regexp_count(F.col("text").cast("string"), F.lit(_PATTERN))
+    size = items.agg(F.sum(F.length("text") + 40 * words + F.length("item") + 64)).first()[0] or 0
+    return None if size > max_bytes else NgramIndex([(r.item, bytes(r.text)) for r in items.collect()], width)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, max_broadcast_words: int = MAX_BROADCAST_WORDS) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, max_index_bytes: int = MAX_INDEX_BYTES) -> DataFrame:
     """One row per document: words, hit words, matching items and the verdict."""
     spark = docs.sparkSession
-    index = _index(spark, benchmark, width, max_broadcast_words)
+    index = _index(spark, benchmark, width, max_index_bytes)
     if index is None:
         return _joined(docs, benchmark, width)
     held = spark.sparkContext.broadcast(index)
@@ -114,9 +147,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, ma
         for batch, texts in rows_of(batches):
             out = []
             for text in texts:
-                words = plain_words(text)
-                hit, items = held.value.scan(words)
-                out.append(_report(len(words), int(hit.sum()), items))
+                hit, items = held.value.scan(folded(text))
+                out.append(_report(len(hit), int(hit.sum()), items))
             n, hits, n_items, sha, bad = zip(*out, strict=True) if out else ([],) * 5
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(hits, pa.int64()), pa.array(n_items, pa.int64()), pa.array(sha, pa.string()), pa.array(bad, pa.bool_())],
@@ -126,11 +158,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, ma
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, _REPORT)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, mode: str = "document", width: int = WINDOW, max_broadcast_words: int = MAX_BROADCAST_WORDS) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, mode: str = "document", width: int = WINDOW, max_index_bytes: int = MAX_INDEX_BYTES) -> DataFrame:
     """``docs`` without contaminated documents (``mode="document"``), or with the hit
     words of contaminated documents cut out of their texts (``mode="span"``)."""
     spark = docs.sparkSession
-    index = _index(spark, benchmark, width, max_broadcast_words)
+    index = _index(spark, benchmark, width, max_index_bytes)
     if index is None:
         return _joined_clean(docs, benchmark, width, mode)
     held = spark.sparkContext.broadcast(index)
@@ -139,11 +171,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, mode: str = "document", width:
         for batch, texts in rows_of(batches):
             keep, new = [], []
             for text in texts:
-                words = plain_words(text)
-                hit, items = held.value.scan(words)
-                bad = _report(len(words), int(hit.sum()), items)[-1]
+                hit, items = held.value.scan(folded(text))
+                bad = _report(len(hit), int(hit.sum()), items)[-1]
                 keep.append(mode == "span" or not bad)
-                new.append(_without(text, words, hit) if bad and mode == "span" else text)
+                new.append(_without(text, hit) if bad and mode == "span" else text)
             if mode == "span":
                 at = batch.schema.get_field_index("text")
                 batch = batch.set_column(at, "text", pa.array(new, pa.binary()).cast(pa.string()))
@@ -152,17 +183,13 @@ def clean(docs: DataFrame, benchmark: DataFrame, mode: str = "document", width:
     return docs.mapInArrow(scan, docs.schema)
 
 
-def _without(text: bytes, words: list[bytes], hit: np.ndarray) -> bytes:
+def _without(text: bytes, hit: np.ndarray) -> bytes:
     """``text`` without the stretches from a run's first hit word to its last."""
-    folded, at, places = text.lower(), 0, []
-    for word in words:
-        at = folded.index(word, at)
-        places.append((at, at + len(word)))
-        at += len(word)
+    starts, ends = _places(folded(text))  # folding keeps every byte's place
     out, done = [], 0
     for first, last in zip(*rolling.runs(hit), strict=True):
-        out.append(text[done : places[first][0]])
-        done = places[last - 1][1]
+        out.append(text[done : starts[first]])
+        done = ends[last - 1]
     return b"".join([*out, text[done:]])
 
 
@@ -172,9 +199,9 @@ def _joined_clean(docs: DataFrame, benchmark: DataFrame, width: int, mode: str)
     own = "_" * (1 + max(map(len, docs.columns)))  # no column has so long a name
     words, _, hits = _hits(docs, benchmark, width)
     n_hit = F.count("*").alias(f"{own}n")
-    bad = hits.select("row", "at").distinct().groupBy(F.col("row").alias(f"{own}row")).agg(F.sort_array(F.collect_list("at")).alias(f"{own}at"), n_hit)
+    bad = hits.select("row", "doc_id", "at").distinct().groupBy(F.col("row").alias(f"{own}row"), F.col("doc_id").alias(f"{own}doc")).agg(F.sort_array(F.collect_list("at")).alias(f"{own}at"), n_hit)
     joined = docs.withColumn(f"{own}w", words).withColumn(f"{own}key", F.xxhash64(F.col("doc_id").cast("long"), f"{own}w"))
-    joined = joined.join(bad, F.col(f"{own}key") == F.col(f"{own}row"), "left")
+    joined = joined.join(bad, (F.col(f"{own}key") == F.col(f"{own}row")) & F.col("doc_id").cast("long").eqNullSafe(F.col(f"{own}doc")), "left")
     over = F.coalesce(20 * F.col(f"{own}n") >= F.size(f"{own}w"), F.lit(False))
     if mode == "document":
         return joined.where(~over).select(*docs.columns)
@@ -185,10 +212,9 @@ def _joined_clean(docs: DataFrame, benchmark: DataFrame, width: int, mode: str)
         for batch, texts in rows_of(batches):
             new = []
             for text, at in zip(texts, batch.column(place).to_pylist(), strict=True):
-                split = plain_words(text)
-                hit = np.zeros(len(split), bool)
+                hit = np.zeros(1 + max(at or [0]), bool)
                 hit[at or []] = True
-                new.append(_without(text, split, hit) if at else text)
+                new.append(_without(text, hit) if at else text)
             column = batch.schema.get_field_index("text")
             yield batch.set_column(column, "text", pa.array(new, pa.binary()).cast(pa.string())).select(columns)
 
@@ -198,14 +224,13 @@ def _joined_clean(docs: DataFrame, benchmark: DataFrame, width: int, mode: str)
 
 def _hits(docs: DataFrame, benchmark: DataFrame, width: int) -> tuple[F.Column, DataFrame, DataFrame]:
     """A document's words as a column of ``text``; doc_id, row and words of the
-    documents; row, item and place (at) of every hit word.
+    documents; row, doc_id, item and place (at) of every hit word.
 
     Word positions that hold an item's window are found by a join on the window's
     words; the join is split by Spark where one window is common.
     """
-    pattern = F.lit("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")
-    folded = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = F.regexp_extract_all(folded, pattern, F.lit(0))
+    low = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = F.regexp_extract_all(low, F.lit(_PATTERN), F.lit(0))
     keyed = docs.select(F.col("doc_id").cast("long"), words.alias("w")).withColumn("row", F.xxhash64("doc_id", "w"))
     items = _benchmark(benchmark).select("item", words.alias("w")).where(F.size("w") > 0)
 
@@ -216,20 +241,21 @@ def _hits(docs: DataFrame, benchmark: DataFrame, width: int) -> tuple[F.Column,
     wanted = grams(items, F.least(F.size("w"), F.lit(width)), "item").select("item", "size", "gram").distinct()
     found = None
     for (size,) in wanted.select("size").distinct().collect():  # at most ``width`` rows
-        part = grams(keyed, F.lit(size), "row").join(wanted.where(F.col("size") == size).drop("size"), "gram")
+        part = grams(keyed, F.lit(size), "row", "doc_id").join(wanted.where(F.col("size") == size).drop("size"), "gram")
         found = part if found is None else found.unionByName(part)
     if found is None:
-        hits = keyed.select("row", F.lit("").alias("item"), F.lit(0).alias("at")).limit(0)
+        hits = keyed.select("row", "doc_id", F.lit("").alias("item"), F.lit(0).alias("at")).limit(0)
     else:
-        hits = found.select("row", "item", F.explode(F.sequence("start", F.col("start") + F.col("size") - 1)).alias("at"))
+        hits = found.select("row", "doc_id", "item", F.explode(F.sequence("start", F.col("start") + F.col("size") - 1)).alias("at"))
     return words, keyed, hits
 
 
 def _joined(docs: DataFrame, benchmark: DataFrame, width: int) -> DataFrame:
     """The same report where the benchmark is too large to broadcast."""
     _, keyed, hits = _hits(docs, benchmark, width)
-    found = hits.groupBy("row").agg(F.sort_array(F.collect_set("item")).alias("items"), F.count_distinct("at").alias("n_hit"))
-    joined = keyed.select("doc_id", "row", F.size("w").cast("long").alias("n_words")).join(found, "row", "left")
+    found = hits.groupBy(F.col("row").alias("hit_row"), F.col("doc_id").alias("hit_doc")).agg(F.sort_array(F.collect_set("item")).alias("items"), F.count_distinct("at").alias("n_hit"))
+    joined = keyed.select("doc_id", "row", F.size("w").cast("long").alias("n_words"))
+    joined = joined.join(found, (F.col("row") == F.col("hit_row")) & F.col("doc_id").eqNullSafe(F.col("hit_doc")), "left")
     hit, items = F.coalesce("n_hit", F.lit(0)), F.coalesce("items", F.array().cast("array<string>"))
     return joined.select(
         "doc_id", "n_words", hit.cast("long").alias("n_hit"), F.size(items).cast("long").alias("n_items"),

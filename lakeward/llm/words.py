@@ -16,9 +16,14 @@ _PLAIN = bytes(
 )
 
 
+def folded(text: bytes | None) -> bytes:
+    """``text`` in lower case with a space for every separator, each byte in its place."""
+    return text.translate(_PLAIN) if text else b""
+
+
 def plain_words(text: bytes | None) -> list[bytes]:
     """Lower-cased words of digits, letters and non-ASCII characters; none for a null."""
-    return text.translate(_PLAIN).split() if text else []
+    return folded(text).split()
 
 
 def rows_of(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list]]:

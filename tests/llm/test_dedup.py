@@ -1,6 +1,7 @@
 """Decontamination, SimHash, substring and suffix deduplication against brute force."""
 
 import hashlib
+import pickle
 from collections import Counter
 
 import numpy as np
@@ -49,25 +50,42 @@ def plain_contamination(docs, items, width=13):
 ITEMS = [(1, prose(999, 30)), (2, "One"), (3, None), (4, "..."), (12, prose(101, 20)), (13, prose(999, 30)), (None, "déjà vu"), (7, "")]
 
 
-@pytest.mark.parametrize("bound", [10_000, 0])
+@pytest.mark.parametrize("bound", [100_000, 0])
 def test_contamination_is_that_of_brute_force(spark, bound):
     items = spark.createDataFrame(ITEMS, "item_id long, text string").selectExpr("*", "1 AS w")
-    got = decontaminate.contamination(frame(spark), items, max_broadcast_words=bound)
+    got = decontaminate.contamination(frame(spark), items, max_index_bytes=bound)
     assert rows_of(got) == plain_contamination(corpus(), ITEMS)
 
 
+def test_the_index_is_smaller_than_its_bound():
+    items = [(str(i), raw(prose(i, 40, 5000))) for i in range(2000)] + [("same", raw(prose(1, 40, 5000)))] * 3
+    index = decontaminate.NgramIndex(items, 13)
+    assert index.nbytes() <= sum(len(t) + 40 * len(t.split()) + len(i) + 64 for i, t in items)
+    assert len(pickle.dumps(index)) < 1.1 * index.nbytes()
+    hit, found = index.scan(raw(prose(1, 40, 5000)))
+    assert hit.all() and found == {"1", "same"}
+
+
+def test_windows_over_the_edge_of_a_piece(monkeypatch):
+    monkeypatch.setattr(decontaminate, "PIECE", 7)
+    items = [("a", raw(prose(5, 13))), ("b", b"two words"), ("c", raw(prose(6, 14)))]
+    text = f"{prose(7, 3)} {prose(5, 13)} two words {prose(6, 14)} {prose(8, 3)} two"
+    hit, found = decontaminate.NgramIndex(items, 13).scan(raw(text))
+    assert found == {"a", "b", "c"} and np.flatnonzero(hit).tolist() == list(range(3, 32))
+
+
 def test_contamination_of_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert not decontaminate.contamination(frame(spark), none).where("contaminated or n_hit > 0").count()
     assert not decontaminate.contamination(frame(spark, []), none).count()
 
 
-@pytest.mark.parametrize("bound", [10_000, 0])
+@pytest.mark.parametrize("bound", [100_000, 0])
 def test_cleaning_drops_documents_or_spans(spark, bound):
     items = spark.createDataFrame([(1, "Alpha beta, gamma")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "See: ALPHA  beta gamma! And more", "en", "s", 1), (2, "alpha gamma", "en", "s", 1)], DOCS)
-    assert [r.doc_id for r in decontaminate.clean(docs, items, max_broadcast_words=bound).collect()] == [2]
-    spans = {r.doc_id: r.text for r in decontaminate.clean(docs, items, mode="span", max_broadcast_words=bound).collect()}
+    assert [r.doc_id for r in decontaminate.clean(docs, items, max_index_bytes=bound).collect()] == [2]
+    spans = {r.doc_id: r.text for r in decontaminate.clean(docs, items, mode="span", max_index_bytes=bound).collect()}
     assert spans == {1: "See: ! And more", 2: "alpha gamma"}
 
 
@@ -226,7 +244,7 @@ def plain_suffixes(docs, width):
     return out
 
 
-@pytest.mark.parametrize("large", [16_384, 1])
+@pytest.mark.parametrize("large", [512, 3, 1])
 def test_suffixes_of_brute_force(spark, large):
     rows = corpus()[:-1] + [(501, prose(1, 60) * 3, "en", "s0", 0)]
     got = suffix_dedup.deduplicated(frame(spark, rows), width=60, block=16, shard_bytes=3000, large_key=large)
@@ -241,11 +259,25 @@ def test_suffixes_of_the_contract_width(spark):
     assert not suffix_dedup.deduplicated(frame(spark, [])).count()
 
 
+@pytest.mark.parametrize(("n", "passage"), [(50_000, 395), (3_000, 300), (3_000, 500)])
+def test_a_passage_in_very_many_documents(spark, n, passage):
+    rng = np.random.default_rng(n + passage)
+    shared = bytes(rng.integers(97, 123, passage, np.uint8)).decode()
+    rows = []
+    for i in range(n):  # few letters beside the passage, so some windows recur and some do not
+        left, right = ("".join(map(chr, rng.integers(65, 73, 6))) for _ in range(2))
+        rows.append((i, left + shared + right, "en", "s", 1))
+    rows += [(None, "xy" + shared * 3, "en", "s", 1)] * 2
+    got = suffix_dedup.deduplicated(spark.createDataFrame(rows, DOCS))
+    assert rows_of(got) == plain_suffixes(rows, 400)
+
+
 def test_long_documents_go_in_pieces(spark):
     rows = corpus()[:-1] + [(501, prose(1, 60) * 3, "en", "s0", 0)]
-    rule = repeats.Rule(60, 16, earlier=False, words=False, piece=150)
-    got = repeats.removal(frame(spark, rows), rule, lambda parts: repeats.compared(parts, rule))
-    assert Counter((r.doc_id, r.n, r.removed, r.spans, r.sha) for r in got.collect()) == plain_suffixes(rows, 60)
+    for large in (512, 1):
+        rule = repeats.Rule(60, 16, earlier=False, words=False, large_key=large, piece=150)
+        got = repeats.removal(frame(spark, rows), rule, lambda parts: suffix_dedup.repeated(parts, rule))
+        assert Counter((r.doc_id, r.n, r.removed, r.spans, r.sha) for r in got.collect()) == plain_suffixes(rows, 60)
     rule = repeats.Rule(8, 3, earlier=True, words=True, piece=40)
     got = repeats.removal(frame(spark, rows), rule, lambda parts: repeats.compared(parts, rule))
     assert Counter((r.doc_id, r.n, r.removed, r.sha) for r in got.collect()) == plain_substrings(rows, 8)
@@ -266,7 +298,7 @@ def test_difference_cover_finds_repeats(text, depth, letters):
 def test_every_window_has_one_cell(texts, width):
     xs = [np.frombuffer(bytes(b % 3 for b in t), np.uint8).astype(np.uint64) for t in texts]
     for block in {1, width // 2 or 1}:
-        doc, key, content, starts, ends = repeats.cells(xs, repeats.Rule(width, block, False, False))
+        doc, key, content, starts, ends, at = repeats.cells(xs, repeats.Rule(width, block, False, False))
         windows = sorted((d, s) for d, a, b in zip(doc, starts, ends) for s in range(a, b - width + 1))
         assert windows == [(d, s) for d, x in enumerate(xs) for s in range(max(0, len(x) - width + 1))]
         # Equal windows are under equal keys, in whatever document.
@@ -284,7 +316,7 @@ def test_pieces_of_a_long_document_have_the_same_windows(text, piece):
     rule = repeats.Rule(20, 6, False, False, piece=piece)
     keys = []
     for cells in (repeats.cells([x], rule), repeats.long_cells(x, rule)):
-        _, key, _, starts, ends = cells
+        _, key, _, starts, ends, _ = cells
         keys.append({s: k for k, a, b in zip(key.tolist(), starts, ends) for s in range(a, b - rule.width + 1)})
         assert sum(int(b - a) - rule.width + 1 for a, b in zip(starts, ends)) == len(x) - rule.width + 1
     assert keys[0] == keys[1]
