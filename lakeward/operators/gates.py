@@ -68,6 +68,29 @@ def allowed(column: Column, values: Sequence[str]) -> Column:
     return F.coalesce(column.isin(*values), F.lit(False))
 
 
+def differing(a: Column, b: Column) -> Column:
+    """True where two values differ or either is null, two nulls included."""
+    return F.coalesce(a != b, F.lit(True))
+
+
+def lacking_gate(df: DataFrame, name: str, keys: Sequence[str], column: str, wanted: Sequence[str]) -> DataFrame:
+    """Groups that lack one of the ``wanted`` values."""
+    return group_gate(df, name, keys, F.count_distinct(F.when(F.col(column).isin(*wanted), F.col(column))) < len(wanted))
+
+
+def fingerprint(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row: a digest of the multiset of rows, whatever their order: the sums of two
+    halves of each row's hash."""
+    digest = F.sha2(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns)), 256)
+    halves = (F.sum(F.conv(F.substring(digest, at, 12), 16, 10).cast("decimal(38,0)")) for at in (1, 13))
+    return df.agg(F.sha2(F.concat_ws("|", F.count("*"), *halves), 256).alias("fingerprint"))
+
+
+def fingerprint_gate(df: DataFrame, name: str, columns: Sequence[str], expected: str) -> DataFrame:
+    wrong = differing(F.col("fingerprint"), F.lit(expected)).cast("long")
+    return fingerprint(df, columns).select(F.lit(name).alias("name"), wrong.alias("violations"))
+
+
 def all_gates(*gates: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, gates).withColumn("passed", F.col("violations") == 0)
 

@@ -70,6 +70,58 @@ def drift(rows: DataFrame, groups: Sequence[str], value: str, baseline: str, lea
     return both.withColumns({"p": p, "alert": alert}).withColumn("warning", enough & ~F.col("alert") & (F.col("psi") >= warn_psi))
 
 
+def drift_against(rows: DataFrame, groups: Sequence[str], value: str, baseline: DataFrame, bins: int = 10, least: int = 100, alert_p: float = 0.01, alert_psi: float = 0.2) -> DataFrame:
+    """groups, n_base, n_now, ks, psi, p, alert of many samples against one baseline,
+    whose values are ranked once and not copied to each group.
+
+    Between two values of a sample its distribution stands still, so the largest gap is at
+    a value of the sample or just before one.
+    """
+    held = baseline.select(F.col(value).alias("_v"), F.lit(1).alias("b")).unionByName(rows.select(F.col(value).alias("_v"), F.lit(0).alias("b")))
+    places = running(held.groupBy("_v").agg(F.sum("b").alias("b")), [], "_v", ["b"])
+    counted = running(rows.groupBy(*groups, value).agg(F.count("*").alias("c")), groups, value, ["c"]).join(places, F.col(value).eqNullSafe(F.col("_v")))
+    gap = lambda upto: F.abs(C.ratio(upto("b"), F.col("b_all")) - C.ratio(upto("c"), F.col("c_all")))
+    before, after = gap(lambda s: F.col(f"{s}_before")), gap(lambda s: F.col(f"{s}_before") + F.col(s))
+    ks = counted.groupBy(*groups).agg(F.max("b_all").alias("n_base"), F.sum("c").alias("n_now"), F.max(F.greatest(before, after)).alias("ks"))
+    edges = quantiles(baseline, [], value, [i / bins for i in range(1, bins)], "edges")
+    bin_of = F.size(F.filter("edges", lambda e: e <= F.col(value))).alias("bin")
+    old = baseline.join(edges, F.lit(True)).groupBy(bin_of).agg(F.count("*").alias("b"))
+    old = old.crossJoin(old.agg(F.sum("b").alias("b_all")))  # one row for each bin
+    new = rows.join(edges, F.lit(True)).groupBy(*groups, bin_of).agg(F.count("*").alias("c"))
+    grid = ks.select(*groups, "n_now").join(old, F.lit(True)).join(new, [*groups, "bin"], "full")
+    total = lambda c: F.max(c).over(Window.partitionBy(*groups))  # a row for each bin
+    a, b = (C.ratio(F.coalesce(F.col(x), F.lit(0)), total(every)) + EPS for x, every in (("b", "b_all"), ("c", "n_now")))
+    psi = grid.withColumn("term", (b - a) * F.ln(b / a)).groupBy(*groups).agg(F.sum("term").alias("psi"))
+    both = ks.join(psi, list(groups))
+    p = ks_p_value(F.col("ks"), F.col("n_base"), F.col("n_now"))
+    return both.withColumn("p", p).withColumn("alert", (F.col("n_now") >= least) & (F.col("p") < alert_p) & (F.col("psi") >= alert_psi))
+
+
+def wrong_way(means: DataFrame, base: str, shifted: str) -> DataFrame:
+    """``means`` with ``wrong_way``: the shifted mean, if it is a number, is below."""
+    return means.withColumn("wrong_way", F.coalesce(~F.isnan(shifted) & (F.col(shifted) < F.col(base)), F.lit(False)))
+
+
+def offset_ascent(rows: DataFrame, truth: str, logits: str, classes: int, grid: Sequence[float], passes: int = 3) -> list[float]:
+    """An offset for each class that raises balanced accuracy, by coordinate ascent.
+
+    Each step scores the whole grid for one class in one pass over ``rows``; of equal
+    scores the offset nearest to zero is taken. It ends with a pass without a change.
+    """
+    offsets = [0.0] * classes
+    present = {r[0] for r in rows.select(truth).distinct().collect()}  # classes
+    for _ in range(passes):
+        before = list(offsets)
+        for c in (c for c in range(classes) if c in present):
+            tried = rows.withColumn("_off", F.explode(F.array(*map(F.lit, grid))))
+            moved = F.array(*(F.element_at(logits, i + 1) + (F.col("_off") if i == c else F.lit(offsets[i])) for i in range(classes)))
+            scores = classification(tried.withColumn("_guess", C.argmax(moved) - 1), ["_off"], truth, "_guess").collect()  # a row for each value of the grid
+            offsets[c] = min((-round(r["balanced_accuracy"], 9), abs(r["_off"]), r["_off"]) for r in scores)[2]
+        if offsets == before:
+            break
+    return offsets
+
+
 def mid_ranks(rows: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
     """One row for each distinct value: how many rows it has and their average rank."""
     counted = rows.groupBy(*groups, value).agg(F.count("*").alias("n"))

@@ -174,16 +174,14 @@ def w10_auroc(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""
 WITH e AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS seq FROM events),
-h AS (SELECT user_id, seq, event_type AS body, CASE WHEN seq = 0 THEN '' ELSE 'x' END AS prev FROM e WHERE seq < 4),
-c0 AS (SELECT user_id, body, sha256('0||' || body) AS hash FROM h WHERE seq = 0), c1 AS (SELECT h.user_id, h.body, c0.hash AS prev, sha256('1|' || c0.hash || '|' || h.body) AS hash FROM h JOIN c0 USING (user_id) WHERE seq = 1),
-c2 AS (SELECT h.user_id, h.body, c1.hash AS prev, sha256('2|' || c1.hash || '|' || h.body) AS hash FROM h JOIN c1 USING (user_id) WHERE seq = 2),
-c3 AS (SELECT h.user_id, h.body, c2.hash AS prev, sha256('3|' || c2.hash || '|' || h.body) AS hash FROM h JOIN c2 USING (user_id) WHERE seq = 3)
-SELECT user_id, seq, hash, false AS gap, false AS broken, seq = 2 AND user_id % 3 = 0 AS edited FROM (SELECT user_id, 0 AS seq, hash FROM c0 UNION ALL SELECT user_id, 1, hash FROM c1 UNION ALL SELECT user_id, 2, hash FROM c2 UNION ALL SELECT user_id, 3, hash FROM c3)
+c AS (WITH RECURSIVE r AS (SELECT user_id, seq, sha256('0||' || event_type) AS hash FROM e WHERE seq = 0
+  UNION ALL SELECT e.user_id, e.seq, sha256(e.seq || '|' || r.hash || '|' || e.event_type) FROM r JOIN e ON e.user_id = r.user_id AND e.seq = r.seq + 1) SELECT * FROM r)
+SELECT user_id, seq::INT AS seq, hash, false AS gap, false AS broken, seq = 2 AND user_id % 3 = 0 AS edited FROM c
 """)
 def w11_chain(spark: SparkSession, sf: str) -> DataFrame:
-    """A hash-chained log of each user's first four events, with every third user's
-    third entry edited, and what the check finds."""
-    logs = R.chained(table(spark, sf, "events"), ["user_id"], ["event_id"], F.col("event_type"), 4)
+    """A hash-chained log of each user's events, with every third user's third entry
+    edited, and what the check finds (W11)."""
+    logs = R.chained(table(spark, sf, "events"), ["user_id"], ["event_id"], F.col("event_type"))
     edited = logs.withColumn("body", F.when((F.col("seq") == 2) & (F.col("user_id") % 3 == 0), F.lit("edited")).otherwise(F.col("body")))
     return R.chain_faults(edited, ["user_id"]).select("user_id", "seq", "hash", "gap", "broken", "edited")
 
@@ -240,11 +238,11 @@ def w18_time_to_detect(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-WITH d AS (SELECT DISTINCT user_id, day(ts) AS d FROM events WHERE user_id < 200), i AS (SELECT user_id, d, d - row_number() OVER (PARTITION BY user_id ORDER BY d) AS k FROM d)
+WITH d AS (SELECT DISTINCT user_id, day(ts) AS d FROM events), i AS (SELECT user_id, d, d - row_number() OVER (PARTITION BY user_id ORDER BY d) AS k FROM d)
 SELECT user_id, min(d)::INT AS first, max(d)::INT AS last FROM i GROUP BY user_id, k
 """)
 def w19_islands(spark: SparkSession, sf: str) -> DataFrame:
-    days = table(spark, sf, "events").where("user_id < 200").select("user_id", F.day("ts").alias("d"))
+    days = table(spark, sf, "events").select("user_id", F.day("ts").alias("d"))
     return R.islands(days, ["user_id"], "d")
 
 
@@ -400,11 +398,11 @@ def p09_code_map(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-SELECT turn, role, CASE WHEN regexp_matches(t, '^[=+@\\t\\r-]') THEN '''' || t ELSE t END AS cell FROM (SELECT turn, role, CASE turn % 4 WHEN 0 THEN '=' WHEN 1 THEN '-' WHEN 2 THEN '@' ELSE '' END || substr(text, 1, 20) AS t FROM conversations)
+SELECT turn, role, CASE WHEN regexp_matches(t, '^[=+@\\t\\r-]') THEN '''' || t ELSE t END AS cell FROM (SELECT turn, role, CASE turn % 4 WHEN 0 THEN '=' WHEN 1 THEN '-' WHEN 2 THEN '@' ELSE '' END || text AS t FROM conversations)
 """)
 def p18_cell_guard(spark: SparkSession, sf: str) -> DataFrame:
     mark = F.element_at(F.array(*map(F.lit, ("=", "-", "@", ""))), (F.col("turn") % 4 + 1).cast("int"))
-    return table(spark, sf, "conversations").select("turn", "role", C.cell_text(F.concat(mark, F.substring("text", 1, 20))).alias("cell"))
+    return table(spark, sf, "conversations").select("turn", "role", C.cell_text(F.concat(mark, "text")).alias("cell"))
 
 
 @query("SELECT event_id, 'user:' || coalesce(CASE WHEN user_id % 3 = 0 THEN user_id END, event_id) AS unit FROM events")

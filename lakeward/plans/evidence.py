@@ -18,10 +18,10 @@ from lakeward.plans.streams import folder
 from lakeward.registry import query, table
 
 
-@query("SELECT event_id AS key, 'k' AS path, (props::JSON ->> '$.k')::DOUBLE AS value FROM events WHERE event_id % 5 = 0")
+@query("SELECT event_id AS key, 'k' AS path, (props::JSON ->> '$.k')::DOUBLE AS value FROM events")
 def k16_numeric_leaves(spark: SparkSession, sf: str) -> DataFrame:
     """Numbers of JSON documents as path-keyed metrics."""
-    return E.leaves(table(spark, sf, "events").where("event_id % 5 = 0"), "event_id", "props")
+    return E.leaves(table(spark, sf, "events"), "event_id", "props")
 
 
 _INDEX = "i AS (SELECT page_id::VARCHAR AS name, CASE WHEN page_id % 6 = 0 THEN 'old' ELSE sha256(html) END AS sha256 FROM pages UNION ALL SELECT 'gone', 'x'), f AS (SELECT page_id::VARCHAR AS name, sha256(html) AS now FROM pages)"
@@ -49,9 +49,13 @@ def b03_manifest(spark: SparkSession, sf: str) -> DataFrame:
     return E.manifest_gates(index, files)
 
 
-@query()
+@query("""
+WITH k AS (SELECT 'part|' || p_partkey AS key, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('part|' || p_partkey)) AS h FROM part),
+u AS (SELECT key, ('0x' || substr(h, 1, 12) || '5' || substr(h, 14, 3))::UBIGINT::UHUGEINT AS hi, (('0x' || substr(h, 17, 16))::UBIGINT & 4611686018427387903::UBIGINT | 9223372036854775808::UBIGINT)::UHUGEINT AS lo FROM k)
+SELECT key, '2.25.' || (hi * 18446744073709551616::UHUGEINT + lo) AS uid FROM u
+""")
 def o10_uid(spark: SparkSession, sf: str) -> DataFrame:
-    """UUID-derived identifiers of keys (O10); 128-bit numbers are no SQL type here."""
+    """UUID-derived identifiers of keys."""
     return E.with_uid(table(spark, sf, "part").select(F.concat(F.lit("part|"), F.col("p_partkey").cast("string")).alias("key")), "key")
 
 
@@ -244,22 +248,50 @@ def f03_dates_and_maths(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""SELECT s.s_suppkey, s.s_name, n.n_name FROM supplier s JOIN nation n ON n_nationkey = s_nationkey QUALIFY row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey DESC) = 1""")
 def w02_latest_name(spark: SparkSession, sf: str) -> DataFrame:
-    """The latest name of each group, written as a table by one statement."""
+    """The latest name of each group."""
     joined = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     return R.latest(joined, ["s_nationkey"], [F.desc("s_suppkey")]).select("s_suppkey", "s_name", "n_name")
 
 
-@query("SELECT c_custkey, c_acctbal, c_acctbal >= 0 AS in_credit FROM customer")
+def _stored_table(spark: SparkSession, rows: DataFrame, comment: str) -> str:
+    """The name of a table made of ``rows`` by one CREATE TABLE AS statement."""
+    name, view = (f"{kind}_{uuid.uuid4().hex}" for kind in ("made", "rows"))
+    rows.createOrReplaceTempView(view)
+    spark.sql(f"CREATE TABLE {name} USING parquet LOCATION '{folder(spark)}' COMMENT '{comment}' AS SELECT * FROM {view}")
+    spark.catalog.dropTempView(view)
+    return name
+
+
+@query("SELECT s_nationkey, count(*) AS suppliers, max(s_acctbal) AS top, 'cost by nation' AS comment FROM supplier GROUP BY 1")
+def k07_commented_table(spark: SparkSession, sf: str) -> DataFrame:
+    """A table made by CREATE TABLE AS with a comment, read back with it."""
+    totals = table(spark, sf, "supplier").groupBy("s_nationkey").agg(F.count("*").alias("suppliers"), F.max("s_acctbal").alias("top"))
+    name = _stored_table(spark, totals, "cost by nation")
+    return spark.table(name).withColumn("comment", F.lit(spark.catalog.getTable(name).description))
+
+
+@query("SELECT c_custkey, c_acctbal, NULL::BOOLEAN AS in_credit FROM customer UNION ALL SELECT s_suppkey, s_acctbal, s_acctbal >= 0 FROM supplier")
 def k08_added_column(spark: SparkSession, sf: str) -> DataFrame:
-    """A table made by CREATE TABLE AS, widened by ALTER TABLE, and dropped."""
-    name = f"customers_{uuid.uuid4().hex}"
-    path = folder(spark)
-    table(spark, sf, "customer").select("c_custkey", "c_acctbal").write.parquet(path)
-    spark.sql(f"CREATE TABLE {name} USING parquet LOCATION '{path}'")
+    """A table that is given a column and then rows that have it; its older rows read
+    as null there (K08)."""
+    name = _stored_table(spark, table(spark, sf, "customer").select("c_custkey", "c_acctbal"), "customers")
     spark.sql(f"ALTER TABLE {name} ADD COLUMNS (in_credit BOOLEAN)")
-    held = spark.read.schema(spark.table(name).schema).parquet(path)
-    spark.sql(f"DROP TABLE {name}")
-    return held.withColumn("in_credit", F.coalesce("in_credit", F.col("c_acctbal") >= 0))
+    table(spark, sf, "supplier").select("s_suppkey", "s_acctbal", F.col("s_acctbal") >= 0).write.insertInto(name)
+    return spark.table(name)
+
+
+@query("SELECT 'nation' AS name, count(*) AS n, sum(hash_ok::INT)::BIGINT AS same FROM (SELECT true AS hash_ok FROM nation) UNION ALL SELECT 'region', count(*), count(*) FROM region UNION ALL SELECT 'supplier', count(*), count(*) FROM supplier")
+def k02_generated_views(spark: SparkSession, sf: str) -> DataFrame:
+    """A materialised table for each source in a loop: declared as a statement, filled,
+    and read by its name (K02)."""
+    out = None
+    for name in ("nation", "region", "supplier"):
+        rows = table(spark, sf, name)
+        made = spark.table(_stored_table(spark, rows, name))
+        same = made.join(rows, rows.columns, "left_semi").agg(F.count("*").alias("same"))
+        part = made.agg(F.count("*").alias("n")).join(same, F.lit(True)).select(F.lit(name).alias("name"), "n", "same")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("""SELECT user_id, count(*) AS n, max(running)::BIGINT AS peak FROM (SELECT user_id, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE -1 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS running FROM events) GROUP BY 1""")

@@ -161,20 +161,23 @@ def j16_nested_scopes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-WITH h AS (SELECT p_partkey, ('0x' || substr(md5(p_brand || p_type), 1, 8))::BIGINT & 65535 AS h FROM part)
-SELECT a.p_partkey AS part_a, b.p_partkey AS part_b, bit_count(xor(a.h, b.h))::INT AS distance FROM h a JOIN h b ON a.p_partkey < b.p_partkey AND bit_count(xor(a.h, b.h)) <= 1 AND a.p_partkey % 10 = 0
+WITH h AS (SELECT p_partkey, ('0x' || substr(md5(p_brand || p_type), 1, 8))::BIGINT & 65535 AS h FROM part), d AS (SELECT h, count(*) AS parts, min(p_partkey) AS first FROM h GROUP BY 1),
+n AS (SELECT a.h, count(*) AS links, list_sort(list(b.first)) AS near FROM d a JOIN d b ON bit_count(xor(a.h, b.h)) = 1 GROUP BY 1)
+SELECT p_partkey, first AS same_as, coalesce(links, 0) AS links, coalesce(array_to_string(near, ','), '') AS near FROM h JOIN d USING (h) LEFT JOIN n USING (h)
 """)
 def j17_near_hashes(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs of 16-bit hashes that differ in one bit at most: one of two halves is
-    equal, so the join is on (half, bits) and the distance is checked after it."""
+    """16-bit hashes that differ in one bit: parts of one hash are one node, named by its
+    least part, and links are between nodes. One of two halves of linked hashes is equal,
+    so the join is on (half, bits) and the distance is checked after it (J17)."""
     h = F.conv(F.substring(F.md5(F.concat("p_brand", "p_type")), 1, 8), 16, 10).cast("long").bitwiseAND(F.lit(65535))
     hashes = table(spark, sf, "part").select("p_partkey", h.alias("h"))
+    nodes = hashes.groupBy("h").agg(F.min("p_partkey").alias("same_as"))
     halves = F.explode(F.array(F.struct(F.lit(0).alias("half"), F.shiftright("h", 8).alias("bits")), F.struct(F.lit(1).alias("half"), F.col("h").bitwiseAND(F.lit(255)).alias("bits"))))
-    keyed = hashes.withColumn("key", halves).select("p_partkey", "h", "key.half", "key.bits")
-    a = keyed.where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("part_a"), F.col("h").alias("ha"), "half", "bits")
-    b = keyed.select(F.col("p_partkey").alias("part_b"), F.col("h").alias("hb"), "half", "bits")
-    near = a.join(b, ["half", "bits"]).where("part_a < part_b").withColumn("distance", C.hamming(F.col("ha"), F.col("hb")))
-    return near.where("distance <= 1").select("part_a", "part_b", "distance").distinct()
+    keyed = nodes.withColumn("key", halves).select("h", "same_as", "key.half", "key.bits")
+    other = keyed.select(F.col("h").alias("g"), F.col("same_as").alias("other"), "half", "bits")
+    linked = keyed.join(other, ["half", "bits"]).where(C.hamming(F.col("h"), F.col("g")) == 1).groupBy("h").agg(F.sort_array(F.collect_set("other")).alias("near"))  # 16 at most
+    named = nodes.join(linked, "h", "left").select("h", "same_as", F.coalesce(F.size("near"), F.lit(0)).cast("long").alias("links"), F.coalesce(F.array_join("near", ","), F.lit("")).alias("near"))
+    return hashes.join(named, "h").select("p_partkey", "same_as", "links", "near")
 
 
 @query("""
@@ -225,12 +228,12 @@ def u01_union_of_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-WITH a AS (SELECT l_returnflag, l_linestatus, l_linenumber FROM lineitem WHERE l_orderkey % 3 = 0), b AS (SELECT l_returnflag, l_linestatus, l_linenumber FROM lineitem WHERE l_orderkey % 3 = 1)
+WITH a AS (SELECT l_returnflag, l_linestatus, l_linenumber FROM lineitem WHERE l_orderkey % 2 = 0), b AS (SELECT l_returnflag, l_linestatus, l_linenumber FROM lineitem WHERE l_orderkey % 2 = 1)
 SELECT side, l_returnflag, l_linestatus, l_linenumber, count(*) AS n FROM (SELECT 'left' AS side, * FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT 'right', * FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)) GROUP BY ALL
 """)
 def u02_multiset_difference(spark: SparkSession, sf: str) -> DataFrame:
     lines = table(spark, sf, "lineitem")
-    a, b = (lines.where(f"l_orderkey % 3 = {k}").select("l_returnflag", "l_linestatus", "l_linenumber") for k in (0, 1))
+    a, b = (lines.where(f"l_orderkey % 2 = {k}").select("l_returnflag", "l_linestatus", "l_linenumber") for k in (0, 1))
     return R.multiset_difference(a, b).groupBy("side", "l_returnflag", "l_linestatus", "l_linenumber").agg(F.count("*").alias("n"))
 
 

@@ -193,13 +193,14 @@ def d27_merged_changes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-WITH m AS (SELECT DISTINCT strftime(o_orderdate, '%Y-%m-01') AS month FROM orders), r AS (SELECT strftime(o_orderdate - INTERVAL 6 HOURS, '%Y-%m-01') AS month, count(*) AS runs FROM orders WHERE o_orderpriority = '1-URGENT' AND o_custkey % 40 = 0 GROUP BY 1)
+WITH m AS (SELECT strftime(unnest(generate_series(date_trunc('month', min(o_orderdate))::TIMESTAMP - INTERVAL 2 MONTHS, max(o_orderdate)::TIMESTAMP + INTERVAL 3 MONTHS, INTERVAL 1 MONTH)), '%Y-%m-01') AS month FROM orders), r AS (SELECT strftime(o_orderdate - INTERVAL 6 HOURS, '%Y-%m-01') AS month, count(*) AS runs FROM orders GROUP BY 1)
 SELECT month, coalesce(runs, 0) AS runs, coalesce(runs, 0) = 0 AS missed FROM m LEFT JOIN r USING (month)
 """)
 def d24_missed_schedule(spark: SparkSession, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders")
-    months = orders.select(F.date_format("o_orderdate", "yyyy-MM-01").alias("month")).distinct()
-    return M.missed_schedule(orders.where("o_orderpriority = '1-URGENT' and o_custkey % 40 = 0"), months, "o_orderdate")
+    first, last = F.add_months(F.trunc(F.min("o_orderdate"), "month"), -2), F.add_months(F.max("o_orderdate").cast("date"), 3)
+    months = orders.agg(first.alias("a"), last.alias("b")).select(F.explode(F.sequence("a", "b", F.expr("interval 1 month"))).alias("m"))
+    return M.missed_schedule(orders, months.select(F.date_format("m", "yyyy-MM-01").alias("month")), "o_orderdate")
 
 
 @query(f"""
@@ -207,7 +208,7 @@ WITH {_EV}, r AS (SELECT event_id, event_type, value, base, CASE WHEN isnan(valu
 SELECT event_type, count(*) AS n, count(*) FILTER (flagged) AS flagged, round(abs(avg(value) FILTER (base) - avg(value) FILTER (NOT base)), 6) AS shift, abs(avg(value) FILTER (base) - avg(value) FILTER (NOT base)) <= 5 AS within FROM r GROUP BY 1
 """)
 def d25_tolerance(spark: SparkSession, sf: str) -> DataFrame:
-    """Review flags that count a NaN, and a tolerance between two means."""
+    """Review flags that count a NaN, and a tolerance between two means."""
     value = F.col("value")
     flagged = F.isnan(value) | (value >= 100)
     gap = F.abs(F.avg(F.when(F.col("base"), value)) - F.avg(F.when(~F.col("base"), value)))
@@ -280,9 +281,17 @@ def r04_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("event_type", F.round("low", 9).alias("low"), F.round("high", 9).alias("high"), "draws")
 
 
-@query()
+@query(f"""
+WITH {_EV}, u AS (SELECT value, base, r, ('0x' || substr(md5(concat_ws('|', r, event_id)), 1, 8))::BIGINT / 4294967296.0 AS u FROM e, range(10) AS x(r) WHERE base OR period >= 5),
+s AS (SELECT r, value, true AS b FROM u WHERE base AND u >= 0.5 UNION ALL SELECT r, value, false FROM u WHERE u < 0.05), c AS (SELECT r, value, count(*) FILTER (b) AS b, count(*) FILTER (NOT b) AS n FROM s GROUP BY 1, 2),
+g AS (SELECT r, b, n, abs(sum(b) OVER w / sum(b) OVER a - sum(n) OVER w / sum(n) OVER a) AS gap FROM c WINDOW a AS (PARTITION BY r), w AS (PARTITION BY r ORDER BY value ROWS UNBOUNDED PRECEDING)),
+k AS (SELECT r, max(gap) * sqrt(sum(b)::DOUBLE * sum(n) / (sum(b) + sum(n))) AS x FROM g GROUP BY 1),
+p AS (SELECT CASE WHEN x < 0.2 THEN 1.0 ELSE list_sum(list_transform(range(1, 101), lambda j: (CASE WHEN j % 2 = 1 THEN 2.0 ELSE -2.0 END) * exp(-2.0 * j * j * x * x))) END AS p FROM k),
+f AS (SELECT count(*) AS n, count(*) FILTER (p < 0.05) AS h, 1.959963984540054 AS z FROM p), w AS (SELECT *, h / n AS s, 1 + z * z / n AS d FROM f)
+SELECT n AS batches, h AS flagged, round(greatest(0, (s + z * z / (2 * n)) / d - z * sqrt(s * (1 - s) / n + z * z / (4 * n * n)) / d), 6) AS low, round(least(1, (s + z * z / (2 * n)) / d + z * sqrt(s * (1 - s) / n + z * z / (4 * n * n)) / d), 6) AS high FROM w
+""")
 def r07_flag_rate(spark: SparkSession, sf: str) -> DataFrame:
-    """How often a KS test flags batches that mix two pools."""
+    """How often a KS test flags batches that mix two pools."""
     rows = events(spark, sf).where("base or period >= 5").select("event_id", "value", "base")
     reps = rows.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(9)))).withColumn("u", C.hash_share(F.col("replicate"), F.col("event_id")))
     batch = reps.where("u < 0.05").withColumn("baseline", F.lit(False))
@@ -312,7 +321,7 @@ def v10_cosine(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def v07_mahalanobis(spark: SparkSession, sf: str) -> DataFrame:
-    """Distances under a shared covariance in eight components."""
+    """Distances under a shared covariance in eight components."""
     rows = table(spark, sf, "embeddings")
     return V.mahalanobis(rows, rows.where("vec_id % 2 = 0"), "vec_id", "label", "embedding", 8)
 

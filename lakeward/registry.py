@@ -29,6 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def sql_of(name: str) -> str:
+    """The SQL of a query registered before."""
+    return _SQL[name]
+
+
 def _load() -> None:
     from lakeward import plans
 

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import uuid
 from datetime import datetime
 
 import pytest
@@ -370,7 +371,9 @@ def test_service_counts_earlier_releases_again_in_grown_tables(spark):
 
 
 def test_leaves_stale_files_and_manifests(spark):
-    assert evidence.numeric_leaves('{"a": {"b": [1, true, {"c": 2.5}]}, "d": "3", "e": null}') == [("a.b[0]", 1.0), ("a.b[2].c", 2.5)]
+    documents = [(1, '{"a": {"b": [1, true, {"c": 2.5}]}, "d": "3", "e": null}'), (2, "[7, [8]]"), (3, "5"), (4, "no json"), (5, None), (6, "{}")]
+    found = evidence.leaves(spark.createDataFrame(documents, "k int, doc string"), "k", "doc").collect()
+    assert sorted(map(tuple, found)) == [(1, "a.b[0]", 1.0), (1, "a.b[2].c", 2.5), (2, "[0]", 7.0), (2, "[1][0]", 8.0), (3, "", 5.0)]
     files = spark.createDataFrame([("a", b"x"), ("b", b"y")], "name string, content binary")
     index = files.select("name", F.sha2("content", 256).alias("sha256"))
     assert all(r["passed"] for r in evidence.manifest_gates(index, files).collect())
@@ -381,4 +384,4 @@ def test_leaves_stale_files_and_manifests(spark):
 
 def test_identifiers_are_stable(spark):
     rows = evidence.with_uid(spark.createDataFrame([("k",), ("k",), (None,)], "key string"), "key").collect()
-    assert rows[0]["uid"] == rows[1]["uid"] and rows[0]["uid"].startswith("2.25.") and rows[2]["uid"] is None
+    assert rows[0]["uid"] == rows[1]["uid"] == f"2.25.{uuid.uuid5(evidence.NAMESPACE, 'k').int}" and rows[0]["uid"].startswith("2.25.") and rows[2]["uid"] is None
