@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,48 +49,39 @@ def quarantined(rows: DataFrame, error: str) -> tuple[DataFrame, DataFrame]:
 
 
 class VersionedTable:
-    """Parquet folders, one a version, with a log that names them in order.
+    """A Parquet table with a column ``version``; every write adds a partition of it.
 
-    A version is read by its number, an overwrite goes to a new folder, so a table may
-    be rewritten from itself, and a rewrite that fails its check is never logged.
+    A version is read by its number and never changed, so a table may be rewritten from
+    itself; one that fails its check never gets its name.
     """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
-
-    def _log(self) -> list[tuple[int, str, str]]:
-        try:
-            rows = self.spark.read.schema("version int, folder string, comment string").json(f"{self.root}/log").collect()
-        except Exception as error:  # the log is not there before the first write
-            if "PATH_NOT_FOUND" in str(error):
-                return []
-            raise
-        return sorted(tuple(r) for r in rows)
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._files = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def versions(self) -> list[int]:
-        return [v for v, _, _ in self._log()]
+        held = self._files.globStatus(self._path(f"{self.root}/version=*")) or []
+        return sorted(int(f.getPath().getName().removeprefix("version=")) for f in held)
 
     def read(self, version: int | None = None) -> DataFrame:
-        log = self._log()
-        folder = dict((v, f) for v, f, _ in log)[version if version is not None else log[-1][0]]
-        return self.spark.read.parquet(f"{self.root}/{folder}")
+        return self.spark.read.parquet(f"{self.root}/version={version or self.versions()[-1]}")
 
-    def write(self, df: DataFrame, comment: str = "", check=None) -> int:
+    def write(self, df: DataFrame, check: Callable[[DataFrame], None] | None = None) -> int:
         """Write a new version; ``check`` gets it as written and raises to refuse it."""
-        log = self._log()
-        version, folder = (log[-1][0] + 1 if log else 1), f"data-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.root}/{folder}")
+        version, made = max(self.versions(), default=0) + 1, f"{self.root}/_made-{uuid.uuid4().hex}"
+        df.write.parquet(made)
         if check:
-            check(self.spark.read.parquet(f"{self.root}/{folder}"))
-        entry = self.spark.createDataFrame([(version, folder, comment)], "version int, folder string, comment string")
-        entry.coalesce(1).write.mode("append").json(f"{self.root}/log")
+            check(self.spark.read.parquet(made))
+        if not self._files.rename(self._path(made), self._path(f"{self.root}/version={version}")):
+            raise ValueError(f"version {version} was written by another")
         return version
 
-    def create(self, df: DataFrame, comment: str = "") -> int:
+    def create(self, df: DataFrame) -> int:
         """The first version; an error if there is one."""
-        if self._log():
+        if self.versions():
             raise ValueError(f"{self.root} is there already")
-        return self.write(df, comment)
+        return self.write(df)
 
     def append(self, df: DataFrame, key: str, parent: DataFrame | None = None, parent_key: str | None = None) -> int:
         """Add rows whose key is new. With a parent, every row must have one."""
@@ -97,11 +89,9 @@ class VersionedTable:
             lost = df.join(parent.select(F.col(parent_key).alias("_p")), F.col(key) == F.col("_p"), "left_anti").count()
             if lost:
                 raise ValueError(f"{lost} rows have no parent")
-        log = self._log()
-        held = self.read() if log else None
-        both = df if held is None else held.unionByName(df.join(held.select(key), key, "left_anti"))
-        return self.write(both, "append")
+        held = self.read() if self.versions() else None
+        return self.write(df if held is None else held.unionByName(df.join(held.select(key), key, "left_anti")))
 
     def restore(self, version: int) -> int:
         """Make an earlier version the latest again."""
-        return self.write(self.read(version), f"restore {version}")
+        return self.write(self.read(version))
