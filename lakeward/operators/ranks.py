@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Ranges of a group, and how many of their cuts are looked at together.
-RANGES, STEP = 1024, 32
+RANGES, STEP = 256, 16
 
 
 def _joined(rows: DataFrame, more: DataFrame, keys: Sequence[str]) -> DataFrame:
