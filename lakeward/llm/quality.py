@@ -11,18 +11,24 @@ unlabelled model, fitted on one half, ranks the other, and the least ratio of
 unlabelled to positive mass above a threshold bounds the share of positives. Labels of both values in the training
 folds then scale the output to a probability.
 
-The fit uses a sample of at most about ``SAMPLE`` documents, drawn by a hash of
-doc_id; every document is scored over its whole text. doc_id, source, lang and labels
-are no features.
+The fit uses at most about ``SAMPLE`` labelled documents and as many without a label.
+The two are drawn apart by a hash of doc_id, so few labels among many documents are all
+used; every document is scored over its whole text. doc_id, source, lang and labels are
+no features.
 
 Nulls and ties: a null text is empty; an empty text has features of its own and a
 score like any other; a null doc_id or label teaches nothing; a doc_id with labels of
-both values is left out. Without a positive to learn from every score is 0.5.
+both values counts as unlabelled. Rows that repeat a doc_id teach once, by the text of
+least hash, and are scored one by one. Without a positive to learn from, as in empty
+tables, a warning is given and every score is 0.5. A very long text takes about thirty
+times its bytes in its worker while its words are counted. Columns of documents and
+labels that are not named here may have any name.
 """
 
 from __future__ import annotations
 
 import re
+import warnings
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,7 +42,7 @@ from pyspark.sql import functions as F
 from lakeward.llm.langid import HELD_OUT, fold
 from lakeward.llm.words import rows_of
 
-SAMPLE = 30_000
+SAMPLE = 20_000
 THRESHOLD = 0.7
 _STEPS = 600
 
@@ -187,24 +193,33 @@ def _labels(labels: DataFrame) -> DataFrame:
     return clean.groupBy("label_id").agg(F.min("quality").alias("lo"), F.max("quality").alias("hi")).where("lo = hi").select("label_id", F.col("lo").alias("quality"))
 
 
-def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
+def drawn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """doc_id, y (1 or 0 as labelled, else -1) and text of the documents to learn from.
+
+    Only doc_ids are joined to the labels; the ids that are drawn, of which ``sample``
+    bounds either kind, are then looked for among the texts.
+    """
     usable = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(fold(F.col("doc_id")) != HELD_OUT)
-    share = min(1.0, sample / max(1, usable.select("doc_id").count()))
-    draw = lambda c: F.pmod(F.xxhash64(c, F.lit(11)), F.lit(1 << 30)).cast("double") / float(1 << 30) < share
+    marked = usable.select("doc_id").distinct().join(_labels(labels), F.col("doc_id") == F.col("label_id"), "left")
+    every, known = marked.agg(F.count("*"), F.count("quality")).first()
+    share = F.when(F.col("quality").isNull(), sample / max(1, every - known)).otherwise(sample / max(1, known))
+    place = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)).cast("double") / float(1 << 30)
+    chosen = marked.where(place < share).select(F.col("doc_id").alias("chosen"), F.coalesce("quality", F.lit(-1)).alias("y"))
+    rows = usable.join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen"))
+    return rows.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
+
+def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
     def shape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in rows_of(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([features(t).tolist() for t in texts], pa.list_(pa.float64()))], ["doc_id", "x"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "y")), pa.array([features(t).tolist() for t in texts], pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
-    drawn = usable.where(draw("doc_id")).mapInArrow(shape, "doc_id long, x array<double>")
-    known = _labels(labels).where(draw("label_id"))
-    # Both sides hold the drawn rows only, which the sample bounds.
-    rows = drawn.join(known, F.col("doc_id") == F.col("label_id"), "left").select("doc_id", F.coalesce("quality", F.lit(-1)).alias("y"), "x").collect()
-    if not rows:
-        return None
-    # Labelled rows whose label is not to be used are no unlabelled text either way.
-    rows.sort(key=lambda r: (r["doc_id"], r["x"]))
-    return fit(np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows]))
+    rows = drawn(docs, labels, sample).mapInArrow(shape, "doc_id long, y int, x array<double>").collect()
+    rows.sort(key=lambda r: r["doc_id"])
+    model = fit(np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows])) if rows else None
+    if model is None:
+        warnings.warn("no document is labelled 1: quality is not learned", stacklevel=2)
+    return model
 
 
 def scored(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:

@@ -133,6 +133,44 @@ def test_risk_never_counts_below_zero():
     assert (margin[:210] > 0).mean() > 0.8 and (margin[210:] < 0).mean() > 0.8
 
 
+def test_few_labels_among_many_documents_are_all_used(spark):
+    docs = [(i, f"text {i}", "en", "s", 1) for i in range(4000)]
+    labels = [(i, i // 1000 % 2, 0) for i in range(5, 4000, 1000)]
+    rows = quality.drawn(frame(spark, [*docs, *docs[:5]]), spark.createDataFrame([*labels, (9, 1, 0), (9, 0, 0)], LABELS), 100).collect()
+    assert {r.doc_id: r.y for r in rows if r.y >= 0} == {i: q for i, q, _ in labels if not held(i)}
+    assert 60 < sum(r.y < 0 for r in rows) < 150 and not any(held(r.doc_id) for r in rows)
+    assert len(rows) == len({r.doc_id for r in rows})
+
+
+def test_fit_is_that_of_a_plain_one():
+    rng = np.random.default_rng(4)
+    x = np.vstack([rng.normal(1, 1, (30, 3)), rng.normal(-1, 1, (30, 3)), rng.normal(0, 1.5, (50, 3))])
+    y = np.repeat([1, 0, -1], [30, 30, 50])
+    model = quality.fit(x, y)
+    mean, sd = x.mean(0), x.std(0)
+    z = [[max(-8.0, min(8.0, (v - m) / d)) for v, m, d in zip(row, mean, sd)] for row in x.tolist()]
+    squash = lambda t: 1 / (1 + np.exp(-t))
+
+    def risk(w):
+        f = [w[0] + sum(a * b for a, b in zip(w[1:], row)) for row in z]
+        pos, unl = [v for v, k in zip(f, y) if k == 1], [v for v, k in zip(f, y) if k == -1]
+        gain, paid = np.mean([squash(-v) for v in pos]), np.mean([squash(v) for v in unl]) - model.prior * np.mean([squash(v) for v in pos])
+        weight = 0.5e-3 * sum(v * v for v in w[1:])
+        return (model.prior * gain + paid if paid >= 0 else -paid) + weight
+
+    def slope(w):
+        return [(risk(w + h) - risk(w - h)) / 2e-6 for h in np.eye(len(w)) * 1e-6]
+
+    w, first, second = np.zeros(4), np.zeros(4), np.zeros(4)
+    for t in range(1, 601):
+        g = np.array(slope(w))
+        first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
+        w = w - 0.02 * first / (1 - 0.9**t) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
+    assert np.abs(w - model.weights).max() < 1e-3
+    plain = [squash(model.slope * (w[0] + sum(a * b for a, b in zip(w[1:], row))) + model.offset) for row in z]
+    assert np.abs(np.array(plain) - model.scores(x)).max() < 1e-3
+
+
 def test_labels_without_a_positive_reject_nothing(spark):
     docs, labels, _ = rated(120)
     for rows in ([], [(i, 0, t) for i, _, t in labels]):
