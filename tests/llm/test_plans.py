@@ -155,6 +155,21 @@ def test_top_k_of_brute_force(spark):
     assert not topk.top_k(empty, F.col("vec_id") % 50 == 0).count()
 
 
+def test_shards_whose_balls_are_too_far_are_not_asked(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    centres = np.eye(8) * 3
+    vectors = [(i, (centres[i % 8] + rng.normal(0, 0.02, 8)).astype("float32").tolist()) for i in range(1600)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    asked, searched = [], topk._searched
+    monkeypatch.setattr(topk, "_searched", lambda trees, pairs, *rest: asked.append(pairs.count()) or searched(trees, pairs, *rest))
+    got = defaultdict(list)
+    for r in topk.top_k(df, F.col("vec_id") % 50 == 0, shard_rows=100, rounds=(1, 2)).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    assert dict(got) == plain_top(vectors)
+    # 32 queries and at least 16 shards; all but those of a query's own cluster are left out.
+    assert asked[0] == 32 and sum(asked) <= 32 * 5
+
+
 def test_large_components_are_exact(spark):
     vectors = [(0, [1e7, 1.0]), (1, [1e7, 0.5]), (2, [1e7, 0.25]), (3, [-1e7, 1.0])]
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
