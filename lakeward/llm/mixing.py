@@ -5,16 +5,22 @@ to and including it, in shuffled order, divided by the source's target. Copies a
 ranged by that time over all sources and the mix is cut where the total budget is
 spent. Running totals go over many tasks: rows are dealt into buckets of their sort
 key, bucket totals are summed first, and each bucket then runs on from its offset, so
-a source with a third of all rows is no single task.
-
-Nulls and ties: a null text has size 0; a null source is a source of its own and the
-last in order; a null doc_id sorts before all others; rows that agree in source,
-doc_id and size are interchangeable. An empty table gives an empty mix.
+a source with a third of all rows is no single task. Buckets of the shuffle are as many
+as the rows ask for; virtual time is cut into slices and the slice in which the budget
+ends into slices again. Sources are weighed in one task, a row for each source.
+
+Nulls and ties: a null text has size 0, as has one without words, and a very long text
+is counted like any other; a null source is a source of its own and the last in order; a
+null doc_id sorts before all others; rows that agree in source, doc_id and size are
+interchangeable. An empty table gives an empty mix. Other columns are not looked at,
+whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from lakeward.llm.shared import stored
@@ -22,10 +28,10 @@ from lakeward.llm.shared import stored
 WEIGHTS = (5, 2, 1)
 #: No source is taken more often than this, and so no document.
 MAX_PASSES = 3
-#: Hex digits of the shuffle key that name a bucket: 4,096 buckets for each source.
-BUCKET_DIGITS = 3
-#: Buckets of virtual time from 0 to its end, for each pass.
-TIME_BUCKETS = 4096
+#: Rows of a bucket of the shuffle, on average, for a source that has all of them.
+BUCKET_ROWS = 100_000
+#: Slices of virtual time from 0 to 1, and of one of them.
+SLICES = 4096
 
 
 def word_count(text: Column) -> Column:
@@ -70,16 +76,27 @@ def running_total(df: DataFrame, bucket: list[str], key: list[Column], group: li
     return joined.withColumn(name, F.sum(value).over(inside) + F.col("_offset")).drop("_offset", *(f"t_{c}" for c in where))
 
 
+def _cut(sliced: DataFrame, budget: int, spent: int) -> Row | None:
+    """The slice that the budget ends in, and the words spent before it."""
+    words = sliced.groupBy("_slice").agg(F.sum("size").alias("_words"))
+    until = Window.partitionBy(F.lit(1)).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # a row for each slice
+    placed = words.withColumn("_before", F.coalesce(F.sum("_words").over(until), F.lit(0)) + F.lit(spent))
+    ends = placed.where((F.col("_before") <= budget) & (F.col("_before") + F.col("_words") > budget))
+    return ends.agg(F.max(F.struct("_slice", "_before"))).first()[0]
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_passes: int = MAX_PASSES, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns ``keep`` of every document with size, source_size, target and taken.
 
     ``taken`` counts the words the mix takes of the document, repeats included.
     """
-    names = [c for c in keep if c != "doc_id"]
+    names = [c for c in keep if c not in ("doc_id", "source")]
     # Texts are read and counted once; all that follows goes over these short rows.
     sized = stored(docs.select(F.col("doc_id").cast("long"), "source", *names, word_count(F.col("text")).alias("size")), "sizes")
     shuffled = sized.withColumn("_key", F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit("")))
-    shuffled = shuffled.withColumn("_bucket", F.substring("_key", 1, BUCKET_DIGITS))
+    rows, budget = sized.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    digits = next((d for d in range(3, 12) if 16**d * BUCKET_ROWS >= rows), 12)  # hex digits that name a bucket
+    shuffled = shuffled.withColumn("_bucket", F.substring("_key", 1, digits))
     targets = source_targets(sized, weights, max_passes)
     sent = running_total(shuffled, ["_bucket"], [F.col("_key"), F.col("size")], ["source"], "size", "_sent")
     targets = targets.withColumnRenamed("source", "t_source")
@@ -89,45 +106,47 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_passes: int = M
     # A source's copies end at max_passes / target of its size, 1 for a source at its cap
     # and later for the others: the mix is spent about when virtual time is 1.
     finish = (F.col("pass") * F.col("source_size") + F.col("_sent")).cast("double") / F.col("target")
-    copies = copies.withColumn("_finish", finish).withColumn("_slice", F.least(F.floor(finish * TIME_BUCKETS), F.lit(2 * TIME_BUCKETS)))
+    copies = copies.withColumn("_finish", finish)
     order = [F.col("_finish"), F.col("source").asc_nulls_last(), F.col("_key"), F.col("pass"), F.col("size")]
-    slices = copies.groupBy("_slice").agg(F.sum("size").alias("_words"))
-    until = Window.partitionBy(F.lit(1)).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    slices = slices.withColumn("_before", F.coalesce(F.sum("_words").over(until), F.lit(0)))
-    budget = sized.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    # Whole slices before the cut are in, later ones out; only the one slice that the
-    # budget ends in is put in order.
-    cut = slices.where((F.col("_before") <= budget) & (F.col("_before") + F.col("_words") > budget)).agg(F.max(F.struct("_slice", "_before"))).first()[0]
-    if cut is None:
-        taken = copies.withColumn("_in", F.lit(True))
+    # Whole slices before the cut are in, later ones out; only the slice of a slice that
+    # the budget ends in is put in order.
+    whole, left, spent = [], copies, 0
+    for scale in (SLICES, SLICES**2):
+        sliced = left.withColumn("_slice", F.least(F.floor(F.col("_finish") * scale), F.lit(2 * scale)))
+        cut = _cut(sliced, budget, spent)
+        if cut is None:
+            whole.append(left)
+            break
+        whole.append(sliced.where(F.col("_slice") < cut["_slice"]).drop("_slice"))
+        left, spent = sliced.where(F.col("_slice") == cut["_slice"]).drop("_slice"), cut["_before"]
     else:
-        whole = copies.where(F.col("_slice") < cut["_slice"]).withColumn("_in", F.lit(True))
-        last = copies.where(F.col("_slice") == cut["_slice"])
-        spent = F.sum("size").over(Window.partitionBy("_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-        taken = whole.unionByName(last.withColumn("_in", spent + F.lit(cut["_before"]) <= budget)).where("_in")
+        line = Window.partitionBy(F.lit(1)).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        whole.append(left.withColumn("_ended", F.sum("size").over(line) + F.lit(spent)).where(F.col("_ended") <= budget).drop("_ended"))
+    taken = reduce(DataFrame.unionByName, whole)
     # Copies of a document are counted by its place in the shuffle, which tells rows
     # of the same doc_id apart.
     place = ("source", "_key", "_sent", "size")
     counted = taken.groupBy(*(F.col(c).alias(f"t_{c}") for c in place)).agg(F.count("*").alias("_times"))
     same = [F.col(c).eqNullSafe(F.col(f"t_{c}")) for c in place]
     words = F.col("size") * F.coalesce("_times", F.lit(0))
-    return timed.join(counted, same, "left").select("doc_id", *names, "size", "source_size", "target", words.cast("long").alias("taken"))
+    return timed.join(counted, same, "left").select(*keep, "size", "source_size", "target", words.cast("long").alias("taken"))
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_passes: int = MAX_PASSES) -> DataFrame:
     """``docs`` as mixed: a document is there as often as the mix takes it.
 
-    The mix is made of short rows and joined to the texts at the end. Rows that agree
-    in doc_id and text are numbered on both sides.
+    The mix is made of short rows and joined to the texts once. Rows that agree in
+    source, doc_id and text are interchangeable: one of them, of least hash, stands for
+    all copies that the mix takes of them.
     """
-    number = F.row_number().over(Window.partitionBy("_id", "_digest").orderBy("_id"))
-    named = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_digest"), F.struct(*docs.columns).alias("_row"))
-    rows = named.withColumn("_number", number)
-    counted = mix(docs.select("doc_id", "source", "text", F.xxhash64("text").alias("_digest")), weights, max_passes, keep=("doc_id", "_digest"))
-    again = counted.select(F.col("doc_id").alias("_id"), "_digest", "size", "taken").withColumn("_number", number)
-    times = again.where("taken > 0").select(
-        F.col("_id").alias("t_id"), F.col("_digest").alias("t_digest"), F.col("_number").alias("t_number"),
-        F.explode(F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int"))).alias("t_copy"),
-    )
-    same = F.col("_id").eqNullSafe(F.col("t_id")) & (F.col("_digest") == F.col("t_digest")) & (F.col("_number") == F.col("t_number"))
-    return rows.join(times, same).select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
+    digest, pair = F.xxhash64("text").alias("_digest"), ("source", "doc_id", "_digest")
+    counted = mix(docs.select("doc_id", "source", "text", digest), weights, max_passes, keep=pair)
+    times = counted.groupBy(*(F.col(c).alias(f"t_{c}") for c in pair)).agg(F.sum(F.coalesce(F.col("taken") / F.nullif("size", F.lit(0)), F.lit(0))).cast("int").alias("t_copies"), F.count("*").alias("t_rows"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("source").alias("_source"), digest, F.struct(*docs.columns).alias("_row"))
+    same = F.col("_id").eqNullSafe(F.col("t_doc_id")) & (F.col("_digest") == F.col("t__digest")) & F.col("_source").eqNullSafe(F.col("t_source"))
+    joined = rows.join(times.where("t_copies > 0"), same)
+    single = joined.where("t_rows = 1").select("_row", "t_copies")
+    plain = [f"_row.`{f.name}`" for f in docs.schema if f.dataType.typeName() not in ("map", "variant")]
+    repeated = joined.where("t_rows > 1").groupBy("t_source", "t_doc_id", "t__digest", "t_copies").agg(F.min_by("_row", F.xxhash64(*plain)).alias("_row"))
+    every = single.unionByName(repeated.select("_row", "t_copies")).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("t_copies"))))
+    return every.select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
