@@ -83,10 +83,11 @@ class VersionedTable:
             raise ValueError(f"{self.root} is there already")
         return self.write(df)
 
-    def append(self, df: DataFrame, key: str, parent: DataFrame | None = None, parent_key: str | None = None) -> int:
-        """Add rows whose key is new. With a parent, every row must have one."""
+    def append(self, df: DataFrame, key: str, parent: DataFrame | None = None, parent_key: str | None = None, link: str | None = None) -> int:
+        """Add rows whose key is new. With a parent, every row must have one, named by
+        ``link``, else by its key."""
         if parent is not None:
-            lost = df.join(parent.select(F.col(parent_key).alias("_p")), F.col(key) == F.col("_p"), "left_anti").count()
+            lost = df.join(parent.select(F.col(parent_key).alias("_p")), F.col(link or key) == F.col("_p"), "left_anti").count()
             if lost:
                 raise ValueError(f"{lost} rows have no parent")
         held = self.read() if self.versions() else None
