@@ -71,7 +71,20 @@ def d05_class_mix(spark: SparkSession, sf: str) -> DataFrame:
     return M.class_mix(rows, ["event_type"], "guess", "base").select("event_type", F.round("tvd", 9).alias("tvd"), "unseen")
 
 
-@query()
+@query(f"""
+WITH {_EV}, now AS (SELECT * FROM e WHERE NOT base AND period >= 4), z AS (SELECT DISTINCT period FROM now),
+bth AS (SELECT period, value, user_id % 5 AS g, false AS b FROM now UNION ALL SELECT z.period, value, user_id % 5, true FROM z, e WHERE base),
+cell AS (SELECT period, g, count(*) FILTER (NOT b) AS o, count(*) FILTER (b) AS a FROM bth GROUP BY 1, 2), sums AS (SELECT *, sum(o) OVER w AS n_o, sum(a) OVER w AS n_a FROM cell WINDOW w AS (PARTITION BY period)),
+mix AS (SELECT period, max(n_o) AS n, sum(abs(o / n_o - a / n_a)) / 2 AS tvd, bool_or(a = 0 AND o > 0) AS unseen, sum((o - a * n_o / n_a) * (o - a * n_o / n_a) / (a * n_o / n_a)) AS x FROM sums GROUP BY 1),
+med AS (SELECT period, quantile_cont(value, 0.5) FILTER (NOT b) - quantile_cont(value, 0.5) FILTER (b) AS m FROM bth GROUP BY 1),
+c AS (SELECT period, value, count(*) FILTER (b) AS b, count(*) FILTER (NOT b) AS n FROM bth GROUP BY 1, 2),
+g AS (SELECT period, b, n, abs(sum(b) OVER w / sum(b) OVER a - sum(n) OVER w / sum(n) OVER a) AS gap FROM c WINDOW a AS (PARTITION BY period), w AS (PARTITION BY period ORDER BY value ROWS UNBOUNDED PRECEDING)),
+k AS (SELECT period, max(gap) AS ks, max(gap) * sqrt(sum(b)::DOUBLE * sum(n) / (sum(b) + sum(n))) AS x FROM g GROUP BY 1),
+q AS (SELECT quantile_cont(value, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS edges FROM e WHERE base), h AS (SELECT period, len(list_filter(edges, lambda x: x <= value)) AS bin, count(*) FILTER (b) AS b, count(*) FILTER (NOT b) AS n FROM bth, q GROUP BY ALL),
+s AS (SELECT period, b / sum(b) OVER w + 1e-6 AS o, n / sum(n) OVER w + 1e-6 AS c FROM h WINDOW w AS (PARTITION BY period)), psi AS (SELECT period, sum((c - o) * ln(c / o)) AS psi FROM s GROUP BY 1),
+r AS (SELECT *, CASE WHEN k.x < 0.2 THEN 1.0 ELSE list_sum(list_transform(range(1, 101), lambda j: (CASE WHEN j % 2 = 1 THEN 2.0 ELSE -2.0 END) * exp(-2.0 * j * j * k.x * k.x))) END AS p, exp(-mix.x / 2) * (1 + mix.x / 2) AS p_mix FROM mix JOIN med USING (period) JOIN k USING (period) JOIN psi USING (period))
+SELECT period, round(tvd, 9) AS tvd, n >= 100 AND tvd >= 0.1 AND (unseen OR p_mix < 0.01) AS mix_alert, round(m, 6) AS median_change, n >= 100 AND p < 0.01 AND abs(m) >= 0.05 AS confidence_alert, round(ks, 9) AS ks, round(psi, 6) AS psi, n >= 100 AND p < 0.01 AND psi >= 0.2 AS score_alert FROM r
+""")
 def d07_month_signals(spark: SparkSession, sf: str) -> DataFrame:
     """Class mix, confidence and score drift of each period side by side."""
     rows = events(spark, sf).where("base or period >= 4").withColumn("guess", F.col("user_id") % 5)
@@ -81,7 +94,7 @@ def d07_month_signals(spark: SparkSession, sf: str) -> DataFrame:
     mix = M.mix_alert(M.class_mix(both, ["period"], "guess", "base").join(both.where("not base").groupBy("period").agg(F.count("*").alias("n")), "period"), "n")
     shift = M.confidence_shift(both, ["period"], "value", "base")
     drift = S.drift(both, ["period"], "value", "base")
-    return mix.select("period", "tvd", F.col("alert").alias("mix_alert")).join(shift.select("period", "median_change", F.col("alert").alias("confidence_alert")), "period").join(drift.select("period", "ks", "psi", F.col("alert").alias("score_alert")), "period")
+    return mix.select("period", F.round("tvd", 9).alias("tvd"), F.col("alert").alias("mix_alert")).join(shift.select("period", F.round("median_change", 6).alias("median_change"), F.col("alert").alias("confidence_alert")), "period").join(drift.select("period", F.round("ks", 9).alias("ks"), F.round("psi", 6).alias("psi"), F.col("alert").alias("score_alert")), "period")
 
 
 @query(f"""
