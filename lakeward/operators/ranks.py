@@ -56,21 +56,30 @@ def running(counted: DataFrame, groups: Sequence[str], value: str, sums: Sequenc
     return out.drop("_range", *(f"_ahead_{s}" for s in sums), *(["_group"] if not groups else []))
 
 
+def cuts(shares: Sequence[float], value: str, n: str) -> tuple[list[Column], Column]:
+    """Aggregates over ranked rows, and the exact quantiles of ``value``, each taken ``n``
+    times, that they make. Between two values quantiles are interpolated."""
+    before, every = F.col(f"{n}_before"), F.col(f"{n}_all")
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((before <= place) & (place < before + F.col(n)), F.col(value).cast("double")))
+
+    points = [(f"_{which}{i}", at(f(F.lit(float(q)) * (every - 1)))) for i, q in enumerate(shares) for which, f in (("low", F.floor), ("high", F.ceil))]
+    held = [F.max(every).alias("_size"), *(c.alias(name) for name, c in points)]
+    mixed = []
+    for i, q in enumerate(shares):
+        place = F.lit(float(q)) * (F.col("_size") - 1)
+        between = (F.ceil(place) - place) * F.col(f"_low{i}") + (place - F.floor(place)) * F.col(f"_high{i}")
+        mixed.append(F.when(F.ceil(place) == F.floor(place), F.col(f"_low{i}")).otherwise(between))
+    return held, F.array(*mixed)
+
+
 def quantiles(rows: DataFrame, groups: Sequence[str], value: str, shares: Sequence[float], name: str, ranges: int = RANGES) -> DataFrame:
     """groups and ``name``: the exact quantiles of the non-null values at ``shares``, as
-    an array. Between two values they are interpolated."""
+    an array."""
     counted = rows.where(F.col(value).isNotNull()).groupBy(*groups, F.col(value).alias("_value")).agg(F.count("*").alias("_n"))
-    ranked = running(counted, groups, "_value", ["_n"], ranges)
-
-    def at(place: Column) -> Column:
-        return F.max(F.when((F.col("_n_before") <= place) & (place < F.col("_n_before") + F.col("_n")), F.col("_value").cast("double")))
-
-    points = [F.lit(float(q)) * (F.col("_n_all") - 1) for q in shares]
-    held = ranked.groupBy(*groups).agg(F.max("_n_all").alias("_n_all"), *(at(f(p)).alias(f"_{which}{i}") for i, p in enumerate(points) for which, f in (("low", F.floor), ("high", F.ceil))))
-    mixed = [
-        F.when(F.ceil(p) == F.floor(p), F.col(f"_low{i}")).otherwise((F.ceil(p) - p) * F.col(f"_low{i}") + (p - F.floor(p)) * F.col(f"_high{i}")) for i, p in enumerate(points)
-    ]
-    return held.select(*groups, F.array(*mixed).alias(name))
+    held, found = cuts(shares, "_value", "_n")
+    return running(counted, groups, "_value", ["_n"], ranges).groupBy(*groups).agg(*held).select(*groups, found.alias(name))
 
 
 def quantile(rows: DataFrame, groups: Sequence[str], value: str, share: float, name: str) -> DataFrame:

@@ -13,19 +13,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeward.functions import columns as C
-from lakeward.operators.ranks import quantile, quantiles, running
+from lakeward.operators.ranks import cuts, quantile, quantiles, running
 
 EPS = 1e-6
 
 
+def _counted(rows: DataFrame, groups: Sequence[str], value: str, baseline: str) -> DataFrame:
+    """groups, value, b, c, q: rows of the baseline and of the other sample with a value,
+    and of the baseline those whose value is not null."""
+    counts = rows.groupBy(*groups, value).agg(F.count_if(F.col(baseline)).alias("b"), F.count_if(~F.col(baseline)).alias("c"))
+    return counts.withColumn("q", F.when(F.col(value).isNotNull(), F.col("b")).otherwise(0))
+
+
+def _compared(counted: DataFrame, groups: Sequence[str], value: str, bins: int) -> DataFrame:
+    """groups, n_base, n_now, ks, edges of ``counted``."""
+    upto = lambda c: C.ratio(F.col(f"{c}_before") + F.col(c), F.col(f"{c}_all"))
+    held, edges = cuts([i / bins for i in range(1, bins)], value, "q")
+    ranked = running(counted, groups, value, ["b", "c", "q"])
+    sums = ranked.groupBy(*groups).agg(F.sum("b").alias("n_base"), F.sum("c").alias("n_now"), F.max(F.abs(upto("b") - upto("c"))).alias("ks"), *held)
+    return sums.select(*groups, "n_base", "n_now", "ks", edges.alias("edges"))
+
+
 def ecdf_distance(rows: DataFrame, groups: Sequence[str], value: str, baseline: str) -> DataFrame:
     """groups, n_base, n_now, ks: the largest gap between two empirical distributions.
 
     ``baseline`` is the boolean column that tells the two samples apart.
     """
-    counted = rows.groupBy(*groups, value).agg(F.count_if(F.col(baseline)).alias("b"), F.count_if(~F.col(baseline)).alias("c"))
-    upto = lambda c: C.ratio(F.col(f"{c}_before") + F.col(c), F.col(f"{c}_all"))
-    return running(counted, groups, value, ["b", "c"]).withColumn("gap", F.abs(upto("b") - upto("c"))).groupBy(*groups).agg(F.sum("b").alias("n_base"), F.sum("c").alias("n_now"), F.max("gap").alias("ks"))
+    return _compared(_counted(rows, groups, value, baseline), groups, value, 1).drop("edges")
 
 
 def ks_p_value(distance: Column, n: Column, m: Column, terms: int = 100) -> Column:
@@ -42,28 +56,34 @@ def ks_p_value(distance: Column, n: Column, m: Column, terms: int = 100) -> Colu
     return F.when(size < 0.2, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), tail)))
 
 
+def _stable(counted: DataFrame, compared: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
+    """``compared`` with psi over the bins between its edges."""
+    keys = [F.col(g).alias(f"_{g}") for g in groups]
+    same = [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in groups] or [F.lit(True)]
+    placed = counted.join(compared.select(*keys, "edges"), same).withColumn("bin", F.size(F.filter("edges", lambda e: e <= F.col(value))))
+    binned = placed.groupBy(*groups, "bin").agg(F.sum("b").alias("b"), F.sum("c").alias("c"))
+    every = Window.partitionBy(*groups)  # a row for each bin
+    # Bins without a row in either sample have equal shares and no term.
+    old, new = (C.ratio(F.col(c), F.sum(c).over(every)) + EPS for c in ("b", "c"))
+    psi = binned.withColumn("term", (new - old) * F.ln(new / old)).groupBy(*keys).agg(F.sum("term").alias("psi"))
+    return compared.join(psi, same).drop("edges", *(f"_{g}" for g in groups))
+
+
 def population_stability(rows: DataFrame, groups: Sequence[str], value: str, baseline: str, bins: int = 10) -> DataFrame:
     """groups, psi over ``bins`` baseline quantiles, ends open, EPS added to each share.
 
     Bins are closed on the left. Equal edges leave bins without a value; both shares
     are then EPS, which adds nothing.
     """
-    edges = quantiles(rows.where(baseline), groups, value, [i / bins for i in range(1, bins)], "edges")
-    keys = [F.col(g).alias(f"_{g}") for g in groups]
-    named = edges.select(*keys, "edges")
-    same = [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in groups] or [F.lit(True)]
-    placed = rows.join(named, same, "left").withColumn("bin", F.size(F.filter("edges", lambda e: e <= F.col(value))))
-    counted = placed.groupBy(*groups, "bin").agg(F.count_if(F.col(baseline)).alias("b"), F.count_if(~F.col(baseline)).alias("c"))
-    every = Window.partitionBy(*groups)
-    # Bins without a row in either sample have equal shares and no term.
-    old, new = (C.ratio(F.col(c), F.sum(c).over(every)) + EPS for c in ("b", "c"))
-    return counted.withColumn("term", (new - old) * F.ln(new / old)).groupBy(*groups).agg(F.sum("term").alias("psi"))
+    counted = _counted(rows, groups, value, baseline)
+    return _stable(counted, _compared(counted, groups, value, bins), groups, value).select(*groups, "psi")
 
 
 def drift(rows: DataFrame, groups: Sequence[str], value: str, baseline: str, least: int = 100, alert_p: float = 0.01, alert_psi: float = 0.2, warn_psi: float = 0.1) -> DataFrame:
     """KS and PSI of each group with alert and warning; groups whose new sample has
-    fewer than ``least`` rows, and a null group, never alert."""
-    both = ecdf_distance(rows, groups, value, baseline).join(population_stability(rows, groups, value, baseline), list(groups))
+    fewer than ``least`` rows never alert."""
+    counted = _counted(rows, groups, value, baseline)
+    both = _stable(counted, _compared(counted, groups, value, 10), groups, value)
     enough = F.col("n_now") >= least
     p = ks_p_value(F.col("ks"), F.col("n_base"), F.col("n_now"))
     alert = enough & (p < alert_p) & (F.col("psi") >= alert_psi)
