@@ -9,12 +9,14 @@ bounds it by 65,536 nodes for a radius of 2.
 
 Inside a task, fingerprints are stored as vertical bit planes. The distances of all
 lanes to the lane some places on grow together, plane by plane, in carry-save counters
-with a plane that stays set above the radius; the rest of the planes is skipped once
-that plane is full. Buckets give a spanning forest of their links, not all pairs.
+with a plane that stays set above the radius; a block of lanes is abandoned once that
+plane is full. Buckets give a spanning forest of their links, not all pairs.
 
 Nulls and ties: a null text and a text without words have fingerprint zero, linked
 like any other; the component of documents that all lack a doc_id is null; repeated
-rows are one node and a row each. An empty table gives no rows.
+rows are one node and a row each. An empty table gives no rows. The words and hashes of
+a text are held together while it is worked on, about twenty times its bytes. Other
+columns may have any name.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ from lakeward.llm.words import rows_of
 
 BITS = 64
 LARGE = 1024
+#: Lanes of a block, which is abandoned as soon as all are beyond the radius.
+BLOCK = 4096
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -100,9 +104,16 @@ def bit_planes(fps: np.ndarray) -> np.ndarray:
 def close_lanes(planes: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int, check: int = 8) -> np.ndarray:
     """For each lane, whether fingerprints ``a`` and ``b`` (places in ``planes``)
     differ in at most ``radius`` bits."""
-    n = len(a)
-    counters = [np.zeros(-(-n // 64), np.uint64) for _ in range(max(1, radius.bit_length()))]
-    beyond = ~_slice(np.ones(n, bool))
+    out = np.zeros(len(a), bool)
+    for at in range(0, len(a), BLOCK):
+        out[at : at + BLOCK] = _close_block(planes, a[at : at + BLOCK], b[at : at + BLOCK], radius, check)
+    return out
+
+
+def _close_block(planes: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int, check: int) -> np.ndarray:
+    """``close_lanes`` of one block, which is left when all of its lanes are beyond."""
+    counters = [np.zeros(-(-len(a) // 64), np.uint64) for _ in range(max(1, radius.bit_length()))]
+    beyond = ~_slice(np.ones(len(a), bool))
     for i in range(BITS):
         carry = _slice(planes[i][a] ^ planes[i][b])
         for j, c in enumerate(counters):
@@ -120,7 +131,7 @@ def close_lanes(planes: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int, c
         beyond |= over
         if i % check == check - 1 and bool((beyond == np.uint64(0xFFFFFFFFFFFFFFFF)).all()):
             break
-    return ~np.unpackbits(beyond.view(np.uint8), bitorder="little")[:n].astype(bool)
+    return ~np.unpackbits(beyond.view(np.uint8), bitorder="little")[: len(a)].astype(bool)
 
 
 def bucket_links(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
