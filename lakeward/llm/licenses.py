@@ -13,7 +13,9 @@ Three base phrases are found by whole words, wherever their words stand in a row
 are never suppressed.
 
 Nulls and ties: a null or empty text has no words, no label and score 0; detections of
-equal priority are ordered by start, the longer first; rows are judged one by one.
+equal priority are ordered by start, the longer first; rows are judged one by one,
+repeated or not. An empty table gives no rows. A very long text is searched as one, and
+a few copies of it are held. Other columns may have any name.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeward.llm.words import plain_words, rows_of
+from lakeward.llm.words import folded, rows_of
 
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
@@ -220,13 +222,13 @@ def detections(text: bytes | None) -> list[tuple[int, int, Rule]]:
     return suppressed(_original(low, found)) if found else []
 
 
+_SPACES = re.compile(b" {2,}")
 _PHRASES = [(f" {phrase} ".encode(), label) for phrase, label in BASE.items()]
 
 
 def base_places(text: bytes | None) -> tuple[int, list[tuple[int, str]]]:
     """The number of words, and the first word and label of each base phrase."""
-    words = plain_words(text)
-    joined = b" %b " % b" ".join(words)
+    joined = b" %b " % _SPACES.sub(b" ", folded(text)).strip(b" ")
     places = []
     for phrase, label in _PHRASES:
         at = joined.find(phrase)
@@ -236,7 +238,7 @@ def base_places(text: bytes | None) -> tuple[int, list[tuple[int, str]]]:
             counted = at
             places.append((word, label))
             at = joined.find(phrase, at + 1)
-    return len(words), places
+    return (joined.count(b" ") - 1 if len(joined) > 2 else 0), places
 
 
 def scan(docs: DataFrame) -> DataFrame:
