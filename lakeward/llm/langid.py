@@ -11,8 +11,11 @@ Models are fitted on a sample of at most about ``SAMPLE`` documents a language,
 by a hash of doc_id; every document is scored over its whole text.
 
 Nulls and ties: null or letterless texts are ``und`` with score 0; rows with a null
-lang, text or doc_id teach nothing; equal cross-entropies go to the first language in
-code-point order. Without a document to learn from every text is ``und``.
+lang, text or doc_id teach nothing; rows that repeat a document count each; a language
+with rows in the calibration fold alone is learned from them; equal cross-entropies go
+to the first language in code-point order. Without a document to learn from, as in an
+empty table, every text is ``und``. The words of a text are held together while it is
+worked on, about ten times its bytes. Other columns may have any name.
 """
 
 from __future__ import annotations
@@ -217,6 +220,8 @@ def fitted(docs: DataFrame, order: int = ORDER, sample: int = SAMPLE) -> Models
     shares = [F.when((F.col("lang") == r["lang"]) & (calibrating == r["calibrating"]), min(1.0, sample / r["count"])) for r in sizes]
     draw = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)).cast("double") / float(1 << 30)
     drawn = usable.where(draw < F.coalesce(*shares)).select("lang", calibrating.alias("calibrating"), "text")
+    lone = sorted({r["lang"] for r in sizes} - {r["lang"] for r in sizes if not r["calibrating"]})  # of one fold: count that one
+    counted = ~F.col("calibrating") | F.col("lang").isin(lone) if lone else ~F.col("calibrating")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,7 +232,7 @@ def fitted(docs: DataFrame, order: int = ORDER, sample: int = SAMPLE) -> Models
                 grams = counts_of(found, order)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], ["lang", "gram", "n"])
 
-    grams = drawn.where("not calibrating").select("lang", "text").mapInArrow(count, "lang string, gram string, n long")
+    grams = drawn.where(counted).select("lang", "text").mapInArrow(count, "lang string, gram string, n long")
     counts: dict[str, dict[str, int]] = defaultdict(dict)
     for r in grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")).collect():
         counts[r["lang"]][r["gram"]] = r["n"]

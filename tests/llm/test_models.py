@@ -77,6 +77,60 @@ def test_smoothing_sums_to_one():
         assert abs(models.word_costs(["b", word, "abc"])[1, 0] - expected) < 1e-9
 
 
+def plain_kneser_ney(texts, order):
+    """Probability of a character after its context, straight from the definition."""
+    counts = Counter()
+    for text in texts:
+        for word in langid.words_of(text):
+            marked = "\x02" * (order - 1) + word + "\x03"
+            counts.update(marked[i - order + 1 : i + 1] for i in range(order - 1, len(marked)))
+    levels = {order: counts}
+    for k in range(order - 1, 0, -1):
+        levels[k] = Counter(g[1:] for g in levels[k + 1])  # in how many longer n-grams
+    discount = {}
+    for k, held in levels.items():
+        once, twice = (sum(v == n for v in held.values()) for n in (1, 2))
+        discount[k] = min(max(once / (once + 2 * twice) if once else 0.5, 0.1), 0.9)
+    context = {k: {} for k in levels}
+    for k, held in levels.items():
+        for g, n in held.items():
+            context[k].setdefault(g[:-1], []).append(n)
+
+    def p(gram):
+        if not gram:
+            return 1 / (len(levels[1]) + 1)
+        k = len(gram)
+        seen = context[k].get(gram[:-1])
+        if not seen:
+            return p(gram[1:])
+        return (max(levels[k][gram] - discount[k], 0) + discount[k] * len(seen) * p(gram[1:])) / sum(seen)
+
+    return p
+
+
+def test_predictions_are_those_of_a_plain_model(spark):
+    rows = spoken(120)
+    models = {}
+    for lang in SYLLABLES:
+        models[lang] = plain_kneser_ney([t for d, t, name, *_ in rows if name == lang and not held(d) and zlib.crc32(str(d).encode()) % 4 != 3], 4)
+    got = {r.doc_id: r for r in langid.identified(frame(spark, rows)).collect()}
+    for doc_id, text, *_ in rows:
+        words = langid.words_of(text)
+        cost = {}
+        for lang, p in models.items():
+            marked = ["\x02" * 3 + w + "\x03" for w in words]
+            cost[lang] = -sum(np.log(p(m[i - 3 : i + 1])) for m in marked for i in range(3, len(m)))
+        assert got[doc_id].lang_pred == min(sorted(cost), key=cost.get)
+
+
+def test_a_language_of_the_calibration_fold_alone_is_learned(spark):
+    only = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 == 3][:12]
+    rows = [r for r in spoken(120) if r[2] != "aa"]
+    rows = [r for r in rows if r[0] not in only] + [(i, spoken(60)[0][1], "aa", "s", 1) for i in only]
+    got = {r.doc_id: r.lang_pred for r in langid.identified(frame(spark, rows)).collect()}
+    assert {got[i] for i in only} == {"aa"}
+
+
 # ---- quality --------------------------------------------------------------------------
 
 
@@ -211,6 +265,42 @@ def test_versions_beat_families_and_clean_text_has_none():
     assert names("") == [] and licenses.detections(None) == []
 
 
+def test_labels_and_score_are_those_of_all_rules_without_a_gate(spark):
+    notices = [
+        "Licensed under the Apache License, Version 2.0; all rights reserved. CC BY 4.0 cc by", "/*\n * This is free software under the GNU General Public\n * License, version 3 or http://www.gnu.org/licenses/gpl-3.0\n */",
+        "# SPDX-License-Identifier: MIT\n# Copyright (c) 2019 A. Author", "released under  the BSD\n// 3-Clause License, without warranty of any kind", "Creative Commons Attribution-ShareAlike and creativecommons.org/licenses/by-sa/4.0",
+        "the public\tdomain, the MIT  License; the MIT License", "", None,
+    ]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(notices)] + [(i, t, *r) for i, t, *r in corpus()]
+    got = Counter((r.doc_id, r.labels, round(r.score, 12), tuple((s.start, s.end, s.label) for s in r.spans)) for r in licenses.scan(frame(spark, rows)).collect())
+    want = Counter()
+    for doc_id, text, *_ in rows:
+        raw = (text or "").lower().encode()
+        runs = list(licenses._APART.finditer(raw))
+        even, place = b"", []
+        at = 0
+        for m in [*runs, None]:  # each run becomes one blank that stands where the run starts
+            upto = m.start() if m else len(raw)
+            even += raw[at:upto]
+            place += range(at, upto)
+            if m:
+                even += b" "
+                place.append(m.start())
+                at = m.end()
+        found = []
+        for rule in licenses.RULES:
+            found += [(place[m.start()], place[m.end() - 1] + 1, rule) for m in rule.pattern.finditer(even)]
+        kept = []
+        for d in sorted(found, key=lambda d: (-d[2].priority, d[0], -d[1])):
+            if not any(k[0] <= d[0] and d[1] <= k[1] for k in kept):
+                kept.append(d)
+        base = plain_base(text)
+        doubt = np.prod([1 - r.confidence for r in {d[2] for d in kept}]) * (0.1 if base[1] else 1)
+        labels = {*filter(None, base[4].split(",")), *(d[2].label for d in kept)}
+        want[(doc_id, ",".join(sorted(labels)), round(float(1 - doubt), 12), tuple((a, b, r.label) for a, b, r in sorted(kept, key=lambda d: d[:2])))] += 1
+    assert got == want
+
+
 def test_containment_is_that_of_brute_force():
     rng = random.Random(1)
     for _ in range(200):
