@@ -7,16 +7,21 @@ subdivided. Exact byte totals of the ranges then place every record on the line
 all bytes, which is cut into shards of near equal bytes (law ``bytes``).
 
 A group of equal texts stays in one shard unless it is larger than
-``1 / OVERFULL`` of a shard's share; such a group is divided by document id first.
+``1 / OVERFULL`` of a shard's share; such a group is divided by document id first, which
+is the law's one exception: rows that repeat both text and doc_id stay together.
 The result does not depend on the sample, which only decides how the work is dealt.
 
 Nulls and ties: a null text has size 1 and a null crc32, and null texts are one
 group; a null doc_id is ordered first. Rows that agree in text and doc_id are
-interchangeable: each gets a slot of its own. An empty table gives no rows.
+interchangeable: each gets a slot of its own. An empty table gives no rows. A very long
+text is a group of its own size and may fill a shard. Columns that are not kept may have
+any name.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +30,8 @@ from lakeward.llm.shared import stored
 SHARDS = 16
 #: A group of equal texts above this part of a shard's share is divided.
 OVERFULL = 64
-RANGES = 256
+#: Ranges at least and at most, and the rows that ask for one more.
+RANGES, MOST_RANGES, RANGE_ROWS = 256, 4096, 1_000_000
 SAMPLE_PER_RANGE = 32
 ROUNDS = 3
 
@@ -45,9 +51,10 @@ def _boundaries(rows: DataFrame, total: int, ranges: int) -> list[str]:
     return sorted({r[0] for r in at.where(cut & (F.col("i") < F.col("n"))).select("unit").distinct().collect()})
 
 
-def range_of(key: Column, boundaries: list[str], step: int = 16) -> Column:
+def range_of(key: Column, boundaries: list[str], step: int | None = None) -> Column:
     """How many boundaries are below ``key``: first among every ``step``-th, then
     among the ``step`` from there on."""
+    step = step or max(16, math.isqrt(len(boundaries)))
 
     def below(cuts: Column) -> Column:
         return F.size(F.filter(cuts, lambda b: b < key))
@@ -85,7 +92,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, keep: tuple[str, ...] = ()) ->
         F.crc32(text.cast("binary")).alias("text_crc32"), F.coalesce(F.md5(text.cast("binary")), F.lit("")).alias("key"), *keep,
     )
     slim = stored(slim, "shard-rows")
-    total = slim.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    total, n = slim.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     limit = max(1, total // (shards * OVERFULL))
     # Groups above the limit are fewer than shards * OVERFULL + 1: a bounded broadcast.
     large = slim.groupBy("key").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > limit)
@@ -94,7 +101,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, keep: tuple[str, ...] = ()) ->
     rows = slim.join(F.broadcast(large), "key", "left")
     piece = F.coalesce(F.pmod(digits, F.col("pieces")), F.lit(0))
     rows = rows.withColumn("unit", F.concat("key", F.lpad(piece.cast("string"), 10, "0"))).drop("pieces", "key")
-    cuts = sampled_splitters(rows, total)
+    cuts = sampled_splitters(rows, total, min(MOST_RANGES, max(RANGES, n // RANGE_ROWS)))
     rows = rows.withColumn("range", range_of(F.col("unit"), cuts))
 
     sums = rows.groupBy("range").agg(F.sum("size").alias("bytes"))

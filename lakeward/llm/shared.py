@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,13 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset, as in tests, a temporary folder."""
+    """``spark.checkpoint.dir``. Where it is unset, as in tests, a temporary folder, in
+    local mode only: on a cluster executors would each write to a disk of their own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         context = spark.sparkContext
         held = context._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get().rstrip("/")
+        if not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("spark.checkpoint.dir names no folder that the executors share")
         folder = tempfile.mkdtemp(prefix="lakeward-")
         context.setCheckpointDir(folder)
         return context._jsc.sc().getCheckpointDir().get().rstrip("/")

@@ -3,10 +3,12 @@
 The blocks of 25 words that are indexed are chosen by content (the least fingerprint
 among a window's rolling blocks) and not by counting to 25: every rolling block is
 fingerprinted, but only the chosen ones leave the task, where probing an index of
-fixed blocks would send one row for each word of the corpus. Hits are extended by
-their context to whole windows of 50 words, and runs of those are the maximal repeats.
+fixed blocks would send one row for each word of the corpus. The windows
+of 50 words around equal blocks are then counted by two fingerprints of 64 bits each,
+and runs of repeated windows are the maximal repeats; words are not compared.
 
-Nulls and ties: a null text has no words; a document without a doc_id comes after all
+Nulls and ties: a null text has no words; an empty table gives no rows; a very long text
+is worked on in pieces; columns other than doc_id and text may have any name; a document without a doc_id comes after all
 others and is no earlier document for any; documents of the same doc_id do not cover
 each other. A document of fewer words than the window keeps them all. Words of other
 documents count as they are, case and punctuation included.

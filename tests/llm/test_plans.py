@@ -111,6 +111,18 @@ def test_small_groups_of_equal_texts_stay_together(spark):
     assert all(len(s) == 1 for s in where.values())
 
 
+def test_a_group_is_divided_beyond_the_limit_and_not_before(spark):
+    def shards(copies):
+        docs = [(i, prose(i, 20), "en", "s", 1) for i in range(3000)] + [(10_000 + i, "ten bytes.", "en", "s", 1) for i in range(copies)]
+        total = sum(len(t) + 1 for _, t, *_ in docs)
+        rows = sharding.shard(frame(spark, docs)).where("doc_id >= 10000").collect()
+        return 11 * copies <= total // (16 * 64), {r.shard for r in rows}
+
+    within, one = shards(10)
+    beyond, many = shards(4000)
+    assert within and len(one) == 1 and not beyond and len(many) > 1
+
+
 def test_range_of_counts_boundaries(spark):
     cuts = [f"{i:03d}" for i in range(3, 300, 7)]
     rows = spark.range(310).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("k"))
@@ -119,6 +131,9 @@ def test_range_of_counts_boundaries(spark):
     assert places == sorted(places)
     for a, b in zip(got, got[1:]):
         assert (a.r == b.r) == (sum(c < a.k for c in cuts) == sum(c < b.k for c in cuts))
+    for step in (2, 5, 40):
+        small = rows.select("k", sharding.range_of(F.col("k"), cuts, step).alias("r")).orderBy("k").collect()
+        assert [r.r for r in small] == places
 
 
 # ---- top-k ----------------------------------------------------------------------------
