@@ -90,6 +90,50 @@ SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
 """
 
+OP12 = rf"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, {_BLANK}) AS w FROM t),
+lo AS (SELECT text, min(doc_id) AS lo FROM t GROUP BY text),
+l AS (SELECT doc_id, max(coalesce(quality = 1, false)::INT) AS good, max(coalesce(toxic = 1, false)::INT) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+             ['A', 'B', 'C', 'D', 'E'] AS names,
+             [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w), 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text), regexp_matches(text, '[#$%&*|]'), coalesce(doc_id > lo, false)] AS fails
+      FROM w JOIN lo USING (text) LEFT JOIN l USING (doc_id)),
+k AS (SELECT part, list_filter(names, lambda x, i: fails[i]) AS failed, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY ALL),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS v),
+o AS (SELECT [a.v, b.v, c.v, d.v, e.v] AS letters FROM x a JOIN x b ON b.v <> a.v JOIN x c ON c.v NOT IN (a.v, b.v) JOIN x d ON d.v NOT IN (a.v, b.v, c.v) JOIN x e ON e.v NOT IN (a.v, b.v, c.v, d.v)),
+s AS (SELECT letters, unnest(range(1, 6)) AS step FROM o),
+r AS (SELECT part, array_to_string(letters, '') AS filter_order, step::INT AS step, letters[step] AS letter, n, good, toxic, len(failed) AS m,
+             list_contains(failed, letters[step]) AS own, list_has_any(failed, letters[1 : step - 1]) AS gone FROM k, s),
+g AS (SELECT part, filter_order, step, letter, sum(CASE WHEN NOT own AND NOT gone THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN own AND NOT gone THEN n ELSE 0 END)::BIGINT AS removed,
+             sum(CASE WHEN own AND gone THEN n ELSE 0 END)::BIGINT AS redundant, sum(CASE WHEN own AND m = 1 THEN n ELSE 0 END)::BIGINT AS unique_fails,
+             sum(CASE WHEN own AND NOT gone THEN good ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN own AND NOT gone THEN toxic ELSE 0 END)::BIGINT AS toxic_lost FROM r GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM g
+"""
+
+OP13 = rf"""
+WITH poly AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS t),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, {_BLANK}), []) AS w, len(coalesce(regexp_extract_all(text, {_BLANK}), []))::BIGINT AS n,
+             xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda a, b: xor(a >> 8, t[xor(a & 255, b) + 1]))) AS h
+      FROM documents, poly),
+e AS (SELECT r, doc_id, w, n, h % 10 = 0 AND n > 0 AS edited, (h // 10) % greatest(n, 1) AS a, 1 + (n - (h // 10) % greatest(n, 1)) // (3 + (h // 10) % 8) AS p FROM d),
+t AS (SELECT r, doc_id, n, CASE WHEN edited THEN list_transform(range(n), lambda i: w[(CASE WHEN i >= a THEN a + (i - a) % p ELSE i END) + 1]) ELSE w END AS w FROM e),
+o AS (SELECT r, n, word, i FROM (SELECT r, n, unnest(w) AS word, unnest(range(n)) AS i FROM t)),
+z AS (SELECT r, n, i, list(i) OVER (PARTITION BY r, word ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later, count(*) OVER (PARTITION BY r, word) AS times FROM o),
+m AS (SELECT r, i, j - i AS q FROM (SELECT r, n, i, unnest(later) AS j FROM z WHERE times > 3) WHERE 4 * (j - i) <= n),
+g AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM m),
+c AS (SELECT r, q, min(i) AS start, count(*) + q AS length FROM g GROUP BY r, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+k AS (SELECT r, start, length, min(q) AS period FROM c GROUP BY r, start, length),
+x AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM k),
+v AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS kept FROM (SELECT r, word, i FROM o) ANTI JOIN x USING (r, i) GROUP BY r),
+b AS (SELECT r, start, length, period FROM k QUALIFY row_number() OVER (PARTITION BY r ORDER BY length::DOUBLE / period DESC, start, period) = 1),
+s AS (SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM k GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start::BIGINT AS start, length::BIGINT AS length, period::BIGINT AS period, (1000 * length // period)::BIGINT AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM t LEFT JOIN s USING (r) LEFT JOIN b USING (r) LEFT JOIN v USING (r)
+"""
+
 ORACLES = {
     "op1_decontaminate": OP1, "op2_suffix_dedup": OP2, "op3_mix_sources": OP3, "op6_shard": OP6, "op8_substring_dedup": OP8, "op9_top_k": OP9,
+    "op12_filter_audit": OP12, "op13_periodic_runs": OP13,
 }

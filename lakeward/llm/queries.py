@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeward.llm import decontaminate, langid, licenses, mixing, quality, sharding, simhash, substrings, suffix_dedup, topk
+from lakeward.llm import decontaminate, filter_audit, langid, licenses, mixing, periodic, quality, sharding, simhash, substrings, suffix_dedup, topk, toxicity
 from lakeward.llm.oracles import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,10 +57,22 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified(table(spark, sf_dir, "documents"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audited(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.scanned(table(spark, sf_dir, "documents"), periodic.planted, texts=False)
+
+
 def queries() -> dict[str, Query]:
     numbered = (
         op1_decontaminate, op2_suffix_dedup, op3_mix_sources, op4_simhash, op5_license_scan, op6_shard, op7_quality,
-        op8_substring_dedup, op9_top_k, op10_language,
+        op8_substring_dedup, op9_top_k, op10_language, op11_toxicity, op12_filter_audit, op13_periodic_runs,
     )
     return {f.__name__: f for f in numbered}
 
