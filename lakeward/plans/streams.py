@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from lakeward.plans.monitoring import _KS
 from lakeward.registry import query, table
 from lakeward.sources import files
+from lakeward.streaming import drift as D
 from lakeward.streaming import events as E
+from lakeward.streaming import labels as L
 
 
 def folder(spark: SparkSession) -> str:
@@ -68,6 +70,55 @@ def t02_batch_drift(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{path}/out").select("event_type", F.round("ks", 9).alias("ks"), F.round("psi", 6).alias("psi"), "alert", "warning")
 
 
+@query("""
+WITH m AS (SELECT max(ts) - INTERVAL 2 DAYS AS mark FROM events WHERE day(ts) > 10), b AS (SELECT event_type, value FROM events WHERE day(ts) <= 10),
+n AS (SELECT time_bucket(INTERVAL 5 DAYS, ts, TIMESTAMP '1970-01-01') AS start, event_type, value FROM events WHERE day(ts) > 10),
+w AS (SELECT * FROM n, m WHERE start + INTERVAL 5 DAYS <= mark), k AS (SELECT DISTINCT start, event_type FROM w),
+e AS (SELECT start, event_type, value, false AS base FROM w UNION ALL SELECT start, event_type, value, true FROM k JOIN b USING (event_type)),
+c AS (SELECT start, event_type, value, count(*) FILTER (base) AS b, count(*) FILTER (NOT base) AS n FROM e GROUP BY 1, 2, 3),
+g AS (SELECT start, event_type, b, n, abs(sum(b) OVER w / sum(b) OVER a - sum(n) OVER w / sum(n) OVER a) AS gap FROM c WINDOW a AS (PARTITION BY start, event_type), w AS (PARTITION BY start, event_type ORDER BY value ROWS UNBOUNDED PRECEDING)),
+ks AS (SELECT start, event_type, sum(b)::BIGINT AS n_base, sum(n)::BIGINT AS n_now, max(gap) AS ks FROM g GROUP BY 1, 2),
+q AS (SELECT event_type, quantile_cont(value, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS edges FROM b GROUP BY 1),
+h AS (SELECT start, e.event_type, len(list_filter(edges, lambda x: x <= value)) AS bin, count(*) FILTER (base) AS b, count(*) FILTER (NOT base) AS n FROM e JOIN q USING (event_type) GROUP BY ALL),
+s AS (SELECT start, event_type, b / sum(b) OVER a + 1e-6 AS o, n / sum(n) OVER a + 1e-6 AS c FROM h WINDOW a AS (PARTITION BY start, event_type)), psi AS (SELECT start, event_type, sum((c - o) * ln(c / o)) AS psi FROM s GROUP BY 1, 2),
+x AS (SELECT *, ks * sqrt(n_base::DOUBLE * n_now / (n_base + n_now)) AS x FROM ks JOIN psi USING (start, event_type)),
+p AS (SELECT *, CASE WHEN x < 0.2 THEN 1.0 ELSE greatest(0, least(1, list_sum(list_transform(range(1, 101), lambda j: (CASE WHEN j % 2 = 1 THEN 2.0 ELSE -2.0 END) * exp(-2.0 * j * j * x * x))))) END AS p FROM x)
+SELECT strftime(start, '%Y-%m-%d') AS day, event_type, n_base, n_now, round(ks, 9) AS ks, round(psi, 6) AS psi, n_now >= 100 AND p < 0.01 AND psi >= 0.2 AS alert, n_now >= 100 AND NOT (p < 0.01 AND psi >= 0.2) AND psi >= 0.1 AS warning FROM p
+""")
+def t02_window_drift(spark: SparkSession, sf: str) -> DataFrame:
+    """Five-day windows against the first ten days, scored once the watermark has closed
+    them; state is a sketch for each window and type (T02, D02)."""
+    path = folder(spark)
+    D.summary(table(spark, sf, "events").where(F.day("ts") <= 10), "event_type", "value").write.parquet(f"{path}/baseline")
+    held = D.windows(_stream(spark, sf, "2 days").where(F.day("ts") > 10), "ts", "event_type", "value", "5 days")
+    out = _finished(D.scored(held, spark.read.parquet(f"{path}/baseline"), "event_type"), path)
+    return out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n_base", "n_now", F.round("ks", 9).alias("ks"), F.round("psi", 6).alias("psi"), "alert", "warning")
+
+
+@query("""
+WITH m AS (SELECT least((SELECT max(o_orderdate) FROM orders), (SELECT max(l_shipdate) FROM lineitem)) - INTERVAL 30 DAYS AS mark),
+j AS (SELECT o_orderkey, o_orderdate, o_orderpriority, l_shipdate, l_returnflag FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey AND l_shipdate >= o_orderdate AND l_shipdate <= o_orderdate + INTERVAL 365 DAYS
+      QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY l_shipdate, l_linenumber, l_returnflag) = 1),
+r AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, (l_returnflag = 'R') = (o_orderpriority < '3') AS verdict FROM j, m WHERE l_returnflag IS NOT NULL OR o_orderdate + INTERVAL 365 DAYS < mark)
+SELECT month, count(*) AS n, count(verdict) AS labelled, count(*) - count(verdict) AS unlabelled, round(avg(verdict::INT), 9) AS accuracy, count(verdict) >= 100 AS enough FROM r GROUP BY 1
+""")
+def a31_late_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as predictions, returns of their lines within a year as labels that arrive
+    later, joined as streams; months by what has come (A31, D17, J20)."""
+
+    def stream(name: str, time: str) -> DataFrame:
+        rows = spark.readStream.schema(table(spark, sf, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+        return rows.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, "30 days")
+
+    orders = stream("orders", "o_orderdate").select("o_orderkey", "o_orderdate", "o_orderpriority")
+    lines = stream("lineitem", "l_shipdate").select(F.col("l_orderkey").alias("o_orderkey"), "l_shipdate", "l_linenumber", "l_returnflag")
+    joined = _finished(L.awaited(orders, lines, "o_orderkey", "o_orderdate", "l_shipdate", "365 days"), folder(spark))
+    rows = L.settled(joined, "o_orderkey", "o_orderdate", "l_shipdate", "l_returnflag", "l_linenumber")
+    right = (F.col("l_returnflag") == "R") == (F.col("o_orderpriority") < "3")
+    rows = rows.select(F.date_format("o_orderdate", "yyyy-MM").alias("month"), right.alias("right"))
+    return L.delayed_accuracy(rows, "month", "right").withColumn("accuracy", F.round("accuracy", 9))
+
+
 @query("""
 WITH r AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
 t AS (WITH RECURSIVE s AS (SELECT user_id, i, event_id, ts AS a, NULL::TIMESTAMP AS b, true AS passed FROM r WHERE i = 1
