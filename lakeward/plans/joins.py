@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakeward.functions import columns as C
+from lakeward.operators import asof, containment
 from lakeward.operators import relational as R
 from lakeward.registry import query, table
 
@@ -90,7 +91,7 @@ def j08_valid_price(spark: SparkSession, sf: str) -> DataFrame:
     yearly = lines.groupBy("l_partkey", F.date_trunc("year", F.col("l_shipdate").cast("timestamp")).cast("timestamp_ntz").alias("valid_from")).agg(F.round(F.sum("l_extendedprice") / F.sum("l_quantity"), 6).alias("price"))
     prices = yearly.withColumn("valid_to", F.lead("valid_from").over(Window.partitionBy("l_partkey").orderBy("valid_from")))
     usage = lines.where("l_linenumber = 1").select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate")
-    return R.valid_at(usage, prices, ["l_partkey"], "l_shipdate", "valid_from", "valid_to").select("l_orderkey", "l_linenumber", "price", F.col("price").isNotNull().alias("priced"))
+    return asof.valid_at(usage, prices, ["l_partkey"], "l_shipdate", "valid_from", "valid_to").select("l_orderkey", "l_linenumber", "price", F.col("price").isNotNull().alias("priced"))
 
 
 @query(f"""
@@ -153,11 +154,25 @@ WITH n AS (SELECT n_regionkey, list(n_nationkey) AS k, count(*) AS n FROM nation
 SELECT a.n_regionkey AS inner_scope, b.n_regionkey AS outer_scope, b.n - a.n AS difference FROM n a JOIN r b ON len(list_filter(a.k, lambda x: NOT list_contains(b.k, x))) = 0
 """)
 def j16_nested_scopes(spark: SparkSession, sf: str) -> DataFrame:
-    """Scopes whose keys lie inside another scope's keys; both sides are a few rows."""
+    """Scopes whose keys lie inside another scope's keys."""
     nation = table(spark, sf, "nation")
-    scope = lambda df, name: df.groupBy(F.col("n_regionkey").alias(name)).agg(F.collect_list("n_nationkey").alias(f"{name}_keys"), F.count("*").alias(f"{name}_n"))
-    inside = scope(nation.where("n_nationkey % 2 = 0"), "inner_scope").join(scope(nation, "outer_scope"), F.size(F.array_except("inner_scope_keys", "outer_scope_keys")) == 0)
-    return inside.select("inner_scope", "outer_scope", (F.col("outer_scope_n") - F.col("inner_scope_n")).alias("difference"))
+    inner = nation.where("n_nationkey % 2 = 0").select(F.col("n_regionkey").alias("inner_scope"), "n_nationkey")
+    outer = nation.select(F.col("n_regionkey").alias("outer_scope"), "n_nationkey")
+    return containment.contained(inner, outer, "inner_scope", "outer_scope", "n_nationkey")
+
+
+@query("""
+WITH i AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_partkey IS NOT NULL), o AS (SELECT DISTINCT o_custkey, l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+p AS (SELECT l_orderkey, o_custkey, count(*) AS shared FROM i JOIN o USING (l_partkey) GROUP BY 1, 2), n AS (SELECT l_orderkey, count(*) AS n FROM i GROUP BY 1), m AS (SELECT o_custkey, count(*) AS m FROM o GROUP BY 1)
+SELECT l_orderkey, o_custkey, m - n AS difference FROM p JOIN n USING (l_orderkey) JOIN m USING (o_custkey) WHERE shared = n AND n > 1
+""")
+def j16_part_scopes(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders of several parts and the customers whose parts hold all of theirs: a scope
+    for each order and customer, found by the order's rarest part (J16)."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey")
+    several = lines.distinct().groupBy("l_orderkey").agg(F.count("l_partkey").alias("n")).where("n > 1").select("l_orderkey")
+    bought = lines.join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_partkey")
+    return containment.contained(lines.join(several, "l_orderkey"), bought, "l_orderkey", "o_custkey", "l_partkey")
 
 
 @query("""

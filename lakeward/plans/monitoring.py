@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lakeward.functions import columns as C
 from lakeward.operators import monitoring as M
+from lakeward.operators import phrases
 from lakeward.operators import splitting as P
 from lakeward.operators import statistics as S
 from lakeward.operators import texts as X
@@ -457,7 +458,23 @@ _FIRST = " UNION ALL ".join(f"SELECT doc_id, {i} AS place, '{k}' AS label, strpo
 
 @query(f"WITH f AS ({_FIRST}), b AS (SELECT doc_id, label FROM f QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY pos, n DESC, place) = 1) SELECT d.doc_id, coalesce(label, 'not stated') AS label FROM documents d LEFT JOIN b USING (doc_id)")
 def x02_keywords(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", X.extracted(F.col("text"), PATTERNS).alias("label"))
+    known = {"licence": ["license", "licence"], "rights": ["rights reserved"], "the": ["the"], "und": ["und"]}
+    return phrases.extracted(table(spark, sf, "documents").select("doc_id", "text"), "text", known, whole=False).drop("text")
+
+
+@query(r"""
+WITH v AS (SELECT item_id, lower(array_to_string(string_split_regex(trim(text), '\s+')[1:4], ' ')) AS phrase FROM benchmark WHERE trim(text) <> ''),
+f AS (SELECT doc_id, item_id, strpos(lower(text), phrase) AS pos, length(phrase) AS n FROM documents, v WHERE strpos(lower(text), phrase) > 0),
+b AS (SELECT doc_id, item_id FROM f QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY pos, n DESC, item_id) = 1)
+SELECT d.doc_id, coalesce(item_id::VARCHAR, 'not stated') AS label FROM documents d LEFT JOIN b USING (doc_id)
+""")
+def x02_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
+    """The benchmark item whose first four words come first in a text: a vocabulary of
+    phrases taken from a table, in one pass over each text (X02)."""
+    words = F.split(F.trim("text"), r"\s+")
+    items = table(spark, sf, "benchmark").where(F.trim("text") != "").select("item_id", F.array_join(F.slice(words, 1, 4), " ").alias("phrase"))
+    known = phrases.vocabulary(items, "item_id", "phrase")
+    return phrases.extracted(table(spark, sf, "documents").select("doc_id", "text"), "text", known, whole=False).drop("text")
 
 
 @query("SELECT doc_id FROM documents WHERE trim(text) <> '' QUALIFY row_number() OVER (PARTITION BY sha256(trim(regexp_replace(text, '\\s+', ' ', 'g'))) ORDER BY (source = 'src0') DESC, doc_id) = 1")
