@@ -15,6 +15,7 @@ from lakeward.sources import files
 from lakeward.streaming import drift as D
 from lakeward.streaming import events as E
 from lakeward.streaming import labels as L
+from lakeward.streaming import limits
 
 
 def folder(spark: SparkSession) -> str:
@@ -128,13 +129,28 @@ SELECT user_id AS key, event_id, passed FROM t
 """)
 def t03_rate_limit(spark: SparkSession, sf: str) -> DataFrame:
     """At most two requests of a client in two days, as keyed stream state."""
-    setting = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
+    with limits.kept_in_rocksdb(spark):
         return _finished(E.rate_limited(_stream(spark, sf), "user_id", 2, 2 * 86_400), folder(spark))
-    finally:
-        spark.conf.set(setting, before)
+
+
+@query("""
+WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+c AS (SELECT user_id, event_id, us, i, [us] AS held, true AS ok FROM o WHERE i = 1
+  UNION ALL SELECT o.user_id, o.event_id, o.us, o.i, CASE WHEN len(list_filter(held, lambda t: t > o.us - 172800000000)) < 3 THEN list_append(list_filter(held, lambda t: t > o.us - 172800000000), o.us) ELSE list_filter(held, lambda t: t > o.us - 172800000000) END,
+  len(list_filter(held, lambda t: t > o.us - 172800000000)) < 3 FROM c JOIN o ON o.user_id = c.user_id AND o.i = c.i + 1),
+p AS MATERIALIZED (SELECT event_id, us, row_number() OVER (ORDER BY us, event_id) AS i FROM c WHERE ok),
+t AS (SELECT event_id, us, i, [us] AS held, true AS ok FROM p WHERE i = 1
+  UNION ALL SELECT p.event_id, p.us, p.i, CASE WHEN len(list_filter(held, lambda t: t > p.us - 172800000000)) < 150 THEN list_append(list_filter(held, lambda t: t > p.us - 172800000000), p.us) ELSE list_filter(held, lambda t: t > p.us - 172800000000) END,
+  len(list_filter(held, lambda t: t > p.us - 172800000000)) < 150 FROM t JOIN p ON p.i = t.i + 1),
+m AS (SELECT epoch_us(max(ts)) - 3600000000 AS mark FROM events)
+SELECT c.user_id AS client, c.event_id, CASE WHEN NOT c.ok THEN 'client' WHEN NOT t.ok THEN 'total' ELSE 'passed' END AS verdict FROM c LEFT JOIN t ON c.event_id = t.event_id, m WHERE c.us <= mark
+""")
+def b01_total_limit(spark: SparkSession, sf: str) -> DataFrame:
+    """At most three requests of a client and 150 of all in two days, judged in the order
+    of their times once the watermark has passed them (B01, T03)."""
+    with limits.kept_in_rocksdb(spark):
+        out = _finished(limits.limited(_stream(spark, sf, "1 hour"), "user_id", "event_id", "ts", 3, 150, 2 * 86_400), folder(spark))
+    return out.select("client", "event_id", "verdict")
 
 
 @query("""

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakeward.operators import statistics as S
-from lakeward.streaming import drift, labels
+from lakeward.streaming import drift, labels, limits
 
 EVENTS = "ts timestamp, kind string, value double"
 START = datetime.datetime(2024, 3, 1)
@@ -145,3 +145,47 @@ def test_accuracy_counts_what_has_come(spark):
     rows = spark.createDataFrame([("a", True), ("a", False), ("a", None), ("b", None)], "month string, right boolean")
     got = {r.month: tuple(r)[1:] for r in labels.delayed_accuracy(rows, "month", "right", 2).collect()}
     assert got == {"a": (3, 2, 1, 0.5, True), "b": (1, 0, 1, None, False)}
+
+
+# ---- limits ---------------------------------------------------------------------------
+
+REQUESTS = "client long, event_id long, ts timestamp"
+
+
+def plain_limits(rows, per_client, total, seconds):
+    out, mine, everyone = {}, {}, []
+    for client, event_id, ts in sorted(rows, key=lambda r: (r[2], r[1])):
+        recent = [t for t in mine.get(client, []) if (ts - t).total_seconds() < seconds]
+        everyone = [t for t in everyone if (ts - t).total_seconds() < seconds]
+        if len(recent) >= per_client:
+            out[event_id] = "client"
+        else:
+            recent.append(ts)
+            out[event_id] = "total" if len(everyone) >= total else "passed"
+            everyone += [ts] * (len(everyone) < total)
+        mine[client] = recent
+    return out
+
+
+def test_requests_are_judged_in_the_order_of_their_times(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [(rng.randrange(6) or None, i, START + datetime.timedelta(seconds=rng.randrange(3000))) for i in range(300)]
+    rows.sort(key=lambda r: r[2].timestamp() + rng.random() * 200)  # out of order, within the delay
+    batches = [rows[i : i + 100] for i in range(0, 300, 100)] + [[(99, 1000, START + datetime.timedelta(days=2))]]
+    with limits.kept_in_rocksdb(spark):
+        query, out = run(limits.limited(fed(spark, tmp_path, REQUESTS, batches, "ts", "10 minutes", "in"), "client", "event_id", "ts", 4, 11, 300), tmp_path)
+    got = {r.event_id: r.verdict for r in out.collect()}
+    assert got == plain_limits(rows, 4, 11, 300) and set(got.values()) == {"passed", "client", "total"}
+
+
+def test_state_holds_the_clients_of_one_window_and_delay(spark, tmp_path):
+    clients, batches = 1000, 6
+    rows = [[(b * clients + c, b * clients + c, START + datetime.timedelta(seconds=600 * b + c % 500)) for c in range(clients)] for b in range(batches)]
+    with limits.kept_in_rocksdb(spark):
+        query, out = run(limits.limited(fed(spark, tmp_path, REQUESTS, [*rows, [(0, -1, at(24 * 9))]], "ts", "1 minute", "in"), "client", "event_id", "ts", 2, 10**6, 60), tmp_path)
+    assert out.count() == clients * batches
+    each = [p["stateOperators"][0] for p in query.recentProgress]
+    sizes = [max(s["numRowsTotal"] for s in p["stateOperators"]) for p in query.recentProgress]
+    per_client = 4  # a waiting request or a time it passed, and its timer in two orders
+    assert each and max(sizes) <= 3 * clients * per_client  # not clients * batches of them
+    assert sizes[-1] <= 2 * per_client
