@@ -1,9 +1,10 @@
 """Running totals, ranks and exact quantiles over the values of a group, by ranges.
 
-A group is cut into ranges at approximate quantiles of its distinct values. Totals of
-the ranges give each its offset, and a window runs inside a range only, so a group that
-holds most of the rows is many tasks. The cuts decide how the work is dealt and nothing
-else: totals and quantiles are exact.
+The counted values are put in one order of group and value once, dealt over tasks by
+ranges, and written; a group that holds most of the values is many ranges. Totals of the
+ranges give each its offset, and a window runs inside a range only. The source is read
+once, whatever is then made of the totals. Where the ranges are cut decides how the work
+is dealt and nothing else: totals and quantiles are exact.
 """
 
 from __future__ import annotations
@@ -13,8 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges of a group, and how many of their cuts are looked at together.
-RANGES, STEP = 256, 16
+from lakeward.operators.tables import written
 
 
 def _joined(rows: DataFrame, more: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -23,27 +23,16 @@ def _joined(rows: DataFrame, more: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.join(more, same).drop(*(f"_{k}" for k in keys))
 
 
-def _placed(counted: DataFrame, keys: Sequence[str], value: str, ranges: int) -> DataFrame:
-    cuts = F.percentile_approx(value, F.array(*(F.lit(i / ranges) for i in range(1, ranges))), F.lit(10 * ranges))
-    edges = counted.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.array_distinct(cuts).alias("_cuts"))
-    every = F.transform(F.sequence(F.lit(STEP), F.greatest(F.size("_cuts"), F.lit(STEP)), F.lit(STEP)), lambda i: F.get("_cuts", i - 1))
-    below = lambda held: F.size(F.filter(held, lambda e: e <= F.col(value)))
-    start = F.coalesce(below(F.col("_every")), F.lit(0)) * STEP
-    at = start + F.coalesce(below(F.slice("_cuts", start + 1, STEP)), F.lit(0))
-    placed = _joined(counted, edges.withColumn("_every", every), keys)
-    return placed.withColumn("_range", F.when(F.size("_cuts") > 0, at).otherwise(0)).drop("_cuts", "_every")
-
-
-def running(counted: DataFrame, groups: Sequence[str], value: str, sums: Sequence[str], ranges: int = RANGES) -> DataFrame:
+def running(counted: DataFrame, groups: Sequence[str], value: str, sums: Sequence[str], ranges: int | None = None) -> DataFrame:
     """``counted`` with ``<s>_before`` and ``<s>_all`` for each of ``sums``: its total
     over the smaller values of the group, and over the whole group. A value stands once
-    in a group; null comes before all others."""
-    keys = [*groups] or ["_group"]
-    counted = counted if groups else counted.withColumn("_group", F.lit(0))
-    placed = _placed(counted, keys, value, ranges)
-    where = [*keys, "_range"]
+    in a group; null comes before all others. ``ranges`` is how many there are over all
+    groups; Spark's number of shuffle partitions, where it is None."""
+    dealt = counted.repartitionByRange(*([ranges] if ranges else []), *groups, value)
+    placed = written(dealt.withColumn("_range", F.spark_partition_id()))
+    where = [*groups, "_range"]
     totals = placed.groupBy(*(F.col(k).alias(f"_{k}") for k in where)).agg(*(F.sum(s).alias(f"_sum_{s}") for s in sums))
-    group = Window.partitionBy(*(f"_{k}" for k in keys))  # a row for each range
+    group = Window.partitionBy(*(f"_{k}" for k in groups))  # a row for each range
     ahead = group.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *(f"_{k}" for k in where), *(F.coalesce(F.sum(f"_sum_{s}").over(ahead), F.lit(0)).alias(f"_ahead_{s}") for s in sums),
@@ -53,7 +42,7 @@ def running(counted: DataFrame, groups: Sequence[str], value: str, sums: Sequenc
     out = _joined(placed, offsets, where)
     for s in sums:
         out = out.withColumn(f"{s}_before", F.coalesce(F.sum(s).over(inside), F.lit(0)) + F.col(f"_ahead_{s}"))
-    return out.drop("_range", *(f"_ahead_{s}" for s in sums), *(["_group"] if not groups else []))
+    return out.drop("_range", *(f"_ahead_{s}" for s in sums))
 
 
 def cuts(shares: Sequence[float], value: str, n: str) -> tuple[list[Column], Column]:
@@ -74,7 +63,7 @@ def cuts(shares: Sequence[float], value: str, n: str) -> tuple[list[Column], Col
     return held, F.array(*mixed)
 
 
-def quantiles(rows: DataFrame, groups: Sequence[str], value: str, shares: Sequence[float], name: str, ranges: int = RANGES) -> DataFrame:
+def quantiles(rows: DataFrame, groups: Sequence[str], value: str, shares: Sequence[float], name: str, ranges: int | None = None) -> DataFrame:
     """groups and ``name``: the exact quantiles of the non-null values at ``shares``, as
     an array."""
     counted = rows.where(F.col(value).isNotNull()).groupBy(*groups, F.col(value).alias("_value")).agg(F.count("*").alias("_n"))

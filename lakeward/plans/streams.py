@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakeward.operators.tables import folder
 from lakeward.plans.monitoring import _KS
 from lakeward.registry import query, table
 from lakeward.sources import files
@@ -18,16 +15,6 @@ from lakeward.streaming import labels as L
 from lakeward.streaming import limits
 
 
-def folder(spark: SparkSession) -> str:
-    """A fresh folder that driver and executors share: in ``spark.checkpoint.dir``, which
-    must be set on a cluster; in local mode a temporary folder will do."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise RuntimeError("spark.checkpoint.dir names no folder that the executors share")
-    root = root or tempfile.mkdtemp(prefix="lakeward-")
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def _stream(spark: SparkSession, sf: str, delay: str = "60 days") -> DataFrame:
     schema = table(spark, sf, "events").schema
     return E.event_stream(spark, sf, schema, delay, pathGlobFilter="events.parquet")
