@@ -23,18 +23,23 @@ def _joined(rows: DataFrame, more: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.join(more, same).drop(*(f"_{k}" for k in keys))
 
 
-def running(counted: DataFrame, groups: Sequence[str], value: str, sums: Sequence[str], ranges: int | None = None) -> DataFrame:
-    """``counted`` with ``<s>_before`` and ``<s>_all`` for each of ``sums``: its total
-    over the smaller values of the group, and over the whole group. A value stands once
-    in a group; null comes before all others. ``ranges`` is how many there are over all
-    groups; Spark's number of shuffle partitions, where it is None."""
+def ordered(counted: DataFrame, groups: Sequence[str], value: str, ranges: int | None = None) -> DataFrame:
+    """``counted``, of which a value stands once in a group, written in ranges of group and
+    value, with ``_range``. ``ranges`` is how many there are over all groups; Spark's
+    number of shuffle partitions, where it is None."""
     dealt = counted.repartitionByRange(*([ranges] if ranges else []), *groups, value)
-    placed = written(dealt.withColumn("_range", F.spark_partition_id()))
+    return written(dealt.withColumn("_range", F.spark_partition_id()))
+
+
+def totals(placed: DataFrame, groups: Sequence[str], value: str, sums: Sequence[str]) -> DataFrame:
+    """``placed`` (of ``ordered``) with ``<s>_before`` and ``<s>_all`` for each of ``sums``:
+    its total over the smaller values of the group, and over the whole group. Null comes
+    before all other values."""
     where = [*groups, "_range"]
-    totals = placed.groupBy(*(F.col(k).alias(f"_{k}") for k in where)).agg(*(F.sum(s).alias(f"_sum_{s}") for s in sums))
+    each = placed.groupBy(*(F.col(k).alias(f"_{k}") for k in where)).agg(*(F.sum(s).alias(f"_sum_{s}") for s in sums))
     group = Window.partitionBy(*(f"_{k}" for k in groups))  # a row for each range
     ahead = group.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
+    offsets = each.select(
         *(f"_{k}" for k in where), *(F.coalesce(F.sum(f"_sum_{s}").over(ahead), F.lit(0)).alias(f"_ahead_{s}") for s in sums),
         *(F.sum(f"_sum_{s}").over(group).alias(f"{s}_all") for s in sums),
     )
@@ -45,6 +50,11 @@ def running(counted: DataFrame, groups: Sequence[str], value: str, sums: Sequenc
     return out.drop("_range", *(f"_ahead_{s}" for s in sums))
 
 
+def running(counted: DataFrame, groups: Sequence[str], value: str, sums: Sequence[str], ranges: int | None = None) -> DataFrame:
+    """``totals`` over the values of ``counted``, which are put in order first."""
+    return totals(ordered(counted, groups, value, ranges), groups, value, sums)
+
+
 def cuts(shares: Sequence[float], value: str, n: str) -> tuple[list[Column], Column]:
     """Aggregates over ranked rows, and the exact quantiles of ``value``, each taken ``n``
     times, that they make. Between two values quantiles are interpolated."""
@@ -73,3 +83,11 @@ def quantiles(rows: DataFrame, groups: Sequence[str], value: str, shares: Sequen
 
 def quantile(rows: DataFrame, groups: Sequence[str], value: str, share: float, name: str) -> DataFrame:
     return quantiles(rows, groups, value, [share], name).withColumn(name, F.element_at(name, 1))
+
+
+def nearest_rank(counted: DataFrame, groups: Sequence[str], value: str, n: str, shares: Sequence[tuple[str, float]]) -> DataFrame:
+    """groups, a column for each of ``shares`` and ``n``: the least value at or below which
+    at least that share of the group's rows lies."""
+    ranked = running(counted, groups, value, [n])
+    at = lambda q: F.min(F.when(F.col(f"{n}_before") + F.col(n) >= F.ceil(F.col(f"{n}_all") * q), F.col(value)))
+    return ranked.groupBy(*groups).agg(*(at(q).alias(name) for name, q in shares), F.sum(n).alias(n))

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lakeward.operators.ranks import running
+
 
 def latest(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of each key in ``order``, which should end in a tie-breaker."""
@@ -63,6 +65,15 @@ def fingerprint(df: DataFrame, *columns: str) -> Column:
     return F.substring(F.sha2(joined, 256), 1, 16)
 
 
+def fingerprints(df: DataFrame, groups: Sequence[str], *columns: str, most: int = 1_000_000) -> DataFrame:
+    """groups and fingerprint, once no group is known to have more than ``most`` rows; for
+    larger ones ``gates.fingerprint`` sums over a group in any order."""
+    largest = df.groupBy(*groups).count().agg(F.max("count")).first()[0]
+    if largest and largest > most:
+        raise ValueError(f"a group of {largest} rows, of which a fingerprint holds {most} at most")
+    return df.groupBy(*groups).agg(fingerprint(df, *columns).alias("fingerprint"))
+
+
 def whole_groups(df: DataFrame, group: str, order: Column, cap: int) -> DataFrame:
     """Groups in ``order`` while their running row count stays at or below ``cap``; the
     first that would pass it ends the draw. A group has a row at least, so no more than
@@ -92,12 +103,20 @@ def islands(df: DataFrame, groups: Sequence[str], number: str) -> DataFrame:
 
 def chain_faults(log: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
     """Each entry of a hash-chained log (seq, prev, hash, body) with what is wrong:
-    a gap in seq, a broken link to the entry before, or an edited body."""
-    order = Window.partitionBy(*groups).orderBy("seq")
-    place = F.row_number().over(order) - 1
-    before = F.coalesce(F.lag("hash").over(order), F.lit(""))
+    a gap in seq, a broken link to the entry before, or an edited body.
+
+    Entries are numbered over ranges of seq and each is joined to the one before it, so a
+    long chain is many tasks; no hash needs another one to be checked.
+    """
+    keys = [f"_{g}" for g in groups]
+    one = log.withColumns({"_entry": F.struct("seq", "hash", "prev", "body"), "_c": F.lit(1)})
+    placed = running(one, groups, "_entry", ["_c"])
+    before = placed.select(*(F.col(g).alias(k) for g, k in zip(groups, keys, strict=True)), (F.col("_c_before") + 1).alias("_next"), F.col("hash").alias("_last"))
+    same = [F.col(g).eqNullSafe(F.col(k)) for g, k in zip(groups, keys, strict=True)]
+    linked = placed.join(before, [*same, F.col("_c_before") == F.col("_next")], "left")
     again = F.sha2(F.concat_ws("|", "seq", "prev", "body"), 256)
-    return log.withColumns({"gap": F.col("seq") != place, "broken": F.col("prev") != before, "edited": F.col("hash") != again})
+    faults = {"gap": F.col("seq") != F.col("_c_before"), "broken": F.col("prev") != F.coalesce("_last", F.lit("")), "edited": F.col("hash") != again}
+    return linked.withColumns(faults).select(*log.columns, *faults)
 
 
 def chained(df: DataFrame, groups: Sequence[str], order: Sequence[str], body: Column, depth: int | None = None) -> DataFrame:

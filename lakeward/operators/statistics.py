@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeward.functions import columns as C
-from lakeward.operators.ranks import cuts, quantile, quantiles, running
+from lakeward.operators.ranks import cuts, ordered, quantile, quantiles, running, totals
 
 EPS = 1e-6
 
@@ -25,12 +25,13 @@ def _counted(rows: DataFrame, groups: Sequence[str], value: str, baseline: str)
     return counts.withColumn("q", F.when(F.col(value).isNotNull(), F.col("b")).otherwise(0))
 
 
-def _ranked(rows: DataFrame, groups: Sequence[str], value: str, baseline: str) -> DataFrame:
-    return running(_counted(rows, groups, value, baseline), groups, value, ["b", "c", "q"])
+def _ordered(rows: DataFrame, groups: Sequence[str], value: str, baseline: str) -> DataFrame:
+    return ordered(_counted(rows, groups, value, baseline), groups, value)
 
 
-def _compared(ranked: DataFrame, groups: Sequence[str], value: str, bins: int) -> DataFrame:
-    """groups, n_base, n_now, ks, edges of ``ranked``."""
+def _compared(placed: DataFrame, groups: Sequence[str], value: str, bins: int) -> DataFrame:
+    """groups, n_base, n_now, ks, edges of ``placed``."""
+    ranked = totals(placed, groups, value, ["b", "c", "q"])
     upto = lambda c: C.ratio(F.col(f"{c}_before") + F.col(c), F.col(f"{c}_all"))
     held, edges = cuts([i / bins for i in range(1, bins)], value, "q")
     sums = ranked.groupBy(*groups).agg(F.sum("b").alias("n_base"), F.sum("c").alias("n_now"), F.max(F.abs(upto("b") - upto("c"))).alias("ks"), *held)
@@ -42,7 +43,7 @@ def ecdf_distance(rows: DataFrame, groups: Sequence[str], value: str, baseline:
 
     ``baseline`` is the boolean column that tells the two samples apart.
     """
-    return _compared(_ranked(rows, groups, value, baseline), groups, value, 1).drop("edges")
+    return _compared(_ordered(rows, groups, value, baseline), groups, value, 1).drop("edges")
 
 
 def ks_p_value(distance: Column, n: Column, m: Column, terms: int = 100) -> Column:
@@ -59,11 +60,11 @@ def ks_p_value(distance: Column, n: Column, m: Column, terms: int = 100) -> Colu
     return F.when(size < 0.2, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), tail)))
 
 
-def _stable(ranked: DataFrame, compared: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
+def _stable(placed: DataFrame, compared: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
     """``compared`` with psi over the bins between its edges."""
     keys = [F.col(g).alias(f"_{g}") for g in groups]
     same = [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in groups] or [F.lit(True)]
-    placed = ranked.join(compared.select(*keys, "edges"), same).withColumn("bin", F.size(F.filter("edges", lambda e: e <= F.col(value))))
+    placed = placed.join(compared.select(*keys, "edges"), same).withColumn("bin", F.size(F.filter("edges", lambda e: e <= F.col(value))))
     binned = placed.groupBy(*groups, "bin").agg(F.sum("b").alias("b"), F.sum("c").alias("c"))
     every = Window.partitionBy(*groups)  # a row for each bin
     # Bins without a row in either sample have equal shares and no term.
@@ -78,15 +79,15 @@ def population_stability(rows: DataFrame, groups: Sequence[str], value: str, bas
     Bins are closed on the left. Equal edges leave bins without a value; both shares
     are then EPS, which adds nothing.
     """
-    ranked = _ranked(rows, groups, value, baseline)
-    return _stable(ranked, _compared(ranked, groups, value, bins), groups, value).select(*groups, "psi")
+    placed = _ordered(rows, groups, value, baseline)
+    return _stable(placed, _compared(placed, groups, value, bins), groups, value).select(*groups, "psi")
 
 
 def drift(rows: DataFrame, groups: Sequence[str], value: str, baseline: str, least: int = 100, alert_p: float = 0.01, alert_psi: float = 0.2, warn_psi: float = 0.1) -> DataFrame:
     """KS and PSI of each group with alert and warning; groups whose new sample has
     fewer than ``least`` rows never alert."""
-    ranked = _ranked(rows, groups, value, baseline)
-    both = _stable(ranked, _compared(ranked, groups, value, 10), groups, value)
+    placed = _ordered(rows, groups, value, baseline)
+    both = _stable(placed, _compared(placed, groups, value, 10), groups, value)
     enough = F.col("n_now") >= least
     p = ks_p_value(F.col("ks"), F.col("n_base"), F.col("n_now"))
     alert = enough & (p < alert_p) & (F.col("psi") >= alert_psi)

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from lakeward.functions import columns as C
 from lakeward.operators import relational as R
-from lakeward.operators.ranks import quantile, quantiles
+from lakeward.operators.ranks import quantile, quantiles, running
 from lakeward.registry import query, table
 
 def by_day() -> Column:
@@ -218,10 +218,10 @@ SELECT doc_id, CASE WHEN row_number() OVER (PARTITION BY lang ORDER BY doc_id) <
 """)
 def w16_dev_split(spark: SparkSession, sf: str) -> DataFrame:
     """The first tenth of each stratum is for development."""
-    stratum = Window.partitionBy("lang")
-    share = F.greatest(F.lit(1.0), F.floor(F.count("*").over(stratum) * 0.1 + 0.5).cast("double"))
-    part = F.when(F.row_number().over(stratum.orderBy("doc_id")) <= share, "dev").otherwise("scoring")
-    return table(spark, sf, "documents").select("doc_id", "lang").select("doc_id", part.alias("part"))
+    one = table(spark, sf, "documents").select("doc_id", "lang").withColumn("c", F.lit(1))
+    share = F.greatest(F.lit(1.0), F.floor(F.col("c_all") * 0.1 + 0.5).cast("double"))
+    part = F.when(F.col("c_before") + 1 <= share, "dev").otherwise("scoring")
+    return running(one, ["lang"], "doc_id", ["c"]).select("doc_id", part.alias("part"))
 
 
 @query("SELECT event_id, (epoch_us(ts) - epoch_us(min(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))) // 1000000 AS seconds FROM events")
@@ -262,7 +262,7 @@ SELECT n_name, substr(sha256(array_to_string(list_sort(list(DISTINCT s_name || '
 """)
 def a24_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).withColumn("part", F.col("s_suppkey") % 3)
-    return rows.groupBy("n_name").agg(R.fingerprint(rows, "s_name", "part").alias("fingerprint"))
+    return R.fingerprints(rows, ["n_name"], "s_name", "part")
 
 
 @query("SELECT l_partkey, l_suppkey, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")

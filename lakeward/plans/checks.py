@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakeward.operators.ranks import nearest_rank
 from lakeward.registry import query, table
 
 
@@ -204,7 +205,4 @@ def b05_alias_moves(spark: SparkSession, sf: str) -> DataFrame:
 def a32_latency(spark: SparkSession, sf: str) -> DataFrame:
     """Latency percentiles by load, over counts of whole milliseconds."""
     counts = table(spark, sf, "events").groupBy((F.col("user_id") % 3).alias("level"), F.floor("value").alias("ms")).agg(F.count("*").alias("n"))
-    upto = Window.partitionBy("level").orderBy("ms").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("upto", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(Window.partitionBy("level")))
-    at = lambda q: F.min(F.when(F.col("upto") >= F.ceil(F.col("all") * q), F.col("ms")))
-    return ranked.groupBy("level").agg(at(0.5).alias("p50"), at(0.95).alias("p95"), F.sum("n").alias("n"))
+    return nearest_rank(counts, ["level"], "ms", "n", [("p50", 0.5), ("p95", 0.95)])

@@ -12,7 +12,7 @@ from lakeward.operators import splitting as P
 from lakeward.operators import statistics as S
 from lakeward.operators import texts as X
 from lakeward.operators import vectors as V
-from lakeward.operators.ranks import quantile, running
+from lakeward.operators.ranks import nearest_rank, quantile, running
 from lakeward.registry import query, table
 
 _EV = "e AS (SELECT event_type, user_id, event_id, value, day(ts) <= 10 AS base, (day(ts) - 1) // 3 AS period, ts FROM events)"
@@ -397,10 +397,9 @@ SELECT event_type, coverage, count(*) AS kept, round(avg(ok::INT), 9) AS accurac
 def w12_risk_coverage(spark: SparkSession, sf: str) -> DataFrame:
     """Accuracy of the rows kept at each coverage, the most doubtful left out first."""
     rows = table(spark, sf, "events").select("event_type", "value", "event_id", (F.col("user_id") % 3 == 0).alias("ok"))
-    places = running(rows.groupBy("event_type", "value").agg(F.count("*").alias("c")), ["event_type"], "value", ["c"])
-    within = F.row_number().over(Window.partitionBy("event_type", "value").orderBy("event_id"))
-    after = F.col("c_all") - F.col("c_before") - F.col("c")
-    ranked = rows.withColumn("p", within).join(places, ["event_type", "value"]).select("event_type", "ok", (F.col("p") + after).alias("p"), F.col("c_all").alias("n"))
+    # Rows in order of value, doubtful ones last, ties by event_id: a row is a value of its own, however many share its score.
+    one = rows.withColumn("place", F.struct(-F.col("value"), "event_id")).withColumn("c", F.lit(1))
+    ranked = running(one, ["event_type"], "place", ["c"]).select("event_type", "ok", (F.col("c_before") + 1).alias("p"), F.col("c_all").alias("n"))
     grid = ranked.withColumn("coverage", F.explode(F.array(F.lit(0.5), F.lit(0.75), F.lit(1.0))))
     kept = grid.where(F.col("p") > F.col("n") - F.bround(F.col("coverage") * F.col("n")))
     return kept.groupBy("event_type", "coverage").agg(F.count("*").alias("kept"), F.round(F.avg(F.col("ok").cast("int")), 9).alias("accuracy"))
@@ -548,7 +547,4 @@ def b01_rate_limit(spark: SparkSession, sf: str) -> DataFrame:
 def b02_nearest_rank(spark: SparkSession, sf: str) -> DataFrame:
     """Percentiles by nearest rank, over the counts of distinct values."""
     counted = table(spark, sf, "events").groupBy("event_type", "value").agg(F.count("*").alias("n"))
-    seen = F.sum("n").over(Window.partitionBy("event_type").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counted.withColumn("seen", seen).withColumn("all", F.sum("n").over(Window.partitionBy("event_type")))
-    at = lambda q: F.min(F.when(F.col("seen") >= F.ceil(F.col("all") * q), F.col("value")))
-    return ranked.groupBy("event_type").agg(at(0.5).alias("p50"), at(0.95).alias("p95"))
+    return nearest_rank(counted, ["event_type"], "value", "n", [("p50", 0.5), ("p95", 0.95)]).drop("n")

@@ -179,8 +179,7 @@ def s08_last_delivery(spark: SparkSession, sf: str) -> DataFrame:
     """JSON lines delivered in several files, the last file of an id wins."""
     path = folder(spark)
     rows = table(spark, sf, "events").select(F.col("user_id").alias("id"), F.col("event_type").alias("state"))
-    for state in [r[0] for r in rows.select("state").distinct().orderBy("state").collect()]:
-        rows.where(F.col("state") == state).distinct().write.json(f"{path}/{state}")
+    rows.distinct().withColumn("file", F.col("state")).write.partitionBy("file").json(path)
     read = files.json_lines(spark, f"{path}/*", "id long, state string", stream=False)
     return files.last_per_key(read, "id").select("id", "state")
 

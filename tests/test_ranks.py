@@ -5,8 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lakeward.operators import relational as R
 from lakeward.operators import statistics as S
-from lakeward.operators.ranks import quantiles, running
+from lakeward.operators.ranks import nearest_rank, quantiles, running
 
 
 def sample(seed, n=400):
@@ -43,3 +44,43 @@ def test_no_window_runs_over_a_whole_group(spark):
     for plan in (S.ecdf_distance(df, ["g"], "v", "b"), S.auroc(df, ["g"], "v", "b"), S.mid_ranks(df, ["g"], "v"), S.population_stability(df, ["g"], "v", "b")):
         text = plan._jdf.queryExecution().optimizedPlan().toString()
         assert " percentile(" not in text and "_range" in text
+
+
+def test_the_source_is_read_once(spark, tmp_path):
+    spark.createDataFrame(sample(4), "g string, v double, n int").withColumn("b", F.col("n") > 1).write.parquet(f"{tmp_path}/source")
+    df = spark.read.parquet(f"{tmp_path}/source")
+    read = []
+    for made in (S.drift(df, ["g"], "v", "b"), S.auroc(df, ["g"], "v", "b"), quantiles(df, ["g"], "v", [0.5], "q"), S.population_stability(df, ["g"], "v", "b")):
+        read.append(len({f for f in made.inputFiles() if "source" in f}))  # what is left to read is the ordered table
+    assert read == [0] * 4
+
+
+@pytest.mark.parametrize("ranges", [1, 7])
+def test_nearest_rank_is_a_value_of_the_group(spark, ranges):
+    rows = [r for r in sample(5) if r[1] is not None and r[2]]
+    df = spark.createDataFrame(rows, "g string, v double, n int").groupBy("g", "v").agg(F.sum("n").alias("n"))
+    for r in nearest_rank(df, ["g"], "v", "n", [("low", 0.5), ("high", 0.95)]).collect():
+        every = sorted(v for g, v, n in rows if g == r["g"] for _ in range(n))
+        assert r["n"] == len(every) and [r["low"], r["high"]] == [every[-(-len(every) * q // 100) - 1] for q in (50, 95)]
+
+
+def test_faults_of_a_long_chain_are_found_across_ranges(spark):
+    entries = spark.createDataFrame([(u, i, f"e{i}") for u in (None, "a", "b") for i in range(60)], "u string, i long, kind string")
+    log = R.chained(entries, ["u"], ["i"], F.col("kind")).collect()
+    broken = [r for r in log if (r.u, r.seq) not in {("a", 17), ("b", 0)}]
+    rows = [(r.u, r.seq, r.prev, "edited" if (r.u, r.seq) == (None, 30) else r.body, r.hash) for r in broken]
+    df = spark.createDataFrame([*rows, rows[-1]], "u string, seq int, prev string, body string, hash string")
+    got = R.chain_faults(df, ["u"]).collect()
+    assert len(got) == len(rows) + 1
+    assert {(r.u, r.seq) for r in got if r.edited} == {(None, 30)}
+    assert {(r.u, r.seq) for r in got if r.broken} >= {("a", 18), ("b", 1)} and not [r for r in got if r.broken and r.u is None]
+    assert {(r.u, r.seq) for r in got if r.gap} >= {("a", i) for i in range(18, 60)} | {("b", i) for i in range(1, 59)}
+    whole = R.chain_faults(spark.createDataFrame(log), ["u"])
+    assert whole.where("gap OR broken OR edited").count() == 0 and whole.count() == 180
+
+
+def test_a_group_too_large_for_a_fingerprint_is_refused(spark):
+    df = spark.createDataFrame([("a", i) for i in range(9)] + [("b", 1)], "g string, v int")
+    assert R.fingerprints(df, ["g"], "v").count() == 2 and R.fingerprints(df.limit(0), ["g"], "v").count() == 0
+    with pytest.raises(ValueError, match="9 rows"):
+        R.fingerprints(df, ["g"], "v", most=8)
