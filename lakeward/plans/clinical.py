@@ -69,6 +69,22 @@ def mapping(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(MAPPING, "field string, scope string, value string, concept_id long, note string")
 
 
+#: A mapping that grows with its tables: parts by type and supplier sites by nation.
+_DERIVED = """(SELECT 'part' AS field, CASE WHEN p_size % 3 = 0 THEN 'all' ELSE p_brand END AS scope, p_type AS value, CASE WHEN p_size % 7 = 0 THEN 0 ELSE p_partkey END AS concept_id, CASE WHEN p_size % 14 = 0 THEN 'none fits' ELSE '' END AS note FROM part
+UNION ALL SELECT 'site', CASE WHEN s_nationkey % 2 = 0 THEN 'all' ELSE s_nationkey::VARCHAR END, s_name, s_suppkey, '' FROM supplier)"""
+
+
+def derived_mapping(spark: SparkSession, sf: str) -> DataFrame:
+    size = F.col("p_size")
+    parts = table(spark, sf, "part").select(
+        F.lit("part").alias("field"), F.when(size % 3 == 0, "all").otherwise(F.col("p_brand")).alias("scope"), F.col("p_type").alias("value"),
+        F.when(size % 7 == 0, F.lit(0).cast("long")).otherwise(F.col("p_partkey")).alias("concept_id"), F.when(size % 14 == 0, "none fits").otherwise("").alias("note"),
+    )
+    nation = F.col("s_nationkey")
+    sites = table(spark, sf, "supplier").select(F.lit("site").alias("field"), F.when(nation % 2 == 0, "all").otherwise(nation.cast("string")).alias("scope"), F.col("s_name").alias("value"), F.col("s_suppkey").alias("concept_id"), F.lit("").alias("note"))
+    return parts.unionByName(sites)
+
+
 def built(spark: SparkSession, sf: str) -> cdm.Build:
     return cdm.build(records(spark, sf), mapping(spark), MAIN)
 
@@ -102,15 +118,17 @@ def o05_image_occurrence(spark: SparkSession, sf: str) -> DataFrame:
     return built(spark, sf).tables["image_occurrence"]
 
 
-@query("SELECT 'lakeward' AS source_name, 'v5.4' AS cdm_version, DATE '2000-01-01' AS anchor")
+@query("SELECT 'lakeward' AS source_name, 'v5.4' AS cdm_version, DATE '2000-01-01' AS anchor, min(o_orderdate)::DATE AS first_record, max(o_orderdate)::DATE AS last_record, count(*) AS records FROM orders")
 def o06_source(spark: SparkSession, sf: str) -> DataFrame:
-    return cdm.source_row(spark, "lakeward", "v5.4")
+    """The build's one row, with the span of the records it is made from."""
+    span = table(spark, sf, "orders").agg(F.to_date(F.min("o_orderdate")).alias("first_record"), F.to_date(F.max("o_orderdate")).alias("last_record"), F.count("*").alias("records"))
+    return span.join(cdm.source_row(spark, "lakeward", "v5.4"), F.lit(True))  # one row each
 
 
-@query(f"SELECT concept_id, min(field) AS domain, CAST(strptime('20000101', '%Y%m%d') AS DATE) AS valid_from FROM (VALUES {_VALUES}) AS t(field, scope, value, concept_id, note) WHERE concept_id <> 0 GROUP BY 1")
+@query(f"SELECT concept_id, min(field) AS domain, CAST(strptime('20000101', '%Y%m%d') AS DATE) AS valid_from FROM {_DERIVED} WHERE concept_id <> 0 GROUP BY 1")
 def o08_concept_extract(spark: SparkSession, sf: str) -> DataFrame:
     """The mapped concepts once each, with typed dates."""
-    used = mapping(spark).where("concept_id <> 0").groupBy("concept_id").agg(F.min("field").alias("domain"))
+    used = derived_mapping(spark, sf).where("concept_id <> 0").groupBy("concept_id").agg(F.min("field").alias("domain"))
     return used.withColumn("valid_from", F.to_date(F.lit("20000101"), "yyyyMMdd"))
 
 
@@ -149,12 +167,12 @@ def g17_build_gates(spark: SparkSession, sf: str) -> DataFrame:
     return cdm.concept_gates(built(spark, sf), mapping(spark), concepts)
 
 
-@query(f"""WITH m AS (SELECT * FROM (VALUES {_VALUES}) AS t(field, scope, value, concept_id, note))
+@query(f"""WITH m AS {_DERIVED}
 SELECT 'negative_concept' AS name, count(*) FILTER (concept_id < 0) AS violations, count(*) FILTER (concept_id < 0) = 0 AS passed FROM m UNION ALL SELECT 'blank_value', count(*) FILTER (trim(value) = ''), count(*) FILTER (trim(value) = '') = 0 FROM m
 UNION ALL SELECT 'zero_without_note', count(*) FILTER (concept_id = 0 AND note = ''), count(*) FILTER (concept_id = 0 AND note = '') = 0 FROM m
 UNION ALL SELECT 'duplicate_rows', count(*), count(*) = 0 FROM (SELECT 1 FROM m GROUP BY field, scope, value HAVING count(*) > 1)""")
 def g24_mapping_shape(spark: SparkSession, sf: str) -> DataFrame:
-    return cdm.mapping_shape_gates(mapping(spark))
+    return cdm.mapping_shape_gates(derived_mapping(spark, sf))
 
 
 @query("""

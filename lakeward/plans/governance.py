@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeward.operators import cdm, cohort
-from lakeward.plans.clinical import _VALUES, DEFINITION, mapping
-from lakeward.plans.streams import folder
+from lakeward.operators import cdm, cohort, containment
+from lakeward.plans.clinical import _DERIVED, derived_mapping
+from lakeward.operators.tables import folder
 from lakeward.registry import query, table
 from lakeward.sources import files
 
@@ -27,51 +25,40 @@ def c06_hidden_totals(spark: SparkSession, sf: str) -> DataFrame:
     return cohort.suppressed_breakdowns(cells, ["cohort"], "persons").select("cohort", "cell", "shown", "total_shown")
 
 
-#: A definition's changes, and whether the language allows the result.
-CHANGES: tuple[tuple[str, dict, bool], ...] = (
-    ("as it is", {}, True), ("other title", {"title": "Another title"}, True), ("unknown key", {"sql": "select 1"}, False), ("no version", {"version": 0}, False),
-    ("text as concept", {"index": {"condition_concept_ids": ["1; drop"]}}, False), ("ages turned", {"index": {"condition_concept_ids": [1], "age_min": 60, "age_max": 20}}, False),
-    ("unknown breakdown", {"breakdown": ["postcode"]}, False), ("no criteria", {"include": [], "exclude": []}, True), ("two in one", {"include": [{"procedure_concept_ids": [1], "condition_concept_ids": [2]}]}, False),
-)
-
-
-def _cleaned(raw: dict) -> str:
-    """The document that a valid definition is hashed over, spelled out."""
-    index = raw["index"]
-    parts = {
-        "author": '""', "breakdown": json.dumps(raw["breakdown"], separators=(",", ":")), "exclude": json.dumps(raw["exclude"], separators=(",", ":")), "include": json.dumps(raw["include"], separators=(",", ":")),
-        "index": f'{{"age_max":{index["age_max"]},"age_min":{index["age_min"]},"condition_concept_ids":[1,2,3]}}', "name": f'"{raw["name"]}"', "purpose": '""', "title": f'"{raw["title"]}"', "version": str(raw["version"]),
-    }
-    return "{" + ",".join(f'"{k}":{v}' for k, v in parts.items()) + "}"
-
-
-@query("SELECT change, allowed, CASE WHEN allowed THEN sha256(document) END AS digest FROM (VALUES " + ", ".join(f"('{name}', {ok}, '{_cleaned(DEFINITION | change) if ok else ''}')" for name, change, ok in CHANGES) + ") AS t(change, allowed, document)")
+@query("""
+WITH c AS (SELECT c_custkey, c_name, c_nationkey AS version, c_mktsegment AS title, c_custkey % 70 AS low, 20 + c_custkey % 50 AS high, c_custkey % 11 = 0 AS odd FROM customer),
+d AS (SELECT c_custkey, version > 0 AND low <= high AND NOT odd AS allowed, '{"author":"","breakdown":[],"exclude":[],"include":[],"index":{"age_max":' || high || ',"age_min":' || low || ',"condition_concept_ids":[' || c_custkey || ']},"name":"' || c_name || '","purpose":"","title":"' || title || '","version":' || version || '}' AS document FROM c)
+SELECT c_custkey, allowed, CASE WHEN allowed THEN sha256(document) END AS digest FROM d
+""")
 def c01_definitions(spark: SparkSession, sf: str) -> DataFrame:
-    """Definitions held against the allowlist, and the hash of those it allows."""
-    rows = []
-    for name, change, _ in CHANGES:
-        try:
-            rows.append((name, True, cohort.defined(DEFINITION | change).digest))
-        except cohort.DefinitionError:
-            rows.append((name, False, None))
-    return spark.createDataFrame(rows, "change string, allowed boolean, digest string")
-
+    """A definition for each customer, as text, held against the allowlist, and the hash
+    of those it allows (C01, P13)."""
+    low, high = (F.col("c_custkey") % 70).alias("age_min"), (20 + F.col("c_custkey") % 50).alias("age_max")
+    index = F.struct(F.array("c_custkey").alias("condition_concept_ids"), low, high)
+    raw = F.to_json(F.struct(F.col("c_name").alias("name"), F.col("c_nationkey").alias("version"), F.col("c_mktsegment").alias("title"), index.alias("index"), F.when(F.col("c_custkey") % 11 == 0, "select 1").alias("sql")))
+    digest = F.udf(cohort.digest_of, "string")(raw)
+    return table(spark, sf, "customer").select("c_custkey", digest.alias("digest")).select("c_custkey", F.col("digest").isNotNull().alias("allowed"), "digest")
 
-#: Conditions, least and greatest age, demanded criteria.
-SCOPES = ((1, (1, 2), None, None, ()), (2, (1,), None, None, ()), (3, (1,), 18, None, ("a",)), (4, (1, 2), 18, 40, ()), (5, (1, 2), 20, 30, ("a", "b")), (6, (3,), 20, 30, ()))
-_SCOPES = ", ".join(f"({i}, {list(c)}, {'NULL' if a is None else a}, {'NULL' if b is None else b}, {list(d)}::VARCHAR[])" for i, c, a, b, d in SCOPES)
 
-
-@query(f"""
-WITH s AS (SELECT * FROM (VALUES {_SCOPES}) AS t(id, c, low, high, d))
-SELECT a.id AS inner_id, b.id AS outer_id FROM s a JOIN s b ON a.id <> b.id AND list_has_all(b.c, a.c) AND list_has_all(a.d, b.d) AND (b.low IS NULL OR a.low >= b.low) AND (b.high IS NULL OR a.high <= b.high)
+@query("""
+WITH o AS (SELECT o_custkey, list_sort(list(DISTINCT o_orderpriority)) AS c, list_sort(list(DISTINCT o_orderstatus)) AS d, floor(min(o_totalprice) / 100000)::INT AS low, floor(max(o_totalprice) / 100000)::INT AS high FROM orders GROUP BY 1),
+s AS (SELECT DISTINCT array_to_string(c, ',') || '|' || array_to_string(d, ',') || '|' || low || '|' || high AS id, c, d, low, high FROM o)
+SELECT a.id AS inner_id, b.id AS outer_id FROM s a JOIN s b ON a.id <> b.id AND list_has_all(b.c, a.c) AND list_has_all(a.d, b.d) AND a.low >= b.low AND a.high <= b.high
 """)
 def u06_scopes_inside(spark: SparkSession, sf: str) -> DataFrame:
-    """Which scope lies inside which: fewer conditions, narrower ages, more demands; a
-    bound that is not there bounds nothing (U06, C08)."""
-    facts = lambda c, low, high: frozenset(("condition", x) for x in c) | frozenset(cohort.ages(low, high, cohort.OLDEST))
-    scopes = {i: cohort.Scope(facts(c, low, high), frozenset(d)) for i, c, low, high, d in SCOPES}
-    return spark.createDataFrame([(a, b) for a, x in scopes.items() for b, y in scopes.items() if a != b and x.inside(y)], "inner_id int, outer_id int")
+    """Which of the customers' scopes lies inside which: fewer priorities, a narrower
+    range of prices, more demands, here states of orders (U06, C08). Every pair comes out
+    of two containments, of what a scope takes in and, the other way, of what it demands."""
+    price = F.floor(F.col("o_totalprice") / 100_000).cast("int")
+    held = table(spark, sf, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_set("o_orderpriority")).alias("c"), F.sort_array(F.collect_set("o_orderstatus")).alias("d"), F.min(price).alias("low"), F.max(price).alias("high"))
+    name = F.concat_ws("|", F.array_join("c", ","), F.array_join("d", ","), "low", "high").alias("id")
+    scopes = held.select(name, "c", "d", "low", "high").distinct()
+    facts = F.concat("c", F.transform(F.sequence("low", "high"), lambda x: x.cast("string")))
+    takes, demands = scopes.select("id", F.explode(facts).alias("fact")), scopes.select("id", F.explode("d").alias("demand"))
+    named = lambda df, to: df.withColumnRenamed("id", to)
+    wider = containment.contained(named(takes, "inner_id"), named(takes, "outer_id"), "inner_id", "outer_id", "fact")
+    stricter = containment.contained(named(demands, "outer_id"), named(demands, "inner_id"), "outer_id", "inner_id", "demand")
+    return wider.join(stricter, ["inner_id", "outer_id"]).where("inner_id <> outer_id").select("inner_id", "outer_id")
 
 
 @query("SELECT 'created' AS step, 1 AS version, count(*) AS n FROM nation WHERE n_regionkey < 3 UNION ALL SELECT 'appended', 2, count(*) FROM nation UNION ALL SELECT 'overwritten', 3, count(*) FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA' UNION ALL SELECT 'refused', 3, 2")
@@ -100,7 +87,7 @@ def k03_guarded_writes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""
-WITH m AS (SELECT * FROM (VALUES {_VALUES}) AS t(field, scope, value, concept_id, note) WHERE concept_id <> 0), v AS (SELECT * FROM m WHERE concept_id % 10 <> 3),
+WITH m AS (SELECT * FROM {_DERIVED} WHERE concept_id <> 0), v AS (SELECT * FROM m WHERE concept_id % 10 <> 3),
 c AS (SELECT DISTINCT concept_id, CASE WHEN concept_id % 4 = 0 THEN NULL ELSE 'S' END AS standard, CASE WHEN concept_id % 5 = 1 THEN 'D' END AS invalid, CASE WHEN concept_id % 7 = 0 THEN 'other' ELSE field END AS domain FROM v),
 j AS (SELECT m.field, c.* FROM m LEFT JOIN c USING (concept_id)), g AS (SELECT 'missing' AS name, count(*) FILTER (concept_id IS NULL OR domain IS NULL) AS violations FROM j
 UNION ALL SELECT 'not_standard', count(*) FILTER (domain IS NOT NULL AND standard IS DISTINCT FROM 'S') FROM j UNION ALL SELECT 'invalid', count(*) FILTER (domain IS NOT NULL AND invalid IS NOT NULL) FROM j
@@ -108,7 +95,7 @@ UNION ALL SELECT 'other_domain', count(*) FILTER (domain IS NOT NULL AND domain
 """)
 def g25_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
     """Mapped concepts held against a vocabulary with gaps."""
-    mapped = mapping(spark).withColumn("expected_domain", F.col("field"))
+    mapped = derived_mapping(spark, sf).withColumn("expected_domain", F.col("field"))
     c = F.col("concept_id")
     concepts = mapped.where((c != 0) & (c % 10 != 3)).select(
         "concept_id", F.when(c % 4 != 0, "S").alias("standard_concept"), F.when(c % 5 == 1, "D").alias("invalid_reason"), F.when(c % 7 == 0, "other").otherwise(F.col("field")).alias("domain_id")

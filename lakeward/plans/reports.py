@@ -7,23 +7,20 @@ from pyspark.sql import functions as F
 
 from lakeward.functions import columns as C
 from lakeward.operators import statistics as S
-from lakeward.plans.clinical import MAPPING, mapping
+from lakeward.plans.clinical import _DERIVED, derived_mapping
 from lakeward.registry import query, table
 
-_MAP = ", ".join(f"('{f}', '{s}', '{v}', {c}::BIGINT, '{n}')" for f, s, v, c, n in MAPPING)
-
-
-@query(f"SELECT field, count(*) AS n, count(DISTINCT concept_id) FILTER (concept_id <> 0) AS concepts, count(*) FILTER (concept_id = 0) AS without FROM (VALUES {_MAP}) AS t(field, scope, value, concept_id, note) GROUP BY 1")
+@query(f"SELECT field, count(*) AS n, count(DISTINCT concept_id) FILTER (concept_id <> 0) AS concepts, count(*) FILTER (concept_id = 0) AS without FROM {_DERIVED} GROUP BY 1")
 def a34_mapping_summary(spark: SparkSession, sf: str) -> DataFrame:
     zero = F.col("concept_id") == 0
-    return mapping(spark).groupBy("field").agg(F.count("*").alias("n"), F.count_distinct(F.when(~zero, F.col("concept_id"))).alias("concepts"), F.count_if(zero).alias("without"))
+    return derived_mapping(spark, sf).groupBy("field").agg(F.count("*").alias("n"), F.count_distinct(F.when(~zero, F.col("concept_id"))).alias("concepts"), F.count_if(zero).alias("without"))
 
 
-@query(f"SELECT DISTINCT value AS label, concept_id FROM (VALUES {_MAP}) AS t(field, scope, value, concept_id, note) WHERE concept_id <> 0 AND scope IN ('all', 'sites') AND field LIKE 'site%'")
+@query(f"SELECT DISTINCT value AS label, concept_id FROM {_DERIVED} WHERE concept_id <> 0 AND scope IN ('all', 'Brand#11') AND field LIKE 'part%'")
 def x01_choices(spark: SparkSession, sf: str) -> DataFrame:
     """The labels an answer may be chosen from."""
-    usable = (F.col("concept_id") != 0) & F.col("scope").isin("all", "sites") & F.col("field").startswith("site")
-    return mapping(spark).where(usable).select(F.col("value").alias("label"), "concept_id").distinct()
+    usable = (F.col("concept_id") != 0) & F.col("scope").isin("all", "Brand#11") & F.col("field").startswith("part")
+    return derived_mapping(spark, sf).where(usable).select(F.col("value").alias("label"), "concept_id").distinct()
 
 
 @query("SELECT event_id, (props::JSON ->> '$.k')::INT AS k, (props::JSON ->> '$.k')::INT * 2 AS twice FROM events WHERE (props::JSON ->> '$.k')::INT IS NOT NULL")
