@@ -1,9 +1,14 @@
 """License scan by ordered signature rules.
 
+An SPDX tag is read as an expression: every identifier in it is a license under its own
+name, listed here or not, and what a tag covers is not read again by other rules.
+Sentences of license texts and headers have rules of their own.
+
 Each license below has hand-written name patterns and a keyword. A rule is one of them
 in one setting (a tag, a grant, a title, an address or the bare name), with the
 setting's priority. A text is searched for a rule only if it holds the rule's keyword,
-which every match of the rule holds too; for an address it is its host.
+which every match of the rule holds too; for an address it is its host. A text that holds
+the first word of no keyword is not looked at any further.
 Words may be any run of white space and comment marks apart, as where a name wraps in a
 source header; starts and ends are those of the text as it is.
 Detections are taken by falling priority, and one that lies inside a detection taken
@@ -126,6 +131,37 @@ LICENSES: tuple[tuple[str, str, tuple[str, ...], tuple[str, ...]], ...] = (
     ("copyright", "copyright", (r"copyright (?:\(c\)|\xc2\xa9)? ?(?:19|20)\d\d", r"\(c\) copyright"), ()),
 )
 
+#: label, keyword, pattern of a sentence of the license's own text or of its header.
+TEXTS: tuple[tuple[str, str, str], ...] = (
+    ("bsd", "redistribution", r"redistributions? and use in source and binary forms,? with or without modification"),
+    ("bsd-3-clause", "neither the name", r"neither the names? of [^.]{1,120}? nor the names of (?:its|their|any) contributors"),
+    ("bsd-4-clause", "advertising", r"all advertising materials mentioning features or use of this software"),
+    ("mit", "obtaining", r"permission is hereby granted,? free of charge,? to any person obtaining a copy of this software"),
+    ("bsl-1.0", "obtaining", r"to any person or organization obtaining a copy of the software and accompanying documentation"),
+    ("isc", "fee", r"permission to use,? copy,? modify,? (?:and/or|and|or) distribute this software for any purpose with or without fee"),
+    ("apache-2.0", "compliance", r"you may not use this file except in compliance with the licen[cs]e"),
+    ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain"),
+    ("zlib", "altered", r"altered source versions must be plainly marked as such"),
+    ("wtfpl", "what the", r"do what the f[a-z*]{2,3} you want to public licen[cs]e"),
+    ("gpl-2.0", "general public", r"(?<!lesser )(?<!library )(?<!affero )general public licen[cs]e(?: as published by the free software foundation)?[,;:]? (?:either )?version 2 of the licen[cs]e"),
+    ("gpl-3.0", "general public", r"(?<!lesser )(?<!library )(?<!affero )general public licen[cs]e(?: as published by the free software foundation)?[,;:]? (?:either )?version 3 of the licen[cs]e"),
+    ("lgpl-2.1", "general public", r"lesser general public licen[cs]e(?: as published by the free software foundation)?[,;:]? (?:either )?version 2\.1 of the licen[cs]e"),
+    ("lgpl-3.0", "general public", r"lesser general public licen[cs]e(?: as published by the free software foundation)?[,;:]? (?:either )?version 3 of the licen[cs]e"),
+    ("agpl-3.0", "general public", r"affero general public licen[cs]e(?: as published by the free software foundation)?[,;:]? (?:either )?version 3 of the licen[cs]e"),
+    ("mpl-1.1", "mpl", r"mpl ?v?1\.1"),
+    ("mpl-2.0", "mpl", r"mpl ?v?2(?:\.0)?"),
+    ("epl-2.0", "epl", r"epl ?v?2(?:\.0)?"),
+    ("epl-1.0", "epl", r"epl ?v?1(?:\.0)?"),
+)
+_TEXT = (75, 0.95)
+
+#: An SPDX expression: identifiers, joined by operators, in brackets or not.
+_TAG = re.compile(rb"spdx-license-identifier ?: ?((?:\( ?)*[a-z0-9][a-z0-9.+-]*+(?: ?\))*(?: (?:and|or|with) (?:\( ?)*[a-z0-9][a-z0-9.+-]*+(?: ?\))*)*)")
+_IDENTIFIER = re.compile(rb"(with )?(?<![a-z0-9.+-])([a-z0-9][a-z0-9.+-]*)")
+#: Identifiers whose label is not their own name without its ending.
+_SAME = {"x11": "mit", "gfdl-1.1": "gfdl", "gfdl-1.2": "gfdl", "gfdl-1.3": "gfdl", "cc-by-2.5": "cc-by-2.0"}
+_ENDING = re.compile(r"(?:-only|-or-later|\+)$|\.$")
+
 #: setting, priority, confidence, pattern around a name.
 SETTINGS = (
     ("tag", 90, 0.99, r"spdx-license-identifier: ?(?:{name})"),
@@ -159,11 +195,16 @@ def rules() -> list[Rule]:
             text = edge[0] + _ADDRESS[2].format(name=address)
             host = re.match("[a-z0-9]+", address)[0]
             out.append(Rule(label, host.encode(), _ADDRESS[0] + exact, _ADDRESS[1], re.compile(text.encode("latin-1"))))
+    for label, keyword, pattern in TEXTS:
+        text = edge[0] + pattern + edge[1]
+        out.append(Rule(label, keyword.encode(), _TEXT[0] + sum(c.isdigit() for c in label), _TEXT[1], re.compile(text.encode("latin-1"))))
     return sorted(out, key=lambda r: -r.priority)
 
 
 RULES = rules()
 _KEYWORDS = sorted({r.keyword for r in RULES})
+#: The first words of all keywords: a text without one of them holds no keyword, wrapped or not.
+_FIRST = {k.split(b" ")[0] for k in _KEYWORDS} | {b"spdx"}
 
 
 def suppressed(found: list[tuple[int, int, Rule]]) -> list[tuple[int, int, Rule]]:
@@ -202,6 +243,20 @@ _APART = re.compile(
 )
 
 
+def declared(even: bytes) -> list[tuple[int, int, Rule]]:
+    """The licenses of SPDX tags, each identifier under its own name; what stands after
+    WITH is an exception to a license and no license. A tag's place is its expression's."""
+    out = []
+    for m in _TAG.finditer(even):
+        for i in _IDENTIFIER.finditer(m[1]):
+            word = i[2].decode()
+            if i[1] or word in ("and", "or", "with"):
+                continue
+            name = _ENDING.sub("", word)
+            out.append((m.start(), m.end(), Rule(_SAME.get(name, name), b"spdx", 99, 0.99, _TAG)))
+    return out
+
+
 def _original(low: bytes, found: list[tuple[int, int, Rule]]) -> list[tuple[int, int, Rule]]:
     """Detections in ``low`` with its runs made blanks, by their places in ``low``."""
     blanks, gone, total = [], [0], 0
@@ -216,10 +271,20 @@ def _original(low: bytes, found: list[tuple[int, int, Rule]]) -> list[tuple[int,
 def detections(text: bytes | None) -> list[tuple[int, int, Rule]]:
     """Start and end (bytes) of what is detected, and by which rule."""
     low = text.lower() if text else b""
+    first = {k for k in _FIRST if k in low}
+    if not first:
+        return []
     even = _APART.sub(b" ", low)
-    there = {k for k in _KEYWORDS if k in even}
+    there = {k for k in _KEYWORDS if k.split(b" ")[0] in first and k in even}
     found = [(m.start(), m.end(), r) for r in RULES if r.keyword in there for m in r.pattern.finditer(even)]
-    return suppressed(_original(low, found)) if found else []
+    tags = declared(even) if b"spdx" in first else []
+    if tags:
+        spans = sorted({t[:2] for t in tags})  # one after the other
+        starts = [a for a, _ in spans]
+        found = [d for d in found if (at := bisect_right(starts, d[0]) - 1) < 0 or spans[at][1] < d[1]]
+    if not found and not tags:
+        return []
+    return sorted(_original(low, suppressed(found)) + _original(low, tags), key=lambda d: (*d[:2], d[2].label))
 
 
 _SPACES = re.compile(b" {2,}")

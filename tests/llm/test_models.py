@@ -369,3 +369,50 @@ def test_names_wrap_and_keep_their_places():
     assert [plain[s:e] for s, e, _ in licenses.detections(plain.encode())] == ["the MIT License", 'provided "as is", without  any warranty', "copyright (c) 2001", "http://www.gnu.org/licenses/gpl-3.0"]
     for long in (" ", "*", "\n", " *", '"', "-", "\n*"):
         assert [r.label for _, _, r in licenses.detections((long * 300_000 + " MIT License").encode())] == ["mit"]
+
+
+IDENTIFIERS = {
+    "MIT": "mit", "ISC": "isc", "Zlib": "zlib", "BSL-1.0": "bsl-1.0", "Unlicense": "unlicense", "EPL-2.0": "epl-2.0", "PostgreSQL": "postgresql", "OFL-1.1": "ofl-1.1", "X11": "mit",
+    "PSF-2.0": "psf-2.0", "EUPL-1.2": "eupl-1.2", "CDDL-1.0": "cddl-1.0", "NCSA": "ncsa", "Vim": "vim", "AFL-3.0": "afl-3.0", "MS-PL": "ms-pl", "Ruby": "ruby", "PHP-3.01": "php-3.01",
+    "curl": "curl", "GFDL-1.3-only": "gfdl", "ODbL-1.0": "odbl-1.0", "SSPL-1.0": "sspl-1.0", "BUSL-1.1": "busl-1.1", "Apache-2.0": "apache-2.0", "GPL-2.0-only": "gpl-2.0", "GPL-2.0+": "gpl-2.0",
+    "GPL-3.0-or-later": "gpl-3.0", "LGPL-2.1-or-later": "lgpl-2.1", "AGPL-3.0-only": "agpl-3.0", "MPL-2.0": "mpl-2.0", "BSD-2-Clause": "bsd-2-clause", "BSD-3-Clause": "bsd-3-clause", "0BSD": "0bsd",
+    "CC0-1.0": "cc0-1.0", "CC-BY-4.0": "cc-by-4.0", "WTFPL": "wtfpl", "Artistic-2.0": "artistic-2.0", "Python-2.0": "python-2.0", "JSON": "json", "Beerware": "beerware", "LicenseRef-Own": "licenseref-own",
+}
+
+
+def labels_of(text):
+    return sorted(r.label for _, _, r in licenses.detections(text.encode()))
+
+
+def test_every_identifier_of_a_tag_is_a_license():
+    for tag, label in IDENTIFIERS.items():
+        for line in (f"// SPDX-License-Identifier: {tag}\nint main() {{}}", f"/* spdx-license-identifier:{tag} */", f"SPDX-License-Identifier: {tag}"):
+            assert labels_of(line) == [label], (line, labels_of(line))
+
+
+def test_expressions_of_tags():
+    assert labels_of("# SPDX-License-Identifier: (MIT OR Apache-2.0) AND BSD-3-Clause\nimport os") == ["apache-2.0", "bsd-3-clause", "mit"]
+    assert labels_of("/* SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note OR ISC */") == ["gpl-2.0", "isc"]
+    assert labels_of("SPDX-License-Identifier:") == [] and labels_of("spdx") == []
+    found = licenses.detections(b"x SPDX-License-Identifier: MIT\n// licensed under the ISC License")
+    assert [(s, e, r.label) for s, e, r in found] == [(2, 30, "mit"), (34, 64, "isc")]
+    many = "SPDX-License-Identifier: MIT\n" * 20_000
+    assert len(labels_of(many)) == 20_000
+
+
+def test_texts_and_headers_of_licenses():
+    for text, label in (
+        ("Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided", "bsd"),
+        ("Neither the name of Example, Inc. nor", None),
+        ("Neither the name of the copyright holder nor the names of its\n# contributors may be used", "bsd-3-clause"),
+        ("Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and", "mit"),
+        ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is", "isc"),
+        ("you may not use this file except in compliance with the License.", "apache-2.0"),
+        ("This is free and unencumbered software released into the public domain.", "unlicense"),
+        ("the GNU General Public License as published by\n# the Free Software Foundation; either version 2 of the License, or", "gpl-2.0"),
+        ("the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License", "lgpl-3.0"),
+        ("available under MPL 2.0", "mpl-2.0"), ("the MPL, version unknown", None),
+    ):
+        got = labels_of(text)
+        assert (label in got) if label else not got, (text, got)
+    assert "gpl-3.0" not in labels_of("the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License")
