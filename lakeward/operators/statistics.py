@@ -9,6 +9,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,6 +62,45 @@ def ks_p_value(distance: Column, n: Column, m: Column, terms: int = 100) -> Colu
     return F.when(size < 0.2, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), tail)))
 
 
+def inside_paths(h: int, n: int, m: int) -> float:
+    """The share of all orders of ``n`` and ``m`` values under which the distributions' gap,
+    times ``n`` and ``m``, stays below ``h`` throughout: lattice paths from corner to corner
+    inside a band. Folded a diagonal at a time; each place holds the share of the paths to
+    it, so nothing grows or vanishes with the samples."""
+    held = np.zeros(n + 2)  # by i + 1, on the diagonal i + j
+    held[1] = 1.0
+    for d in range(1, n + m + 1):
+        low, high = max(0, d - m, (d * n - h) // (n + m) + 1), min(n, d, -(-(d * n + h) // (n + m)) - 1)
+        row = np.zeros(n + 2)
+        if low <= high:
+            i = np.arange(low, high + 1)
+            row[low + 1 : high + 2] = (i * held[low : high + 1] + (d - i) * held[low + 1 : high + 2]) / d
+        held = row
+    return float(held[n + 1])
+
+
+def ks_exact(distance: float | None, n: int, m: int) -> float | None:
+    """The exact two-sided p-value of a Kolmogorov-Smirnov distance between samples of
+    ``n`` and ``m`` values without ties; null for an empty sample."""
+    if distance is None or not n or not m:
+        return None
+    h = round(distance * n * m)
+    n, m = sorted((int(n), int(m)))
+    return 1.0 if h <= 0 else min(1.0, max(0.0, 1.0 - inside_paths(h, n, m)))
+
+
+def ks_probability(rows: DataFrame, distance: str, n: str, m: str, name: str = "p", most: int = 10_000) -> DataFrame:
+    """``rows`` with a p-value: exact while neither sample is larger than ``most``, by the
+    series beyond. Rows are one for each comparison, and a task holds one path row."""
+
+    def exact(d: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(x) or max(a, b) > most else ks_exact(x, a, b) for x, a, b in zip(d, n, m, strict=True)], dtype="float64")
+
+    found = F.pandas_udf(exact, "double")(F.col(distance), F.col(n).cast("long"), F.col(m).cast("long"))
+    small = F.greatest(n, m) <= most
+    return rows.withColumn(name, F.when(small, found).otherwise(ks_p_value(F.col(distance), F.col(n), F.col(m))))
+
+
 def _stable(placed: DataFrame, compared: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
     """``compared`` with psi over the bins between its edges."""
     keys = [F.col(g).alias(f"_{g}") for g in groups]

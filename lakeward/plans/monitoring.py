@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakeward.functions import columns as C
+from lakeward.operators import gram, phrases, temperature
 from lakeward.operators import monitoring as M
-from lakeward.operators import phrases
 from lakeward.operators import splitting as P
 from lakeward.operators import statistics as S
 from lakeward.operators import texts as X
@@ -50,6 +50,21 @@ def d02_drift(spark: SparkSession, sf: str) -> DataFrame:
     return S.drift(events(spark, sf), ["event_type"], "value", "base").select("event_type", F.round("p", 6).alias("p"), "alert", "warning")
 
 
+@query("""
+WITH RECURSIVE e AS (SELECT event_type, user_id % 10 AS part, value, day(ts) <= 10 AS base FROM events), c AS (SELECT event_type, part, value, count(*) FILTER (base) AS b, count(*) FILTER (NOT base) AS n FROM e GROUP BY ALL),
+g AS (SELECT *, abs(sum(b) OVER w / sum(b) OVER a - sum(n) OVER w / sum(n) OVER a) AS gap FROM c WINDOW a AS (PARTITION BY event_type, part), w AS (PARTITION BY event_type, part ORDER BY value ROWS UNBOUNDED PRECEDING)),
+k AS (SELECT event_type, part, sum(b)::BIGINT AS n, sum(n)::BIGINT AS m, max(gap) AS ks FROM g GROUP BY 1, 2), h AS (SELECT *, round(ks * n * m)::BIGINT AS h FROM k WHERE n > 0 AND m > 0),
+r AS (SELECT event_type, part, n, m, h, 0::BIGINT AS i, list_transform(range(m + 1), lambda j: CASE WHEN j * n < h THEN 1.0::DOUBLE ELSE 0 END) AS u FROM h
+  UNION ALL SELECT event_type, part, n, m, h, i + 1, list_transform(range(m + 1), lambda j: CASE WHEN abs((i + 1) * m - j * n) < h THEN (i + 1)::DOUBLE / (i + 1 + m) * list_sum(list_transform(range(j + 1), lambda x: CASE WHEN abs((i + 1) * m - x * n) < h THEN u[x + 1] ELSE 0 END)) ELSE 0 END) FROM r WHERE i < n)
+SELECT event_type, part, n AS n_base, m AS n_now, round(h.ks, 9) AS ks, round(1 - u[m + 1], 9) AS p FROM r JOIN h USING (event_type, part, n, m) WHERE i = n
+""")
+def d02_exact(spark: SparkSession, sf: str) -> DataFrame:
+    """KS of small segments with its exact p-value."""
+    rows = events(spark, sf).withColumn("part", F.col("user_id") % 10)
+    found = S.ecdf_distance(rows, ["event_type", "part"], "value", "base").where("n_base > 0 and n_now > 0")
+    return S.ks_probability(found, "ks", "n_base", "n_now").withColumns({"ks": F.round("ks", 9), "p": F.round("p", 9)})
+
+
 @query()
 def d04_embedding_drift(spark: SparkSession, sf: str) -> DataFrame:
     """Drift of five leading components fitted on the baseline, Bonferroni."""
@@ -353,6 +368,44 @@ def v09_bounds(spark: SparkSession, sf: str) -> DataFrame:
     return V.bound_excess(rows, limits, "vec_id", "label", "embedding").withColumn("excess", F.round("excess", 6))
 
 
+@query("""
+WITH f AS (SELECT vec_id, label, unnest(embedding[1:64])::DOUBLE AS x, unnest(range(64)) AS i FROM embeddings), m AS (SELECT vec_id, label, x, i // 16 AS block, (i % 16) // 4 AS c, i % 4 AS s FROM f),
+w AS (SELECT vec_id, label, block, c, s, p, pow(x, p) AS x FROM m, range(1, 11) AS r(p)), t AS (SELECT *, sum(x) OVER (PARTITION BY vec_id, block, p, s) AS total FROM w),
+g AS (SELECT vec_id, label, block, p, c, sum(x * total) AS g FROM t GROUP BY ALL), e AS (SELECT vec_id, label, block, p, c, sign(g) * pow(abs(g), 1.0::DOUBLE / p) AS x FROM g),
+b AS (SELECT label, block, p, c, min(x) AS low, max(x) AS high FROM e WHERE vec_id % 3 = 0 GROUP BY ALL),
+d AS (SELECT vec_id, block, sum(greatest(low - x, 0) / (abs(low) + 1e-6) + greatest(x - high, 0) / (abs(high) + 1e-6)) AS d FROM e JOIN b USING (label, block, p, c) GROUP BY ALL),
+n AS (SELECT block, avg(d) + 1e-12 AS norm FROM d WHERE vec_id % 3 = 1 GROUP BY 1) SELECT vec_id, round(sum(d / norm), 5) AS score FROM d JOIN n USING (block) GROUP BY 1
+""")
+def v09_gram(spark: SparkSession, sf: str) -> DataFrame:
+    """Gram features of four blocks at ten powers against the bounds of the vector's class,
+    each block by its mean deviation on a part of its own (V09)."""
+    part = F.col("vec_id") % 3
+    return gram.scored(table(spark, sf, "embeddings"), part == 0, part == 1, "vec_id", "label", "embedding").withColumn("score", F.round("score", 5))
+
+
+@query("""
+WITH g AS (SELECT exp(ln(0.05::DOUBLE) + i * (ln(20.0::DOUBLE) - ln(0.05::DOUBLE)) / 2000) AS t FROM range(2001) AS r(i)), e AS (SELECT vec_id, label % 5 AS y, list_transform(embedding[1:5], lambda x: x::DOUBLE * 10) AS z FROM embeddings),
+l AS (SELECT t, avg(ln(list_sum(list_transform(z, lambda x: exp((x - list_max(z)) / t)))) - (z[y + 1] - list_max(z)) / t) AS nll FROM e, g WHERE vec_id % 2 = 0 GROUP BY 1), b AS (SELECT arg_min(t, nll) AS t FROM l),
+s AS (SELECT u.k, u.t, y, list_transform(z, lambda x: exp((x - list_max(z)) / u.t)) AS p FROM e, (SELECT 'before' AS k, 1.0::DOUBLE AS t UNION ALL SELECT 'after', t FROM b) AS u WHERE vec_id % 2 = 1),
+c AS (SELECT k, t, y, p[y + 1] / list_sum(p) AS own, list_max(p) / list_sum(p) AS top, list_position(p, list_max(p)) = y + 1 AS ok FROM s), n AS (SELECT k, t, avg(-ln(own)) AS nll FROM c GROUP BY 1, 2),
+h AS (SELECT k, ceil(top * 15) AS bin, count(*) AS n, avg(top) AS c, avg(ok::INT) AS a FROM c GROUP BY 1, 2), x AS (SELECT k, sum(n * abs(a - c)) / sum(n) AS ece FROM h GROUP BY 1)
+SELECT k AS which, round(t, 9) AS temperature, round(nll, 9) AS nll, round(ece, 9) AS ece FROM n JOIN x USING (k)
+""")
+def v03_temperature(spark: SparkSession, sf: str) -> DataFrame:
+    """The temperature of 2,001 that is likeliest on one half, and loss and calibration
+    error of the other half without and with it (V03)."""
+    rows = table(spark, sf, "embeddings").select("vec_id", (F.col("label") % 5).alias("y"), F.transform(F.slice("embedding", 1, 5), lambda x: x.cast("double") * 10).alias("z"))
+    found = temperature.fitted(rows.where("vec_id % 2 = 0"), "z", "y").select(F.lit("after").alias("which"), "temperature")
+    both = found.unionByName(found.select(F.lit("before").alias("which"), F.lit(1.0).alias("temperature")))
+    each = rows.where("vec_id % 2 = 1").join(F.broadcast(both), F.lit(True))  # two rows
+    p = C.softmax(F.transform("z", lambda x: x / F.col("temperature")))
+    each = each.select("which", "temperature", "y", p.alias("p"))
+    each = each.select("which", "temperature", (-F.ln(F.element_at("p", F.col("y") + 1))).alias("loss"), F.array_max("p").alias("top"), (C.argmax(F.col("p")) == F.col("y") + 1).alias("ok"))
+    ece = S.expected_calibration_error(each, ["which"], "top", "ok").select(F.col("which").alias("_which"), F.round("ece", 9).alias("ece"))
+    loss = each.groupBy("which", "temperature").agg(F.round(F.avg("loss"), 9).alias("nll"))
+    return loss.join(ece, F.col("which") == F.col("_which")).select("which", F.round("temperature", 9).alias("temperature"), "nll", "ece")
+
+
 @query("""
 WITH l AS (SELECT vec_id, label, list_transform(embedding[1:5], lambda x: x::DOUBLE * 10) AS z, list_transform(embedding[6:10], lambda x: x::DOUBLE * 10) AS y FROM embeddings),
 s AS (SELECT vec_id, label % 5 AS label, list_transform(z, lambda x: exp(x) / list_sum(list_transform(z, lambda t: exp(t)))) AS p, list_transform(y, lambda x: exp(x) / list_sum(list_transform(y, lambda t: exp(t)))) AS q, ln(list_sum(list_transform(z, lambda t: exp(t)))) AS energy FROM l),

@@ -190,6 +190,16 @@ def k11_to_land(spark: SparkSession, sf: str) -> DataFrame:
     return files.landed(part, part.where("p_partkey % 4 = 0"), "p_partkey")
 
 
+@query("SELECT page_id, url, octet_length(encode(html))::BIGINT AS bytes, sha256(html) AS sha256 FROM pages")
+def k12_landed_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages landed with size and hash, all or none: one without a text or an address would
+    leave nothing and be listed (K12)."""
+    html = F.col("html")
+    wrong = F.when(html.isNull(), "no text").when(F.coalesce(F.col("url"), F.lit("")) == "", "no address")
+    pages = table(spark, sf, "pages").select("page_id", "url", F.octet_length(html).cast("long").alias("bytes"), F.sha2(html.cast("binary"), 256).alias("sha256"), wrong.alias("error"))
+    return files.landed_whole(pages, "page_id", "error", folder(spark))
+
+
 @query("SELECT page_id, CASE WHEN length(html) < 4000 THEN 'short' END AS error FROM pages WHERE length(html) < 4000")
 def k15_quarantine(spark: SparkSession, sf: str) -> DataFrame:
     pages = table(spark, sf, "pages").select("page_id", F.when(F.length("html") < 4000, "short").alias("error"))

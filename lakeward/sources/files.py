@@ -43,6 +43,47 @@ def landed(listed: DataFrame, manifest: DataFrame, key: str) -> DataFrame:
     return listed.join(manifest.select(key), key, "left_anti")
 
 
+class LandingError(ValueError):
+    """Rows that failed, none of which, nor any other, has been landed."""
+
+    def __init__(self, failures: list[tuple[str, str]], count: int) -> None:
+        self.failures, self.count = failures, count
+        listed = ", ".join(f"{key}: {error}" for key, error in failures)
+        super().__init__(f"{count} rows failed to land: {listed}" + (", ..." if count > len(failures) else ""))
+
+
+def landed_whole(rows: DataFrame, key: str, error: str, path: str, shown: int = 100) -> DataFrame:
+    """``rows`` at ``path``, all or none, each with the size of the whole landing.
+
+    They are written beside ``path`` by all tasks; failures, rows whose ``error`` is not
+    null, are written with them. Where there is one, all that was written is deleted and
+    the first ``shown`` failures are raised together; else the folder is renamed, which is
+    the one step that makes it be there. A run that dies leaves ``path`` as it was.
+    """
+    spark = rows.sparkSession
+    made = f"{path.rstrip('/')}-landing-{uuid.uuid4().hex}"
+    to_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = to_path(made).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(to_path(path)):
+        raise FileExistsError(path)
+    try:
+        rows.withColumn("_failed", F.col(error).isNotNull()).write.partitionBy("_failed").parquet(made)
+        written = spark.read.schema(rows.schema).parquet(made)
+        failed = written.where(F.col(error).isNotNull())
+        count = failed.count()
+        if count:
+            first = failed.orderBy(key).limit(shown).select(F.col(key).cast("string"), F.col(error).cast("string")).collect()
+            raise LandingError([tuple(r) for r in first], count)
+        good = to_path(f"{made}/_failed=false")
+        if not files.exists(good):  # nothing to land
+            rows.limit(0).write.parquet(path)
+        elif not files.rename(good, to_path(path)):
+            raise FileExistsError(path)
+    finally:
+        files.delete(to_path(made), True)
+    return spark.read.schema(rows.schema).parquet(path).drop(error)
+
+
 def quarantined(rows: DataFrame, error: str) -> tuple[DataFrame, DataFrame]:
     """Rows without an error, and those with one, which are kept and not dropped."""
     return rows.where(F.col(error).isNull()).drop(error), rows.where(F.col(error).isNotNull())
