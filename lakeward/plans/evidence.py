@@ -13,6 +13,7 @@ from lakeward.operators import gates as G
 from lakeward.operators import monitoring as M
 from lakeward.operators import relational as R
 from lakeward.operators import statistics as S
+from lakeward.operators import views
 from lakeward.operators.ranks import quantile
 from lakeward.operators.tables import folder
 from lakeward.registry import query, table
@@ -294,6 +295,22 @@ def k02_generated_views(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
+@query("""
+WITH v AS (SELECT o_custkey, count(*) FILTER (year(o_orderdate) < 1998) AS first_n, count(*) FILTER (year(o_orderdate) < 2000) AS second_n, count(*) AS n, sum(round(o_totalprice * 100)::BIGINT)::BIGINT AS cents FROM orders GROUP BY 1)
+SELECT o_custkey, n, cents, nullif(first_n, 0) AS first_n, nullif(second_n, 0) AS second_n FROM v
+""")
+def k02_refreshed_view(spark: SparkSession, sf: str) -> DataFrame:
+    """A view of orders by customer, filled, grown twice by new orders alone, and read as
+    it was after each (K02)."""
+    orders = table(spark, sf, "orders").select("o_custkey", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"), F.year("o_orderdate").alias("year"))
+    view = views.AggregateView(spark, folder(spark), ["o_custkey"], ["cents"])
+    first = view.fill(orders.where("year < 1998"))
+    second = view.refresh(orders.where("year >= 1998 and year < 2000"))
+    view.refresh(orders.where("year >= 2000"))
+    then = lambda version, name: view.read(version).select("o_custkey", F.col("n").alias(name))
+    return view.read().join(then(first, "first_n"), "o_custkey", "left").join(then(second, "second_n"), "o_custkey", "left")
+
+
 @query("""SELECT user_id, count(*) AS n, max(running)::BIGINT AS peak FROM (SELECT user_id, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE -1 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS running FROM events) GROUP BY 1""")
 def w21_running_peak(spark: SparkSession, sf: str) -> DataFrame:
     """The high-water mark of a running sum (X09, W-family)."""

@@ -13,15 +13,15 @@ from lakeward.sources import files
 
 
 @query("""
-WITH c AS (SELECT c_nationkey AS cohort, c_mktsegment AS cell, count(*) AS persons FROM customer WHERE c_custkey % 3 = 0 OR c_nationkey < 5 GROUP BY 1, 2),
+WITH c AS (SELECT c_nationkey AS cohort, c_mktsegment || CASE WHEN c_acctbal < 0 THEN ' -' ELSE ' +' END AS cell, count(*) AS persons FROM customer GROUP BY 1, 2),
 t AS (SELECT *, max((persons BETWEEN 1 AND 10)::INT) OVER w = 1 AS hide, sum(persons) OVER w AS total, count(*) FILTER (persons > 0) OVER w AS k FROM c WINDOW w AS (PARTITION BY cohort))
 SELECT cohort, cell, CASE WHEN hide THEN '<11' ELSE persons::VARCHAR END AS shown, CASE WHEN total BETWEEN 1 AND 10 OR hide AND total < k + 10 THEN '<11' ELSE total::BIGINT::VARCHAR END AS total_shown FROM t
 """)
 def c06_hidden_totals(spark: SparkSession, sf: str) -> DataFrame:
     """Breakdowns of many cohorts, all of whose cells are hidden with a small one, and
     their totals, hidden too where they would give the cells away (C06)."""
-    rows = table(spark, sf, "customer").where("c_custkey % 3 = 0 or c_nationkey < 5")
-    cells = rows.groupBy(F.col("c_nationkey").alias("cohort"), F.col("c_mktsegment").alias("cell")).agg(F.count("*").alias("persons"))
+    cell = F.concat("c_mktsegment", F.when(F.col("c_acctbal") < 0, " -").otherwise(" +")).alias("cell")
+    cells = table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("cohort"), cell).agg(F.count("*").alias("persons"))
     return cohort.suppressed_breakdowns(cells, ["cohort"], "persons").select("cohort", "cell", "shown", "total_shown")
 
 

@@ -143,9 +143,9 @@ def j14_alignment(spark: SparkSession, sf: str) -> DataFrame:
     return both.agg(F.count_if(F.col("l_orderkey").isNull()).alias("only_orders"), F.count_if(F.col("o_orderkey").isNull()).alias("only_lines"), F.count("*").alias("total"))
 
 
-@query("SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase' AND user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey <= 500)")
+@query("SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase' AND user_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0)")
 def j15_unseen(spark: SparkSession, sf: str) -> DataFrame:
-    known = table(spark, sf, "customer").where("c_custkey <= 500").select(F.col("c_custkey").alias("user_id"))
+    known = table(spark, sf, "customer").where("c_acctbal >= 0").select(F.col("c_custkey").alias("user_id"))
     return R.unseen(table(spark, sf, "events").where("event_type = 'purchase'"), known, "user_id")
 
 

@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from lakeward.operators.views import AggregateView
 from lakeward.sources import files, rest
 from lakeward.streaming import events as E
 
@@ -90,3 +91,18 @@ def test_duplicates_within_the_watermark_are_dropped(spark, tmp_path):
     run = stream.writeStream.format("memory").queryName("distinct_e").trigger(availableNow=True).start()
     run.awaitTermination()
     assert spark.table("distinct_e").count() == 2
+
+
+def test_a_view_is_refreshed_from_new_rows_alone(spark, tmp_path):
+    schema = "k string, v long"
+    parts = [[("a", 1), ("a", 2), (None, 5)], [("b", 7), ("a", None)], []]
+    view = AggregateView(spark, f"{tmp_path}/view", ["k"], ["v"])
+    versions = [view.fill(spark.createDataFrame(parts[0], schema))]
+    versions += [view.refresh(spark.createDataFrame(p, schema)) for p in parts[1:]]
+    held = [{r.k: (r.n, r.v) for r in view.read(v).collect()} for v in versions]
+    assert held == [{"a": (2, 3), None: (1, 5)}, {"a": (3, 3), None: (1, 5), "b": (1, 7)}, {"a": (3, 3), None: (1, 5), "b": (1, 7)}]
+    with pytest.raises(ValueError, match="already"):
+        view.fill(spark.createDataFrame(parts[0], schema))
+    with pytest.raises(Exception):  # noqa: B017
+        view.refresh(spark.createDataFrame([("c", 1)], schema).select("k", F.raise_error(F.lit("broken")).cast("long").alias("v")))
+    assert view.held.versions() == versions
