@@ -5,7 +5,8 @@ to and including it, in shuffled order, divided by the source's target. Copies a
 ranged by that time over all sources and the mix is cut where the total budget is
 spent. Running totals go over many tasks: rows are dealt into buckets of their sort
 key, bucket totals are summed first, and each bucket then runs on from its offset, so
-a source with a third of all rows is no single task. Buckets of the shuffle are as many
+a source with a third of all rows is no single task; nor is a doc_id, or the lack of one,
+that many rows share, whose rows are buckets by size and by the task that read them. Buckets of the shuffle are as many
 as the rows ask for; virtual time is cut into slices and the slice in which the budget
 ends into slices again. Sources are weighed in one task, a row for each source.
 
@@ -30,6 +31,7 @@ WEIGHTS = (5, 2, 1)
 MAX_PASSES = 3
 #: Rows of a bucket of the shuffle, on average, for a source that has all of them.
 BUCKET_ROWS = 100_000
+BUCKET = ["_bucket", "_part", "_at", "_of"]
 #: Slices of virtual time from 0 to 1, and of one of them.
 SLICES = 4096
 
@@ -76,6 +78,25 @@ def running_total(df: DataFrame, bucket: list[str], key: list[Column], group: li
     return joined.withColumn(name, F.sum(value).over(inside) + F.col("_offset")).drop("_offset", *(f"t_{c}" for c in where))
 
 
+def bucketed(rows: DataFrame, digits: int, most: int) -> DataFrame:
+    """``rows`` with the columns of ``BUCKET``, which together are in the order of key, size
+    and lot.
+
+    A bucket is the keys with the same first ``digits``. A key with more than ``most`` rows,
+    such as that of rows without a doc_id, would make a bucket too large: its rows are
+    buckets of their own by size and by the lot they were written in, and so are the keys
+    before and after it. Such keys are fewer than rows / ``most``, a bounded broadcast.
+    """
+    prefix = F.substring("_key", 1, digits)
+    hot = rows.groupBy("_key").count().where(F.col("count") > most)
+    hot = hot.groupBy(prefix.alias("_prefix")).agg(F.collect_set("_key").alias("_hot"))
+    placed = rows.withColumn("_bucket", prefix).join(F.broadcast(hot), F.col("_bucket") == F.col("_prefix"), "left")
+    own = F.coalesce(F.array_contains("_hot", F.col("_key")), F.lit(False))
+    ahead = F.coalesce(F.size(F.filter("_hot", lambda k: k < F.col("_key"))), F.lit(0))
+    columns = {"_part": 2 * ahead + own.cast("int"), "_at": F.when(own, F.col("size")).otherwise(0), "_of": F.when(own, F.col("_lot")).otherwise(0)}
+    return placed.withColumns(columns).drop("_prefix", "_hot")
+
+
 def _cut(sliced: DataFrame, budget: int, spent: int) -> Row | None:
     """The slice that the budget ends in, and the words spent before it."""
     words = sliced.groupBy("_slice").agg(F.sum("size").alias("_words"))
@@ -92,13 +113,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_passes: int = M
     """
     names = [c for c in keep if c not in ("doc_id", "source")]
     # Texts are read and counted once; all that follows goes over these short rows.
-    sized = stored(docs.select(F.col("doc_id").cast("long"), "source", *names, word_count(F.col("text")).alias("size")), "sizes")
+    sized = stored(docs.select(F.col("doc_id").cast("long"), "source", *names, word_count(F.col("text")).alias("size"), F.spark_partition_id().alias("_lot")), "sizes")
     shuffled = sized.withColumn("_key", F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit("")))
     rows, budget = sized.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     digits = next((d for d in range(3, 12) if 16**d * BUCKET_ROWS >= rows), 12)  # hex digits that name a bucket
-    shuffled = shuffled.withColumn("_bucket", F.substring("_key", 1, digits))
+    shuffled = bucketed(shuffled, digits, BUCKET_ROWS)
     targets = source_targets(sized, weights, max_passes)
-    sent = running_total(shuffled, ["_bucket"], [F.col("_key"), F.col("size")], ["source"], "size", "_sent")
+    sent = running_total(shuffled, BUCKET, [F.col("_key"), F.col("size")], ["source"], "size", "_sent")
     targets = targets.withColumnRenamed("source", "t_source")
     timed = sent.join(targets, F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source")
     passes = F.explode(F.sequence(F.lit(0), F.lit(max_passes - 1)))

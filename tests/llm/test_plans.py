@@ -78,6 +78,23 @@ def test_capped_sources_give_their_excess_away(spark):
     assert abs(got[20].target - (3000 - 300 - 1200)) < 1e-6
 
 
+def test_a_key_of_many_rows_is_many_buckets(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    docs = [(int(i) if i % 3 else None, " ".join(["w"] * int(rng.integers(0, 9))), "en", f"s{i % 2}", 1) for i in range(600)]
+    docs += [(77, " ".join(["w"] * int(rng.integers(1, 5))), "en", "s0", 1) for _ in range(200)]
+    df = frame(spark, docs).repartition(5)
+    plain = Counter(map(tuple, mixing.mix(df).collect()))
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 20)
+    assert Counter(map(tuple, mixing.mix(df).collect())) == plain
+    rows = df.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"), F.spark_partition_id().alias("_lot"))
+    rows = rows.withColumn("_key", F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit("")))
+    held = mixing.bucketed(rows, 3, 20).groupBy("source", *mixing.BUCKET).count()
+    assert held.agg(F.max("count")).first()[0] <= 20  # and not the 200 rows without an id
+    order = [F.col(c) for c in mixing.BUCKET]
+    by_bucket = [(r["_key"], r["size"]) for r in mixing.bucketed(rows, 1, 20).orderBy(*order, "_key", "size").collect()]
+    assert by_bucket == sorted(by_bucket)
+
+
 # ---- sharding -------------------------------------------------------------------------
 
 
