@@ -14,6 +14,7 @@ from lakeward.operators import texts as X
 from lakeward.operators import vectors as V
 from lakeward.operators import wide
 from lakeward.operators.ranks import nearest_rank, quantile, running
+from lakeward.operators.tables import written
 from lakeward.registry import query, table
 
 _EV = "e AS (SELECT event_type, user_id, event_id, value, day(ts) <= 10 AS base, (day(ts) - 1) // 3 AS period, ts FROM events)"
@@ -86,11 +87,13 @@ SELECT event_type, round(sum(abs(o / n_o - b / n_b)) / 2, 9) AS tvd, bool_or(b =
 def d04_wide_drift(spark: SparkSession, sf: str) -> DataFrame:
     """Drift of the leading components of wide vectors, words counted in 1,024 places by
     their hash, between halves of the documents (D04)."""
-    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
-    docs = table(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 2 == 0).alias("base"), F.explode(words).alias("word"))
-    counted = docs.groupBy("doc_id", "base", F.pmod(F.xxhash64("word"), F.lit(1024)).cast("int").alias("place")).agg(F.count("*").cast("double").alias("n"))
-    held = counted.groupBy("doc_id", "base").agg(F.map_from_entries(F.collect_list(F.struct("place", F.sqrt("n")))).alias("held"))  # at most 1,024 entries
-    vectors = held.select("base", F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda i: F.coalesce(F.try_element_at("held", i), F.lit(0.0))).alias("v"))
+    from pyspark.ml.feature import HashingTF
+    from pyspark.ml.functions import vector_to_array
+
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "").alias("words")
+    docs = table(spark, sf, "documents").select((F.col("doc_id") % 2 == 0).alias("base"), words)
+    counted = HashingTF(inputCol="words", outputCol="held", numFeatures=1024).transform(docs)
+    vectors = written(counted.select("base", F.transform(vector_to_array("held"), F.sqrt).alias("v")))  # read in every pass
     directions, _, _ = wide.components(vectors.where("base"), "v", 5)
     flat = wide.projected(vectors, "v", directions, "z").select("base", F.posexplode("z").alias("component", "x"))
     return S.drift(flat, ["component"], "x", "base", alert_p=0.01 / 5)
