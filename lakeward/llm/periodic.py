@@ -10,7 +10,7 @@ exponent 4 and 6 words every four consecutive words stand at least twice in the
 so places of other words are no part of one, and a run lies in one stretch as a whole.
 
 Texts are worked on one by one inside their task, whole, and nothing is shuffled. A text
-takes about 60 bytes for each of its words, and the automaton about 700 bytes for each word of a
+takes about 60 bytes for each of its words, and the automaton about 600 bytes for each word of a
 stretch, one stretch at a time.
 
 Nulls and ties: a null text and one without words have no run, no kept words and the
