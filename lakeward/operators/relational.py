@@ -46,6 +46,14 @@ def modes(df: DataFrame, keys: Sequence[str], value: str, last: str = "NOS") ->
     return counted.groupBy(*keys).agg(F.min_by(value, order).alias(value))
 
 
+def with_largest(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """``df`` with the largest ``value`` of each row's key: aggregated and joined back, so
+    that a key of many rows is a join that Spark may split, and no window in one task. A
+    null key is a key."""
+    most = df.groupBy(F.col(key).alias("_key")).agg(F.max(value).alias(name))
+    return df.join(most, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
+
+
 def valid_at(df: DataFrame, intervals: DataFrame, keys: Sequence[str], time: str, start: str, end: str) -> DataFrame:
     """Left join to the interval that holds ``time``: start <= time < end, an open end
     being null. An equality join on the keys, so that only their intervals meet."""

@@ -118,7 +118,8 @@ def w01_latest(spark: SparkSession, sf: str) -> DataFrame:
 def w03_group_value(spark: SparkSession, sf: str) -> DataFrame:
     """One person key for all rows of a group: the largest of their keys."""
     key = F.when(F.col("o_totalprice") > 300000, F.concat(F.lit("patient:"), "o_orderstatus")).otherwise(F.concat(F.lit("lesion:"), "o_orderpriority"))
-    return table(spark, sf, "orders").select("o_orderkey", F.max(key).over(Window.partitionBy("o_custkey")).alias("person"))
+    rows = table(spark, sf, "orders").select("o_orderkey", "o_custkey", key.alias("own"))
+    return R.with_largest(rows, "o_custkey", "own", "person").select("o_orderkey", "person")
 
 
 @query("""

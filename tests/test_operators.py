@@ -385,3 +385,10 @@ def test_leaves_stale_files_and_manifests(spark):
 def test_identifiers_are_stable(spark):
     rows = evidence.with_uid(spark.createDataFrame([("k",), ("k",), (None,)], "key string"), "key").collect()
     assert rows[0]["uid"] == rows[1]["uid"] == f"2.25.{uuid.uuid5(evidence.NAMESPACE, 'k').int}" and rows[0]["uid"].startswith("2.25.") and rows[2]["uid"] is None
+
+
+def test_largest_of_a_key_goes_to_all_of_its_rows(spark):
+    rows = spark.createDataFrame([(1, "a"), (1, "c"), (None, "b"), (None, None), (2, None)], "k int, v string")
+    got = R.with_largest(rows, "k", "v", "top")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, "a", "c"), (1, "c", "c"), (None, "b", "b"), (None, None, "b"), (2, None, None)], key=str)
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
