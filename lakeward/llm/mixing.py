@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from lakeward.llm.shared import stored
+from lakeward.llm.shared import discard, stored
 
 WEIGHTS = (5, 2, 1)
 #: No source is taken more often than this, and so no document.
@@ -117,8 +117,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_passes: int = M
     shuffled = sized.withColumn("_key", F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit("")))
     rows, budget = sized.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     digits = next((d for d in range(3, 12) if 16**d * BUCKET_ROWS >= rows), 12)  # hex digits that name a bucket
-    shuffled = bucketed(shuffled, digits, BUCKET_ROWS)
-    targets = source_targets(sized, weights, max_passes)
+    shuffled = stored(bucketed(shuffled, digits, BUCKET_ROWS), "shuffled")
+    discard(docs.sparkSession, sized)
+    targets = source_targets(shuffled, weights, max_passes)
     sent = running_total(shuffled, BUCKET, [F.col("_key"), F.col("size")], ["source"], "size", "_sent")
     targets = targets.withColumnRenamed("source", "t_source")
     timed = sent.join(targets, F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source")
