@@ -189,3 +189,26 @@ def test_state_holds_the_clients_of_one_window_and_delay(spark, tmp_path):
     per_client = 4  # a waiting request or a time it passed, and its timer in two orders
     assert each and max(sizes) <= 3 * clients * per_client  # not clients * batches of them
     assert sizes[-1] <= 2 * per_client
+
+
+def test_state_is_packed_by_lots_of_clients(spark, tmp_path):
+    n, far = 8 * limits.LOTS, 2**60  # ids that a double does not hold, beside a client without one
+    rows = [(None if i % 9 == 0 else far + i // 2, far + i, at(i % 3)) for i in range(n)]
+    with limits.kept_in_rocksdb(spark):
+        query, out = run(limits.limited(fed(spark, tmp_path, REQUESTS, [rows, [(1, -1, at(99))]], "ts", "1 hour", "in"), "client", "event_id", "ts", 1, 50, 3600), tmp_path)
+    got = out.collect()
+    assert {r.event_id: r.verdict for r in got} == plain_limits(rows, 1, 50, 3600) and {(r.client, r.event_id) for r in got} == {r[:2] for r in rows}
+    assert max(s["numRowsTotal"] for p in query.recentProgress for s in p["stateOperators"]) <= 6 * limits.LOTS  # not some for each client
+
+
+def test_the_next_to_pass_is_looked_up():
+    rng = random.Random(11)
+    for most in (0, 1, 3):
+        times = sorted(rng.randrange(400) for _ in range(200))
+        kept, want = [-5, -3][:most], []
+        held = list(kept)
+        for t in times:
+            held = [x for x in held if x > t - 20]
+            want.append(len(held) < most)
+            held += [t] * want[-1]
+        assert limits.passing(np.array(times), most, 20, kept)[0].tolist() == want
