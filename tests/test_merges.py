@@ -90,6 +90,16 @@ def test_candidates_are_those_of_the_rarest_element(spark):
     assert sorted((r._inner, r._outer) for r in got) == [("q", "s0"), ("q", "s1"), ("q", "s2")]
 
 
+def test_sets_without_the_other_elements_are_left_out_where_they_are_looked_up(spark):
+    outer = spark.createDataFrame([(s, e) for s in range(4000) for e in (s % 100, 100 + s // 100)], "_outer long, _element long")
+    inner = spark.createDataFrame([(s, e) for s in range(0, 4000, 7) for e in (s % 100, 100 + s // 100)], "_inner long, _element long")
+    got = {(r._inner, r._outer) for r in containment.candidates(inner, outer).collect()}
+    assert {(s, s) for s in range(0, 4000, 7)} <= got and len(got) < 0.6 * 40 * 572  # 40 sets hold the rarest element of each
+    pairs = containment.contained(inner.toDF("a", "e"), outer.toDF("b", "e"), "a", "b", "e").collect()
+    assert sorted(map(tuple, pairs)) == [(s, s, 0) for s in range(0, 4000, 7)]
+    assert not containment.contained(inner.toDF("a", "e"), outer.toDF("b", "e"), "a", "b", "e", least=3).count()
+
+
 # ---- phrases --------------------------------------------------------------------------
 
 
