@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from lakeward.functions import columns as C
 from lakeward.operators.ranks import cuts, ordered, quantile, quantiles, running, totals
+from lakeward.operators.tables import written
 
 EPS = 1e-6
 
@@ -137,22 +138,25 @@ def drift(rows: DataFrame, groups: Sequence[str], value: str, baseline: str, lea
 
 def drift_against(rows: DataFrame, groups: Sequence[str], value: str, baseline: DataFrame, bins: int = 10, least: int = 100, alert_p: float = 0.01, alert_psi: float = 0.2) -> DataFrame:
     """groups, n_base, n_now, ks, psi, p, alert of many samples against one baseline,
-    whose values are ranked once and not copied to each group.
+    whose values are ranked once and not copied to each group. ``rows`` are read once, and
+    what is counted by group and value is written for the plans that follow.
 
     Between two values of a sample its distribution stands still, so the largest gap is at
     a value of the sample or just before one.
     """
-    held = baseline.select(F.col(value).alias("_v"), F.lit(1).alias("b")).unionByName(rows.select(F.col(value).alias("_v"), F.lit(0).alias("b")))
+    counts = written(rows.groupBy(*groups, value).agg(F.count("*").alias("c")))
+    known = written(baseline.groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("b")))
+    held = known.unionByName(counts.select(F.col(value).alias("_v"), F.lit(0).cast("long").alias("b")))
     places = running(held.groupBy("_v").agg(F.sum("b").alias("b")), [], "_v", ["b"])
-    counted = running(rows.groupBy(*groups, value).agg(F.count("*").alias("c")), groups, value, ["c"]).join(places, F.col(value).eqNullSafe(F.col("_v")))
+    counted = running(counts, groups, value, ["c"]).join(places, F.col(value).eqNullSafe(F.col("_v")))
     gap = lambda upto: F.abs(C.ratio(upto("b"), F.col("b_all")) - C.ratio(upto("c"), F.col("c_all")))
     before, after = gap(lambda s: F.col(f"{s}_before")), gap(lambda s: F.col(f"{s}_before") + F.col(s))
-    ks = counted.groupBy(*groups).agg(F.max("b_all").alias("n_base"), F.sum("c").alias("n_now"), F.max(F.greatest(before, after)).alias("ks"))
+    ks = written(counted.groupBy(*groups).agg(F.max("b_all").alias("n_base"), F.sum("c").alias("n_now"), F.max(F.greatest(before, after)).alias("ks")))
     edges = quantiles(baseline, [], value, [i / bins for i in range(1, bins)], "edges")
-    bin_of = F.size(F.filter("edges", lambda e: e <= F.col(value))).alias("bin")
-    old = baseline.join(edges, F.lit(True)).groupBy(bin_of).agg(F.count("*").alias("b"))
+    bin_of = lambda v: F.size(F.filter("edges", lambda e: e <= F.col(v))).alias("bin")
+    old = known.join(edges, F.lit(True)).groupBy(bin_of("_v")).agg(F.sum("b").alias("b"))
     old = old.crossJoin(old.agg(F.sum("b").alias("b_all")))  # one row for each bin
-    new = rows.join(edges, F.lit(True)).groupBy(*groups, bin_of).agg(F.count("*").alias("c"))
+    new = counts.join(edges, F.lit(True)).groupBy(*groups, bin_of(value)).agg(F.sum("c").alias("c"))
     grid = ks.select(*groups, "n_now").join(old, F.lit(True)).join(new, [*groups, "bin"], "full")
     total = lambda c: F.max(c).over(Window.partitionBy(*groups))  # a row for each bin
     a, b = (C.ratio(F.coalesce(F.col(x), F.lit(0)), total(every)) + EPS for x, every in (("b", "b_all"), ("c", "n_now")))

@@ -139,3 +139,16 @@ def test_a_probe_tells_classes_apart_on_held_out_rows(spark, tmp_path):
 def test_differing_counts_two_nulls(spark):
     rows = spark.createDataFrame(list(itertools.product(["a", "b", None], repeat=2)), "x string, y string")
     assert rows.where(G.differing(F.col("x"), F.col("y"))).count() == 7
+
+
+def test_samples_are_read_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    now = spark.range(3000).selectExpr("id % 3 as g", "cast(id % 50 as double) as v").mapInArrow(seen, "g long, v double")
+    got = S.drift_against(now, ["g"], "v", spark.range(500).selectExpr("cast(id % 60 as double) as v")).collect()
+    assert len(got) == 3 and {(r.n_base, r.n_now) for r in got} == {(500, 1000)} and read.value == 3000
