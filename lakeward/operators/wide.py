@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -112,23 +113,43 @@ def components_for(df: DataFrame, vector: str, share: float, most: int = 256) ->
         k *= 2
 
 
-def projected(df: DataFrame, vector: str, directions: np.ndarray, name: str) -> DataFrame:
+def projected(df: DataFrame, vector: str, directions: np.ndarray, name: str, keep: bool = True) -> DataFrame:
     """``df`` with ``name``, the vector along each of ``directions``; null for a null vector.
-    The directions are broadcast, as literals of a plan they would be too many."""
+    The directions are broadcast, as literals of a plan they would be too many. Without
+    ``keep`` the vector itself is left out, so that it does not go back to Spark."""
     held = df.sparkSession.sparkContext.broadcast(directions)
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [None if v is None or None in v or len(v) != held.value.shape[1] else (held.value @ np.array(v, np.float64)).tolist() for v in batch.column(vector).to_pylist()]
-            yield batch.append_column(name, pa.array(out, pa.list_(pa.float64())))
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInArrow(project, f"{kinds}, `{name}` array<double>")
+            for at in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(at, _ROWS)
+                z = pa.array(_along(part.column(vector), held.value), pa.list_(pa.float64()))
+                yield (part if keep else part.drop_columns([vector])).append_column(name, z)
+
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema if keep or f.name != vector)
+    return df.mapInArrow(project, f"{kinds}`{name}` array<double>")
+
+
+def _along(column: pa.Array, directions: np.ndarray) -> list[list[float] | None]:
+    """The vectors along the directions; null where one is null, holds a null or is of another
+    width. The numbers are read as an array, not as objects."""
+    width = directions.shape[1]
+    lengths = np.asarray(pc.fill_null(pc.list_value_length(column), -1), np.int64)
+    values = column.flatten()  # of vectors that are not null
+    ends = np.cumsum(np.maximum(lengths, 0))
+    numbers = values.cast(pa.float64()).to_numpy(zero_copy_only=False)
+    nulls = np.concatenate([[0], np.cumsum(np.asarray(values.is_null()))]) if values.null_count else None
+    out: list[list[float] | None] = [None] * len(lengths)
+    for i in np.flatnonzero(lengths == width).tolist():
+        start, end = ends[i] - width, ends[i]
+        if nulls is None or nulls[start] == nulls[end]:
+            out[i] = (directions @ numbers[start:end]).tolist()
+    return out
 
 
 def mahalanobis(df: DataFrame, train: DataFrame, key: str, label: str, vector: str, k: int) -> DataFrame:
     """key, score: as ``vectors.mahalanobis``, whose distance does not depend on how the
     ``k`` components are turned among themselves."""
     directions, _, _ = components(train, vector, k)
-    z = lambda rows, *columns: projected(rows.select(*columns, vector), vector, directions, "_z").drop(vector).where("_z is not null")
+    z = lambda rows, *columns: projected(rows.select(*columns, vector), vector, directions, "_z", keep=False).where("_z is not null")
     return V.mahalanobis(z(df, key), z(train, label), key, label, "_z", len(directions))

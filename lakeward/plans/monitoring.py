@@ -95,7 +95,7 @@ def d04_wide_drift(spark: SparkSession, sf: str) -> DataFrame:
     counted = HashingTF(inputCol="words", outputCol="held", numFeatures=1024).transform(docs)
     vectors = written(counted.select("base", F.transform(vector_to_array("held"), F.sqrt).alias("v")))  # read in every pass
     directions, _, _ = wide.components(vectors.where("base"), "v", 5)
-    flat = wide.projected(vectors, "v", directions, "z").select("base", F.posexplode("z").alias("component", "x"))
+    flat = wide.projected(vectors, "v", directions, "z", keep=False).select("base", F.posexplode("z").alias("component", "x"))
     return S.drift(flat, ["component"], "x", "base", alert_p=0.01 / 5)
 
 

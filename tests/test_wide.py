@@ -54,3 +54,29 @@ def test_no_vector_and_few_columns(spark):
     directions, values, _ = wide.components(two, "v", 9)
     assert directions.shape == (2, 2) and values[1] == pytest.approx(0, abs=1e-12)
     assert {r.id: r.z is None for r in wide.projected(two, "v", directions, "z").collect()} == {1: False, 2: False, 3: True}
+
+
+def test_a_task_does_not_hold_vectors_as_objects(spark):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    d, n = 1024, 2000
+    column = pa.array(list(np.random.default_rng(4).normal(size=(n, d))))
+    directions = np.eye(d)[:3]
+    tracemalloc.start()
+    got = wide._along(column, directions)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == n and peak < 8 * n * d  # objects take 32 bytes a number
+    odd = pa.array([[1.0, 2.0], None, [], [3.0, None], [5.0, 6.0], [1.0]], pa.list_(pa.float64()))
+    assert wide._along(odd, np.eye(2)) == [[1.0, 2.0], None, None, None, [5.0, 6.0], None]
+    assert wide._along(odd.slice(3), np.eye(2)) == [None, [5.0, 6.0], None]
+
+
+def test_scores_can_go_without_their_vectors(spark):
+    df = frame(spark, sample(n=20))
+    z = wide.projected(df, "v", np.eye(64)[:2], "z", keep=False)
+    assert z.columns == ["id", "label", "z"]
+    whole = {r.id: r.z for r in wide.projected(df, "v", np.eye(64)[:2], "z").collect()}
+    assert {r.id: r.z for r in z.collect()} == whole and whole[-1] is None and whole[-2] is None
