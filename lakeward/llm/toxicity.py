@@ -223,6 +223,20 @@ class Common:
     order: int
     values: Table
 
+    @classmethod
+    def of(cls, values: DataFrame, order: int) -> Common:
+        """Of all ``values``, hashed in the tasks so that 16 bytes each reach the driver."""
+
+        def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                h, held = hashed(batch.column("gram").to_pylist(), batch.column("value").to_numpy(), order)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(held)], ["h", "value"])
+
+        rows = values.select("gram", "value").mapInArrow(points, "h long, value double").toPandas()
+        h = rows["h"].to_numpy(np.int64).view(np.uint64)
+        at = np.argsort(h)
+        return cls(order, (h[at], rows["value"].to_numpy(np.float64)[at]))
+
     def ratios(self, words: list[str], rare: dict[str, float] | None = None) -> np.ndarray:
         """Toxic minus ordinary log probability of each word; NaN where it has an n-gram
         that is neither held nor ``rare``."""
@@ -338,6 +352,16 @@ def calibrated(measured_rows: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     return scaling(np.array(drawn["x"].tolist()).reshape(-1, 3), drawn["y"].to_numpy(np.float64))
 
 
+def remember(texts: list[list[str]], models: Models | Common, cache: dict[str, float]) -> None:
+    """Put the value of every word into the cache."""
+    if len(cache) > _CACHE:
+        cache.clear()
+    fresh = list(dict.fromkeys(w for words in texts for w in words if w not in cache))
+    for i in range(0, len(fresh), 20_000):
+        part = fresh[i : i + 20_000]
+        cache.update(zip(part, models.ratios(part).tolist(), strict=True))
+
+
 def measured(rows: DataFrame, models: Models | Common) -> DataFrame:
     """doc_id, y and ``x``, the measures of every row. Where a word of it has no value, x is
     null and ``text`` and ``lacking``, the n-grams that are not held, are not."""
@@ -348,12 +372,7 @@ def measured(rows: DataFrame, models: Models | Common) -> DataFrame:
         for batch in batches:
             texts = batch.column("text").to_pylist()
             found = [words_of(t) for t in texts]
-            if len(cache) > _CACHE:
-                cache.clear()
-            fresh = list(dict.fromkeys(w for words in found for w in words if w not in cache))
-            for i in range(0, len(fresh), 20_000):
-                part = fresh[i : i + 20_000]
-                cache.update(zip(part, held.value.ratios(part).tolist(), strict=True))
+            remember(found, held.value, cache)
             x, kept, lacking = [], [], []
             for text, words in zip(texts, found, strict=True):
                 values = np.fromiter(map(cache.__getitem__, words), np.float64, len(words))
@@ -373,13 +392,16 @@ def completed(first: DataFrame, values: DataFrame, models: Common) -> DataFrame:
     held = first.sparkSession.sparkContext.broadcast(models)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict[str, float] = {}
         for batch in batches:
+            found = [words_of(t) for t in batch.column("text").to_pylist()]
+            remember(found, held.value, cache)
             x = []
-            for text, rare in zip(*(batch.column(c).to_pylist() for c in ("text", "rare")), strict=True):
-                words = words_of(text)
-                kinds = list(dict.fromkeys(words))
-                known = dict(zip(kinds, held.value.ratios(kinds, dict(rare)).tolist(), strict=True))
-                x.append(measures(np.fromiter(map(known.__getitem__, words), np.float64, len(words)), words))
+            for words, rare in zip(found, batch.column("rare").to_pylist(), strict=True):
+                values = np.fromiter(map(cache.__getitem__, words), np.float64, len(words))
+                at = np.flatnonzero(np.isnan(values))
+                values[at] = held.value.ratios([words[i] for i in at], dict(rare))
+                x.append(measures(values, words))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
     left = first.where(F.col("lacking").isNotNull()).withColumn("key", F.sha2("text", 256))
@@ -430,8 +452,7 @@ def judged(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, ord
         return unlearned(docs)
     values = stored(valued(levels), "toxicity-values")
     discard(spark, *levels.values())
-    held = common(values, most).select("gram", "value").toPandas()
-    models = Common(order, hashed(held["gram"], held["value"], order))
+    models = Common.of(common(values, most), order)
     first = stored(measured(rows, models), "toxicity-measured")
     if first.where(F.col("lacking").isNotNull()).isEmpty():
         discard(spark, values)
