@@ -134,7 +134,7 @@ LICENSES: tuple[tuple[str, str, tuple[str, ...], tuple[str, ...]], ...] = (
 #: label, keyword, pattern of a sentence of the license's own text or of its header.
 TEXTS: tuple[tuple[str, str, str], ...] = (
     ("bsd", "redistribution", r"redistributions? and use in source and binary forms,? with or without modification"),
-    ("bsd-3-clause", "neither the name", r"neither the names? of [^.]{1,120}? nor the names of (?:its|their|any) contributors"),
+    ("bsd-3-clause", "neither the name", r"neither the names? of [\x00-\x2d\x2f-\xff]{1,120}? nor the names of (?:its|their|any) contributors"),
     ("bsd-4-clause", "advertising", r"all advertising materials mentioning features or use of this software"),
     ("mit", "obtaining", r"permission is hereby granted,? free of charge,? to any person obtaining a copy of this software"),
     ("bsl-1.0", "obtaining", r"to any person or organization obtaining a copy of the software and accompanying documentation"),
@@ -142,7 +142,7 @@ TEXTS: tuple[tuple[str, str, str], ...] = (
     ("apache-2.0", "compliance", r"you may not use this file except in compliance with the licen[cs]e"),
     ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain"),
     ("zlib", "altered", r"altered source versions must be plainly marked as such"),
-    ("wtfpl", "what the", r"do what the f[a-z*]{2,3} you want to public licen[cs]e"),
+    ("wtfpl", "what the", r"do what the f[a-z*][a-z*][a-z*]? you want to public licen[cs]e"),
     ("gpl-2.0", "general public", r"(?<!lesser )(?<!library )(?<!affero )general public licen[cs]e(?: as published by the free software foundation)?[,;:]? (?:either )?version 2 of the licen[cs]e"),
     ("gpl-3.0", "general public", r"(?<!lesser )(?<!library )(?<!affero )general public licen[cs]e(?: as published by the free software foundation)?[,;:]? (?:either )?version 3 of the licen[cs]e"),
     ("lgpl-2.1", "general public", r"lesser general public licen[cs]e(?: as published by the free software foundation)?[,;:]? (?:either )?version 2\.1 of the licen[cs]e"),
@@ -187,9 +187,10 @@ def rules() -> list[Rule]:
     edge = r"(?<![a-z0-9\x80-\xff])", r"(?![a-z0-9\x80-\xff])"
     for label, keyword, names, addresses in LICENSES:
         exact = label.count("-") + any(c.isdigit() for c in label)
-        for _, priority, confidence, around in SETTINGS:
+        for setting, priority, confidence, around in SETTINGS:
+            own = (re.escape(label) + "(?![.+-])",) if setting == "tag" and keyword in label else ()  # its identifier
             if names:
-                text = edge[0] + around.format(name="|".join(names)) + edge[1]
+                text = edge[0] + around.format(name="|".join(names + own)) + edge[1]
                 out.append(Rule(label, keyword.encode(), priority + exact, confidence, re.compile(text.encode("latin-1"))))
         for address in addresses:
             text = edge[0] + _ADDRESS[2].format(name=address)
